@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from prefrank.plans import q_metrics  # noqa: F401
+from prefrank.plans import q_metrics, q_conform  # noqa: F401
 from prefrank.plans.registry import ORACLES, QUERIES  # noqa: F401
