@@ -85,6 +85,15 @@ ADAPTERS: dict[str, str] = {
                max(l_quantity) AS true_score,
                CAST(max(round(l_discount * 100)) AS DOUBLE) AS predicted_score
         FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+    # Judgements of item pairs, with failures.
+    "judgements": """
+        SELECT category, item_1, item_2, score_1, score_2,
+               CASE WHEN substr(h, 32, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN '1' ELSE '2' END AS prediction,
+               CASE WHEN substr(h, 31, 1) = '0' THEN 'PARSE_FAIL' WHEN substr(h, 31, 1) = '1' THEN 'NO_DATA' ELSE 'OK' END AS status,
+               substr(h, 30, 1) IN ('0', '1', '2', '3') AS second_arm_flips
+        FROM (SELECT a.category, a.item AS item_1, b.item AS item_2, a.true_score AS score_1, b.true_score AS score_2,
+                     md5(concat_ws(':', a.category, a.item, b.item)) AS h
+              FROM order_items a JOIN order_items b ON a.category = b.category AND a.item < b.item) AS j""",
     "docs": """
         SELECT doc_id, source AS category, lang, text FROM {documents}""",
 }

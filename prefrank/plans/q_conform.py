@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from prefrank.functions import numeric as N, text as X
 from prefrank.functions.hashing import md5_is_even
 from prefrank.operators import conform as C, ranking as R
-from prefrank.operators.pairs import MEAT, DAIRY
 from prefrank.plans.registry import query
 
+MEAT, DAIRY = ["click", "view", "error"], ["signup", "purchase"]
 R6 = lambda c: F.round(c, 6).alias(c)
 rnd = lambda d, *cols: d.select(*[F.round(c, 6).alias(c) if c in cols else c for c in d.columns])
 
