@@ -70,6 +70,38 @@ def same_way_pairs(gid: np.ndarray, cx: np.ndarray, cy: np.ndarray, w: np.ndarra
     return total
 
 
+def same_way_partners(gid: np.ndarray, cx: np.ndarray, cy: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Per row, the weight of rows of its group ordered the same way to it in x and in y."""
+    n = len(gid)
+    out = np.zeros(n)
+    if n < 2:
+        return out
+    by_x = np.lexsort((-cy, cx))
+    rank_y = np.empty(n, dtype=np.int64)
+    rank_y[np.lexsort((-cx, cy))] = np.arange(n)
+    at, g, b, ww = by_x, gid[by_x], rank_y[by_x], w[by_x].astype(np.float64)
+    sizes = np.bincount(gid)
+    start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    b = b - start[g]
+    bits = int(sizes.max() - 1).bit_length()
+    for level in range(bits - 1, -1, -1):
+        one = ((b >> level) & 1).astype(bool)
+        head = (g << bits) | (b >> (level + 1))
+        first = np.ones(n, dtype=bool)
+        first[1:] = head[1:] != head[:-1]
+        seg = np.cumsum(first) - 1
+        low, high = np.where(one, 0.0, ww), np.where(one, ww, 0.0)
+        cl, ch = np.cumsum(low) - low, np.cumsum(high)
+        heads = np.flatnonzero(first)
+        lows_before = cl - cl[heads][seg]
+        highs_total = np.add.reduceat(high, heads)[seg]
+        highs_after = highs_total - (ch - (ch - high)[heads][seg])
+        out[at] += np.where(one, lows_before, highs_after)
+        nxt = np.argsort((g << bits) | (b >> level), kind="stable")
+        at, g, b, ww = at[nxt], g[nxt], b[nxt], ww[nxt]
+    return out
+
+
 def group_totals(gid: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, groups: int,
                  tol: float) -> dict[str, np.ndarray]:
     cx, cy = _classes(gid, x, tol), _classes(gid, y, tol)
@@ -88,9 +120,7 @@ def group_totals(gid: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, g
 
 def _packed(df: DataFrame, keys: Sequence[str], x: str, y: str, w: str, total: int, tol: float) -> DataFrame:
     """All groups fit a task: pack them into buckets and count bucket by bucket."""
-    spark, keys = df.sparkSession, list(keys)
-    buckets = max(1, math.ceil(total / group_rows(spark)),
-                  min(spark.sparkContext.defaultParallelism, math.ceil(total / 5000)))
+    keys = list(keys)
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
                        + [f"{c} double" for c in TOTALS])
 
@@ -105,7 +135,7 @@ def _packed(df: DataFrame, keys: Sequence[str], x: str, y: str, w: str, total: i
     return (
         df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
                   F.col(w).cast("double").alias("_w"),
-                  F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"))
+                  F.pmod(F.xxhash64(*keys), F.lit(_buckets(df, total))).alias("_bucket"))
         .groupBy("_bucket").applyInPandas(count, schema)
     )
 
@@ -152,16 +182,17 @@ def _strict(points: DataFrame, keys: Sequence[str], x: str, y: str, w: str) -> D
 
 
 def pair_totals(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str | None = None,
-                tol: float = 1e-10) -> DataFrame:
+                tol: float = 1e-10, load: tuple[int, int] | None = None) -> DataFrame:
     """Per group: n_pairs, ties_x, ties_y, ties_xy, same_way over rows where x and y are known.
 
     `weight` counts copies of a row; two copies of one row tie with each other in x and y.
+    `load` is an upper bound of (all rows, rows of the largest group) if the caller knows one.
     """
     keys = list(keys)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_tw"))
-    total, largest = group_load(d, keys)
+    total, largest = load or group_load(d, keys)
     limit = group_rows(df.sparkSession)
     if largest > limit:
         d = cut_lineage(d.groupBy(*keys, "_tx", "_ty").agg(F.sum("_tw").alias("_tw")))
@@ -182,3 +213,99 @@ def pair_totals(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str
                  _strict(pts, keys, "_px", "_py", "_tw")):
         out = out.join(part, keys, "left")
     return out.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in TOTALS])
+
+
+def _buckets(df: DataFrame, total: int) -> int:
+    return max(1, math.ceil(total / group_rows(df.sparkSession)),
+               min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / 5000)))
+
+
+def _packed_each(df: DataFrame, keys: Sequence[str], carry: Sequence[str], x: str, y: str, w: str,
+                 total: int) -> DataFrame:
+    """Per row (keys, carry), its same-way partners; every group fits a task; x and y are exact."""
+    keys, carry = list(keys), list(carry)
+    cols = list(dict.fromkeys([*keys, *carry]))
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in cols) + ", same_way double"
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        gid = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        cx = _classes(gid, pdf["_x"].to_numpy(float), 0.0)
+        cy = _classes(gid, pdf["_y"].to_numpy(float), 0.0)
+        return pdf[cols].assign(same_way=same_way_partners(gid, cx, cy, pdf["_w"].to_numpy(float)))
+
+    return (
+        df.select(*cols, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+                  F.col(w).cast("double").alias("_w"),
+                  F.pmod(F.xxhash64(*keys), F.lit(_buckets(df, total))).alias("_bucket"))
+        .groupBy("_bucket").applyInPandas(count, schema)
+    )
+
+
+def _strict_each(points: DataFrame, keys: Sequence[str], x: str, y: str, w: str) -> DataFrame:
+    """(keys, x, y, same_way) per weighted point, for groups of any size; (keys, x, y) is unique."""
+    keys = list(keys)
+    total, largest = group_load(points, keys)
+    if largest <= group_rows(points.sparkSession):
+        return _packed_each(points, keys, [x, y], x, y, w, total)
+    d = add_strip(points, keys, x, cut_points(points, keys, x, largest), "_xs")
+    d = cut_lineage(add_strip(d, keys, y, cut_points(points, keys, y, largest), "_ys"))
+    cells = d.groupBy(*keys, "_xs", "_ys").agg(F.sum(w).alias("_cw")).withColumnsRenamed({"_xs": "_cx", "_ys": "_cy"})
+    across = _strict_each(cells, keys, "_cx", "_cy", "_cw").withColumnsRenamed({"_cx": "_xs", "_cy": "_ys"})
+    across = d.join(across, [*keys, "_xs", "_ys"]).select(*keys, x, y, "same_way")
+
+    def inside(strip: str, px: str) -> DataFrame:
+        rows = d.filter((F.col(strip) == 0) | (F.col(strip) % 2 == 0))
+        n, _ = group_load(rows, [*keys, strip])
+        rows = rows.select(*keys, strip, x, y, F.col(px).alias("_px"), w)
+        return _packed_each(rows, [*keys, strip], [x, y], "_px", y, w, n).select(*keys, x, y, "same_way")
+
+    parts = across.unionByName(inside("_xs", x)).unionByName(inside("_ys", "_xs"))
+    return parts.groupBy(*keys, x, y).agg(F.sum("same_way").alias("same_way"))
+
+
+def _packed_credit(df: DataFrame, keys: list[str], x: str, y: str, tol: float, total: int) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", credit double"
+    names = df.columns
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        credit = np.zeros(len(pdf))
+        known = (pdf[x].notna() & pdf[y].notna()).to_numpy()
+        k = pdf[known]
+        if len(k):
+            gid = k.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            cx = _classes(gid, k[x].to_numpy(float), tol)
+            cy = _classes(gid, k[y].to_numpy(float), tol)
+            _, both, nxy = np.unique(cx * (cy.max() + 1) + cy, return_inverse=True, return_counts=True)
+            tied = np.bincount(cx)[cx] + np.bincount(cy)[cy] - nxy[both] - 1
+            credit[known] = same_way_partners(gid, cx, cy, np.ones(len(k))) + tied / 2
+        return pdf[names].assign(credit=credit)
+
+    return (df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(_buckets(df, total))))
+            .groupBy("_bucket").applyInPandas(count, schema))
+
+
+def item_credit(df: DataFrame, keys: Sequence[str], x: str, y: str, tol: float = 1e-10) -> DataFrame:
+    """Add `credit`: the sum over the other rows of the group of 1 for the same order in x and y,
+    one half for a tie in either, 0 otherwise; 0 for a row with an unknown value."""
+    keys = list(keys)
+    total, largest = group_load(df, keys)
+    if largest <= group_rows(df.sparkSession):
+        return _packed_credit(df, keys, x, y, tol, total)
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *keys, F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty"))
+    pts = cut_lineage(d.groupBy(*keys, "_tx", "_ty").agg(F.count(F.lit(1)).cast("double").alias("_tw")))
+    cls = (pts.join(_tie_class(pts, keys, "_tx", tol, "_px"), [*keys, "_tx"])
+           .join(_tie_class(pts, keys, "_ty", tol, "_py"), [*keys, "_ty"]))
+    merged = cls.groupBy(*keys, "_px", "_py").agg(F.sum("_tw").alias("_nxy"))
+    strict = _strict_each(merged, keys, "_px", "_py", "_nxy")
+    nx = merged.groupBy(*keys, "_px").agg(F.sum("_nxy").alias("_nx"))
+    ny = merged.groupBy(*keys, "_py").agg(F.sum("_nxy").alias("_ny"))
+    per = merged.join(nx, [*keys, "_px"]).join(ny, [*keys, "_py"]).join(strict, [*keys, "_px", "_py"], "left")
+    tied = F.col("_nx") + F.col("_ny") - F.col("_nxy") - 1
+    per = per.select(*keys, "_px", "_py", (F.coalesce("same_way", F.lit(0.0)) + tied / 2).alias("_credit"))
+    out = cls.join(per, [*keys, "_px", "_py"]).select(*keys, "_tx", "_ty", "_credit")
+    return (
+        df.withColumn("_tx", F.col(x).cast("double")).withColumn("_ty", F.col(y).cast("double"))
+        .join(out, [*keys, "_tx", "_ty"], "left")
+        .withColumn("credit", F.coalesce("_credit", F.lit(0.0))).drop("_tx", "_ty", "_credit")
+    )

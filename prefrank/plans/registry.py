@@ -35,6 +35,8 @@ def with_adapters(body: str, names: list[str], table: str = "%s") -> tuple[str,
     order, bases = needed(names)
     ctes = ",\n".join(
         f"{n} AS ({ADAPTERS[n].format(**{b: table % b for b in BASE_TABLES})})" for n in order)
+    if table == "%s":  # the SQL side names array access differently
+        ctes = ctes.replace("element_at(", "list_extract(")
     lead = "WITH " if order else ""
     if order and body.lstrip().upper().startswith("WITH "):
         return f"{lead}{ctes},\n{body.lstrip()[5:]}", bases
