@@ -78,7 +78,8 @@ def same_way_partners(gid: np.ndarray, cx: np.ndarray, cy: np.ndarray, w: np.nda
         return out
     by_x = np.lexsort((-cy, cx))
     rank_y = np.empty(n, dtype=np.int64)
-    rank_y[np.lexsort((-cx, cy))] = np.arange(n)
+    # Equal points run in opposite directions in the two orders, so they never count as ordered.
+    rank_y[np.lexsort((-np.arange(n), -cx, cy))] = np.arange(n)
     at, g, b, ww = by_x, gid[by_x], rank_y[by_x], w[by_x].astype(np.float64)
     sizes = np.bincount(gid)
     start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
