@@ -94,6 +94,40 @@ ADAPTERS: dict[str, str] = {
         FROM (SELECT a.category, a.item AS item_1, b.item AS item_2, a.true_score AS score_1, b.true_score AS score_2,
                      md5(concat_ws(':', a.category, a.item, b.item)) AS h
               FROM order_items a JOIN order_items b ON a.category = b.category AND a.item < b.item) AS j""",
+    # Knowledge graph: parts are foods, suppliers are chemicals, an order line is one piece of evidence.
+    "kg_entities": """
+        SELECT concat('f', p_partkey) AS entity_id, 'food' AS entity_type, p_name AS common_name,
+               concat('["', p_name, ' (raw)", "fresh ', p_name, '"]') AS synonyms, '{{}}' AS external_ids, '{{}}' AS attributes,
+               p_partkey AS row_order
+        FROM {part}
+        UNION ALL
+        SELECT concat('c', s_suppkey), 'chemical', lower(s_name), '[]',
+               concat('{{"pubchem_compound": [', s_suppkey, ', 7], "chebi": [', s_suppkey + 1, ']}}'),
+               CASE WHEN s_suppkey % 3 = 0 THEN '{{"flavor_descriptors": []}}' WHEN s_suppkey % 10 = 1 THEN 'not json'
+                    ELSE '{{"flavor_descriptors": ["sweet"]}}' END,
+               1000000000 + s_suppkey
+        FROM {supplier}""",
+    "kg_evidence": """
+        SELECT concat('f', l_partkey) AS head_id, concat('c', l_suppkey) AS tail_id,
+               l_quantity AS conc_value, CASE l_returnflag WHEN 'A' THEN 'mg/100g' WHEN 'N' THEN 'ions' ELSE '%' END AS conc_unit,
+               CASE l_linestatus WHEN 'F' THEN 'curated' ELSE 'lit:auto' END AS source,
+               CASE WHEN l_discount > 0.09 THEN CAST(NULL AS DOUBLE) ELSE l_discount * 10 END AS filter_score
+        FROM {lineitem}""",
+    "mentions": """
+        SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN concat('Organic Dried ', p_name) WHEN 2 THEN concat(p_name, ' Powder')
+                        ELSE concat('mystery ', p_type) END AS ingredient FROM {part}
+        UNION SELECT s_name FROM {supplier} WHERE s_suppkey % 5 = 0""",
+    # Compounds of an ingredient with their vectors: ingredient = part type and size, compound = supplier.
+    "compound_slice": """
+        SELECT ingredient, compound, CASE WHEN compound % 4 = 0 THEN CAST(NULL AS DOUBLE) ELSE concentration END AS concentration FROM (
+          SELECT concat(p_type, ' ', p_size) AS ingredient, l_suppkey AS compound, max(l_quantity) - 1 AS concentration
+          FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_type, p_size, l_suppkey) AS g""",
+    "compound_vectors": """
+        SELECT vec_id AS compound, embedding AS vec FROM {embeddings}""",
+    "recipes": """
+        SELECT o_orderkey AS product, pos, ingredient FROM (
+          SELECT l_orderkey AS o_orderkey, l_linenumber - 1 AS pos, min(concat(p_type, ' ', p_size)) AS ingredient
+          FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_orderkey, l_linenumber) AS r""",
     "docs": """
         SELECT doc_id, source AS category, lang, text FROM {documents}""",
 }

@@ -31,12 +31,11 @@ class Tables:
 
 
 def with_adapters(body: str, names: list[str], table: str = "%s") -> tuple[str, list[str]]:
-    """Prefix `body` with the CTEs of the named adapters; `table` formats base table names."""
+    """Prefix `body` with the CTEs of the named adapters, and list the base tables they read."""
     order, bases = needed(names)
-    ctes = ",\n".join(
-        f"{n} AS ({ADAPTERS[n].format(**{b: table % b for b in BASE_TABLES})})" for n in order)
-    if table == "%s":  # the SQL side names array access differently
-        ctes = ctes.replace("element_at(", "list_extract(")
+    ctes = ",\n".join(f"{n} AS ({ADAPTERS[n]})" for n in order)
+    if table == "%s":  # spark.sql fills its own placeholders; the SQL side is filled here
+        ctes = ctes.format(**{b: b for b in BASE_TABLES}).replace("element_at(", "list_extract(")
     lead = "WITH " if order else ""
     if order and body.lstrip().upper().startswith("WITH "):
         return f"{lead}{ctes},\n{body.lstrip()[5:]}", bases
