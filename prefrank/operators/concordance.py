@@ -105,18 +105,23 @@ def same_way_partners(gid: np.ndarray, cx: np.ndarray, cy: np.ndarray, w: np.nda
 
 def group_totals(gid: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, groups: int,
                  tol: float) -> dict[str, np.ndarray]:
-    cx, cy = _classes(gid, x, tol), _classes(gid, y, tol)
-    both = cx * (cy.max() + 1 if len(cy) else 1) + cy
-    size = np.bincount(gid, weights=w, minlength=groups)
-    uniq, first, inv = np.unique(both, return_index=True, return_inverse=True)
-    uw = np.bincount(inv, weights=w)
-    return {
-        "n_pairs": size * (size - 1) / 2,
-        "ties_x": _pairs_within(cx, gid, w, groups),
-        "ties_y": _pairs_within(cy, gid, w, groups),
-        "ties_xy": _pairs_within(both, gid, w, groups),
-        "same_way": same_way_pairs(gid[first], cx[first], cy[first], uw, groups),
-    }
+    """The five totals; ties in x (or y) count every row with x (or y) known, the rest needs both."""
+    kx, ky = ~np.isnan(x), ~np.isnan(y)
+    k = kx & ky
+    out = {c: np.zeros(groups) for c in TOTALS}
+    if kx.any():
+        out["ties_x"] = _pairs_within(_classes(gid[kx], x[kx], tol), gid[kx], w[kx], groups)
+    if ky.any():
+        out["ties_y"] = _pairs_within(_classes(gid[ky], y[ky], tol), gid[ky], w[ky], groups)
+    if k.any():
+        gid, w, cx, cy = gid[k], w[k], _classes(gid[k], x[k], tol), _classes(gid[k], y[k], tol)
+        both = cx * (cy.max() + 1) + cy
+        _, first, inv = np.unique(both, return_index=True, return_inverse=True)
+        size = np.bincount(gid, weights=w, minlength=groups)
+        out["n_pairs"] = size * (size - 1) / 2
+        out["ties_xy"] = _pairs_within(both, gid, w, groups)
+        out["same_way"] = same_way_pairs(gid[first], cx[first], cy[first], np.bincount(inv, weights=w), groups)
+    return out
 
 
 def _packed(df: DataFrame, keys: Sequence[str], x: str, y: str, w: str, total: int, tol: float) -> DataFrame:
@@ -144,7 +149,7 @@ def _packed(df: DataFrame, keys: Sequence[str], x: str, y: str, w: str, total: i
 def _tie_class(df: DataFrame, keys: Sequence[str], col: str, tol: float, out: str) -> DataFrame:
     """(keys, col, dense tie-class number) for groups of any size."""
     keys = list(keys)
-    vals = df.select(*keys, col).distinct()
+    vals = df.select(*keys, col).dropna(subset=[col]).distinct()
     _, largest = group_load(vals, keys)
     d = add_strip(vals, keys, col, cut_points(vals, keys, col, largest), "_strip")
     edge = (
@@ -183,14 +188,17 @@ def _strict(points: DataFrame, keys: Sequence[str], x: str, y: str, w: str) -> D
 
 
 def pair_totals(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str | None = None,
-                tol: float = 1e-10, load: tuple[int, int] | None = None) -> DataFrame:
+                tol: float = 1e-10, load: tuple[int, int] | None = None, complete: bool = True) -> DataFrame:
     """Per group: n_pairs, ties_x, ties_y, ties_xy, same_way over rows where x and y are known.
 
+    Without `complete`, ties_x (ties_y) also counts rows where only x (only y) is known.
+
     `weight` counts copies of a row; two copies of one row tie with each other in x and y.
     `load` is an upper bound of (all rows, rows of the largest group) if the caller knows one.
     """
     keys = list(keys)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    known = (F.col(x).isNotNull() & F.col(y).isNotNull()) if complete else (F.col(x).isNotNull() | F.col(y).isNotNull())
+    d = df.filter(known).select(
         *keys, F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_tw"))
     total, largest = load or group_load(d, keys)
@@ -200,18 +208,21 @@ def pair_totals(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str
         total, largest = group_load(d, keys)
     if largest <= limit:
         return _packed(d, keys, "_tx", "_ty", "_tw", total, tol)
-    d = (d.join(_tie_class(d, keys, "_tx", tol, "_px"), [*keys, "_tx"])
-         .join(_tie_class(d, keys, "_ty", tol, "_py"), [*keys, "_ty"]))
+    d = (d.join(_tie_class(d, keys, "_tx", tol, "_px"), [*keys, "_tx"], "left")
+         .join(_tie_class(d, keys, "_ty", tol, "_py"), [*keys, "_ty"], "left"))
     pts = cut_lineage(d.groupBy(*keys, "_px", "_py").agg(F.sum("_tw").alias("_tw")))
 
+    full = pts.dropna(subset=["_px", "_py"])
+
     def tied(cols: list[str], out: str) -> DataFrame:
         s = F.col("_s")
-        return (pts.groupBy(*keys, *cols).agg(F.sum("_tw").alias("_s"))
+        src = pts.dropna(subset=cols) if len(cols) == 1 else full
+        return (src.groupBy(*keys, *cols).agg(F.sum("_tw").alias("_s"))
                 .groupBy(*keys).agg(F.sum(s * (s - 1) / 2).alias(out)))
 
-    out = tied([], "n_pairs")
-    for part in (tied(["_px"], "ties_x"), tied(["_py"], "ties_y"), tied(["_px", "_py"], "ties_xy"),
-                 _strict(pts, keys, "_px", "_py", "_tw")):
+    out = pts.select(*keys).distinct()
+    for part in (tied([], "n_pairs"), tied(["_px"], "ties_x"), tied(["_py"], "ties_y"), tied(["_px", "_py"], "ties_xy"),
+                 _strict(full, keys, "_px", "_py", "_tw")):
         out = out.join(part, keys, "left")
     return out.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in TOTALS])
 
@@ -257,8 +268,8 @@ def _strict_each(points: DataFrame, keys: Sequence[str], x: str, y: str, w: str)
     def inside(strip: str, px: str) -> DataFrame:
         rows = d.filter((F.col(strip) == 0) | (F.col(strip) % 2 == 0))
         n, _ = group_load(rows, [*keys, strip])
-        rows = rows.select(*keys, strip, x, y, F.col(px).alias("_px"), w)
-        return _packed_each(rows, [*keys, strip], [x, y], "_px", y, w, n).select(*keys, x, y, "same_way")
+        rows = rows.select(*keys, strip, x, y, F.col(px).alias("_inner"), w)
+        return _packed_each(rows, [*keys, strip], [x, y], "_inner", y, w, n).select(*keys, x, y, "same_way")
 
     parts = across.unionByName(inside("_xs", x)).unionByName(inside("_ys", "_xs"))
     return parts.groupBy(*keys, x, y).agg(F.sum("same_way").alias("same_way"))
@@ -269,17 +280,22 @@ def _packed_credit(df: DataFrame, keys: list[str], x: str, y: str, tol: float, t
     names = df.columns
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        gid = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        vx, vy = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        kx, ky = ~np.isnan(vx), ~np.isnan(vy)
+        k = kx & ky
+        tied = np.zeros(len(pdf))
+        for known, v in ((kx, vx), (ky, vy)):
+            if known.any():
+                c = _classes(gid[known], v[known], tol)
+                tied[known] += np.bincount(c)[c] - 1
         credit = np.zeros(len(pdf))
-        known = (pdf[x].notna() & pdf[y].notna()).to_numpy()
-        k = pdf[known]
-        if len(k):
-            gid = k.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-            cx = _classes(gid, k[x].to_numpy(float), tol)
-            cy = _classes(gid, k[y].to_numpy(float), tol)
+        if k.any():
+            cx, cy = _classes(gid[k], vx[k], tol), _classes(gid[k], vy[k], tol)
             _, both, nxy = np.unique(cx * (cy.max() + 1) + cy, return_inverse=True, return_counts=True)
-            tied = np.bincount(cx)[cx] + np.bincount(cy)[cy] - nxy[both] - 1
-            credit[known] = same_way_partners(gid, cx, cy, np.ones(len(k))) + tied / 2
-        return pdf[names].assign(credit=credit)
+            tied[k] -= nxy[both] - 1
+            credit[k] = same_way_partners(gid[k], cx, cy, np.ones(int(k.sum())))
+        return pdf[names].assign(credit=credit + tied / 2)
 
     return (df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(_buckets(df, total))))
             .groupBy("_bucket").applyInPandas(count, schema))
@@ -287,26 +303,31 @@ def _packed_credit(df: DataFrame, keys: list[str], x: str, y: str, tol: float, t
 
 def item_credit(df: DataFrame, keys: Sequence[str], x: str, y: str, tol: float = 1e-10) -> DataFrame:
     """Add `credit`: the sum over the other rows of the group of 1 for the same order in x and y,
-    one half for a tie in either, 0 otherwise; 0 for a row with an unknown value."""
+    one half for a tie in either, 0 otherwise; an unknown value neither ties nor orders."""
     keys = list(keys)
     total, largest = group_load(df, keys)
     if largest <= group_rows(df.sparkSession):
         return _packed_credit(df, keys, x, y, tol, total)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty"))
-    pts = cut_lineage(d.groupBy(*keys, "_tx", "_ty").agg(F.count(F.lit(1)).cast("double").alias("_tw")))
-    cls = (pts.join(_tie_class(pts, keys, "_tx", tol, "_px"), [*keys, "_tx"])
-           .join(_tie_class(pts, keys, "_ty", tol, "_py"), [*keys, "_ty"]))
-    merged = cls.groupBy(*keys, "_px", "_py").agg(F.sum("_tw").alias("_nxy"))
-    strict = _strict_each(merged, keys, "_px", "_py", "_nxy")
-    nx = merged.groupBy(*keys, "_px").agg(F.sum("_nxy").alias("_nx"))
-    ny = merged.groupBy(*keys, "_py").agg(F.sum("_nxy").alias("_ny"))
-    per = merged.join(nx, [*keys, "_px"]).join(ny, [*keys, "_py"]).join(strict, [*keys, "_px", "_py"], "left")
-    tied = F.col("_nx") + F.col("_ny") - F.col("_nxy") - 1
-    per = per.select(*keys, "_px", "_py", (F.coalesce("same_way", F.lit(0.0)) + tied / 2).alias("_credit"))
-    out = cls.join(per, [*keys, "_px", "_py"]).select(*keys, "_tx", "_ty", "_credit")
-    return (
-        df.withColumn("_tx", F.col(x).cast("double")).withColumn("_ty", F.col(y).cast("double"))
-        .join(out, [*keys, "_tx", "_ty"], "left")
-        .withColumn("credit", F.coalesce("_credit", F.lit(0.0))).drop("_tx", "_ty", "_credit")
-    )
+    tx, ty = F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty")
+    pts = cut_lineage(df.select(*keys, tx, ty).groupBy(*keys, "_tx", "_ty").agg(F.count(F.lit(1)).cast("double").alias("_tw")))
+    cls = (pts.join(_tie_class(pts, keys, "_tx", tol, "_px"), [*keys, "_tx"], "left")
+           .join(_tie_class(pts, keys, "_ty", tol, "_py"), [*keys, "_ty"], "left"))
+    merged = cut_lineage(cls.groupBy(*keys, "_px", "_py").agg(F.sum("_tw").alias("_nxy")))
+    full = merged.dropna(subset=["_px", "_py"])
+    strict = _strict_each(full, keys, "_px", "_py", "_nxy")
+    per = merged
+    for c, out in (("_px", "_nx"), ("_py", "_ny")):
+        others = merged.dropna(subset=[c]).groupBy(*keys, c).agg((F.sum("_nxy") - 1).alias(out))
+        per = per.join(others, [*keys, c], "left")
+    per = per.join(strict, [*keys, "_px", "_py"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    same = F.when(F.col("_px").isNotNull() & F.col("_py").isNotNull(), F.col("_nxy") - 1).otherwise(0.0)
+    credit = zero("same_way") + (zero("_nx") + zero("_ny") - same) / 2
+    per = per.select(*keys, F.col("_px").alias("_qx"), F.col("_py").alias("_qy"), credit.alias("_credit"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    per = per.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    out = cls.join(per, [*on, F.col("_px").eqNullSafe(F.col("_qx")), F.col("_py").eqNullSafe(F.col("_qy"))])
+    out = out.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_tx").alias("_ux"), F.col("_ty").alias("_uy"), F.col("_credit").alias("credit"))
+    d = df.withColumns({"_vx": F.col(x).cast("double"), "_vy": F.col(y).cast("double")})
+    d = d.join(out, [*on, F.col("_vx").eqNullSafe(F.col("_ux")), F.col("_vy").eqNullSafe(F.col("_uy"))])
+    return d.select(*df.columns, "credit")

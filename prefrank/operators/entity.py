@@ -15,7 +15,7 @@ from prefrank.functions.text import match_candidates, name_variants, parse_json_
 from prefrank.functions.vectors import l2_normalised
 from prefrank.operators.conform import quantiles, top_k
 from prefrank.operators.features import pooled
-from prefrank.operators.skew import broadcast_if_small
+from prefrank.operators.skew import broadcast_if_small, row_index
 
 
 def alias_index(entities: DataFrame) -> DataFrame:
@@ -185,12 +185,8 @@ def product_vectors(recipes: DataFrame, ingredients: DataFrame, how: str = "weig
 
 def described_vectors(recipes: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Inverse-rank mean over the matched ingredients in list order, then unit length."""
-    from pyspark.sql import Window as W
-
-    d = recipes.join(descriptions, ["ingredient"])
-    # A product lists a few dozen ingredients; the window runs within one product.
-    d = d.withColumn("_w", F.lit(1.0) / F.row_number().over(W.partitionBy("product").orderBy("pos")))
-    p = pooled(d, ["product"], "vec", weight="_w")
+    d = row_index(recipes.join(descriptions, ["ingredient"]), ["product"], "pos", "_rank")
+    p = pooled(d.withColumn("_w", F.lit(1.0) / (F.col("_rank") + 1)), ["product"], "vec", weight="_w")
     return p.withColumn("vec", l2_normalised(F.col("vec")))
 
 

@@ -27,9 +27,9 @@ def pairwise_accuracy(df: DataFrame, keys: Sequence[str], truth: str = "true_sco
                       pred: str = "predicted_score", weight: str | None = None,
                       strict: bool = False, load: tuple[int, int] | None = None) -> DataFrame:
     """M1: (keys, correct, pairs, pairwise_accuracy). A tie in truth or prediction earns one half;
-    a pair with an unknown score counts as wrong. `strict` (M11) leaves exact truth ties out."""
+    any other pair with an unknown score counts as wrong. `strict` (M11) leaves exact truth ties out."""
     keys = list(keys)
-    t = pair_totals(df, keys, truth, pred, weight, 0.0 if strict else TIE, load)
+    t = pair_totals(df, keys, truth, pred, weight, 0.0 if strict else TIE, load, complete=strict)
     if strict:
         correct = F.col("same_way") + (F.col("ties_y") - F.col("ties_xy")) / 2
         out = t.select(*keys, correct.alias("correct"), (F.col("n_pairs") - F.col("ties_x")).alias("pairs"))

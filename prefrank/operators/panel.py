@@ -11,36 +11,54 @@ from prefrank.operators.conform import leave_one_out_mean, quantiles
 from prefrank.operators.metrics import pairwise_accuracy, ratio, recall_at, spearman
 from prefrank.operators.pairs import item_pairs
 from prefrank.operators.ranking import add_quantile_bin
-from prefrank.operators.skew import average_rank, broadcast_if_small, rank_stats
+from prefrank.operators.skew import average_rank, broadcast_if_small, group_load, rank_stats, row_index, running_total
 from prefrank.session import cut_lineage
 
 BLOCK = ["category", "block_id"]
 
 
-def item_sets(ratings: DataFrame) -> DataFrame:
-    """The exact item set of each rater in a category (a rater sees a handful of items)."""
-    return ratings.groupBy("category", "respondent").agg(F.array_sort(F.collect_list("item")).alias("items"))
+def rater_sets(ratings: DataFrame) -> DataFrame:
+    """(category, respondent, set_key): equal keys mean equal item sets, repeats included.
 
+    The key is the item count with three independent 64-bit sums and xors of item hashes, so a rater
+    with very many ratings is aggregated map-side like any other."""
+    h = F.xxhash64("item")
+    key = F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.xxhash64("item", F.lit("second"))),
+                      F.sum(h.cast("decimal(38,0)")))
+    return ratings.groupBy("category", "respondent").agg(key.alias("set_key"))
 
-def blocks(ratings: DataFrame, analogs: DataFrame, min_raters: int = 20) -> DataFrame:
-    """H1: (category, block_id, items, analogs, n_respondents) of item sets seen by enough raters and
-    holding at least two analogs; ids count from 0 by falling size, then by item set."""
-    sets = item_sets(ratings).groupBy("category", "items").agg(F.count(F.lit(1)).alias("n_respondents"))
-    sets = sets.filter(F.col("n_respondents") >= min_raters)
-    pool = analogs.groupBy("category").agg(F.collect_set("item").alias("_pool"))
-    d = sets.join(pool, ["category"]).withColumn("analogs", F.array_intersect("items", "_pool")).drop("_pool")
-    d = d.filter(F.size("analogs") >= 2)
-    # One row per block: at most raters / min_raters of them.
-    w = W.partitionBy("category").orderBy(F.col("n_respondents").desc(), F.col("items"))
-    return d.withColumn("block_id", (F.row_number().over(w) - 1).cast("long"))
 
+def blocks(ratings: DataFrame, analogs: DataFrame, min_raters: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """H1: raters of a category who rated exactly the same items, at least `min_raters` of them and
+    at least two analogs; block ids count from 0 by falling size, then by lowest rater.
 
-def block_ratings(ratings: DataFrame, block_table: DataFrame) -> DataFrame:
+    Returns blocks (category, block_id, n_respondents, n_items), the analogs of each block
+    (category, block_id, item), and its raters (category, block_id, respondent).
+    """
+    who = rater_sets(ratings)
+    sets = who.groupBy("category", "set_key").agg(F.count(F.lit(1)).alias("n_respondents"), F.min("respondent").alias("_first"))
+    sets = sets.filter(F.col("n_respondents") >= min_raters)
+    # The items of a block are those of its lowest rater.
+    items = ratings.join(sets.select("category", "set_key", F.col("_first").alias("respondent")), ["category", "respondent"])
+    items = items.select("category", "set_key", "item")
+    pool = analogs.select("category", "item").distinct().withColumn("_analog", F.lit(1))
+    sizes = items.join(pool, ["category", "item"], "left").groupBy("category", "set_key").agg(
+        F.count(F.lit(1)).alias("n_items"), F.count("_analog").alias("_n"))
+    kept = sets.join(sizes.filter("_n >= 2").drop("_n"), ["category", "set_key"])
+    kept = kept.withColumn("_order", F.struct((-F.col("n_respondents")).alias("n"), F.col("_first").alias("r")))
+    kept = cut_lineage(row_index(kept, ["category"], "_order", "block_id").drop("_order", "_first"))
+    small = broadcast_if_small(kept.select("category", "set_key", "block_id"))
+    block_items = items.join(small, ["category", "set_key"]).join(pool, ["category", "item"], "left_semi")
+    return (kept.select("category", "block_id", "n_respondents", "n_items"),
+            block_items.select("category", "block_id", "item"),
+            who.join(small, ["category", "set_key"]).select("category", "block_id", "respondent"))
+
+
+def block_ratings(ratings: DataFrame, block_items: DataFrame, raters: DataFrame) -> DataFrame:
     """Ratings of analogs by the raters of a block: (category, block_id, respondent, item, similarity)."""
-    who = item_sets(ratings).join(broadcast_if_small(block_table.select("category", "block_id", "items", "analogs")),
-                                  ["category", "items"])
-    d = ratings.join(who.select("category", "respondent", "block_id", "analogs"), ["category", "respondent"])
-    return d.filter(F.array_contains("analogs", F.col("item"))).drop("analogs")
+    d = ratings.join(raters, ["category", "respondent"])
+    return d.join(broadcast_if_small(block_items), ["category", "block_id", "item"], "left_semi").select(
+        *BLOCK, "respondent", "item", "similarity")
 
 
 def individual_accuracy(ratings: DataFrame, rated: DataFrame) -> DataFrame:
@@ -105,8 +123,8 @@ def krippendorff_alpha(rated: DataFrame, keys: Sequence[str] = BLOCK, unit: str
     marg = c.groupBy(*keys, "v").agg(F.sum("c").alias("nv"))
     # Distance of two ordinal values: marginal mass between them, half of each end. With g(v) the
     # mass below v plus half of n_v, delta(c, k) = g(k) - g(c), so squared sums need no value pairs.
-    w = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    marg = marg.withColumn("g", F.coalesce(F.sum("nv").over(w), F.lit(0.0)) + F.col("nv") / 2)
+    marg = running_total(marg, keys, "v", "nv", "_cum", group_load(marg, keys)[1])
+    marg = marg.withColumn("g", F.col("_cum") - F.col("nv") / 2)
     c = c.join(marg.select(*keys, "v", "g"), [*keys, "v"])
     per = c.groupBy(*keys, unit).agg(F.max("m").alias("m"), F.sum(F.col("c") * F.col("g")).alias("s1"),
                                      F.sum(F.col("c") * F.col("g") * F.col("g")).alias("s2"))
@@ -205,9 +223,9 @@ def meta_rollup(individual: DataFrame, alpha: DataFrame, model_acc: DataFrame, g
     return human.join(n, "meta").join(model, "meta", "left").join(rel, "meta", "left")
 
 
-def model_within_blocks(block_table: DataFrame, oof: DataFrame) -> DataFrame:
+def model_within_blocks(block_items: DataFrame, oof: DataFrame) -> DataFrame:
     """Model accuracy on the pairs a block's raters saw, pooled over blocks."""
-    d = block_table.select(*BLOCK, F.explode("analogs").alias("item")).join(oof, ["category", "item"])
+    d = block_items.join(oof, ["category", "item"])
     acc = pairwise_accuracy(d, BLOCK)
     rho = spearman(d, BLOCK).join(d.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n")), BLOCK)
     known = F.when(F.col("spearman").isNotNull(), F.col("n"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from prefrank.session import broadcast_rows, cut_lineage, group_rows
 
@@ -44,12 +44,17 @@ def cut_points(df: DataFrame, keys: Sequence[str], col: str, largest: int) -> Da
     # Twice as many cuts as needed, but few enough that strip x strip cells stay well below the rows.
     k = max(2, min(MAX_CUTS, 2 * math.ceil(largest / limit), math.isqrt(largest) // 4))
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    probs = F.array(*[F.lit(i / k) for i in range(1, k)])
-    cuts = (
-        df.join(broadcast_if_small(hot.select(*keys)), list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.array_distinct(F.percentile_approx(col, probs, max(10000, 10 * k)))).alias("_cuts"))
-    )
+    d = df.join(broadcast_if_small(hot.select(*keys)), list(keys), "left_semi")
+    if isinstance(df.schema[col].dataType, T.NumericType):
+        probs = F.array(*[F.lit(i / k) for i in range(1, k)])
+        found = F.percentile_approx(col, probs, max(10000, 10 * k))
+    else:
+        # Other orders are over unique values: a hashed sample of about 32 values per cut, thinned out.
+        every = max(1, largest // (32 * k))
+        d = d.filter(F.pmod(F.xxhash64(col), F.lit(every)) == 0)
+        sample = F.array_sort(F.collect_list(col))
+        found = F.filter(sample, lambda v, i: i % F.greatest(F.lit(1), F.floor(F.size(sample) / F.lit(k))) == 0)
+    cuts = d.groupBy(*keys).agg(F.array_sort(F.array_distinct(found)).alias("_cuts"))
     return cut_lineage(cuts)
 
 

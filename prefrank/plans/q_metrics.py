@@ -11,9 +11,7 @@ R6 = lambda c: F.round(c, 6).alias(c)
 
 PAIR_CREDIT = """
     WITH pc AS (
-      SELECT {k}, sum(CASE WHEN a.true_score IS NULL OR b.true_score IS NULL OR a.predicted_score IS NULL
-                            OR b.predicted_score IS NULL THEN 0.0
-                       WHEN abs(a.true_score - b.true_score) < 1e-10 THEN 0.5
+      SELECT {k}, sum(CASE WHEN abs(a.true_score - b.true_score) < 1e-10 THEN 0.5
                        WHEN abs(a.predicted_score - b.predicted_score) < 1e-10 THEN 0.5
                        WHEN (a.true_score - b.true_score) * (a.predicted_score - b.predicted_score) > 0 THEN 1.0
                        ELSE 0.0 END) AS correct, CAST(count(*) AS DOUBLE) AS pairs

@@ -158,7 +158,7 @@ def _(t):
 
 @query("m16_ablation_grid", uses="oof_multi", oracle="""
     WITH x AS (SELECT *, CASE WHEN item % 2 = 0 THEN 'S' ELSE 'SN' END AS subset FROM oof_multi),
-    p AS (SELECT a.subset, a.model, avg(CASE WHEN a.predicted_score IS NULL OR b.predicted_score IS NULL THEN 0.0 WHEN abs(a.true_score - b.true_score) < 1e-10
+    p AS (SELECT a.subset, a.model, avg(CASE WHEN abs(a.true_score - b.true_score) < 1e-10
       OR abs(a.predicted_score - b.predicted_score) < 1e-10 THEN 0.5 WHEN (a.true_score - b.true_score) * (a.predicted_score - b.predicted_score) > 0 THEN 1.0 ELSE 0.0 END) AS v
       FROM x a JOIN x b ON a.subset = b.subset AND a.model = b.model AND a.category = b.category AND a.item < b.item GROUP BY 1, 2)
     SELECT subset, round(max(CASE WHEN model = 'price' THEN v END), 6) AS price, round(max(CASE WHEN model = 'tax' THEN v END), 6) AS tax FROM p GROUP BY 1""")

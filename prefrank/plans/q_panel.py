@@ -20,8 +20,8 @@ def rounded(d, *cols):
 # Raters of a block rated the same items; every item but the reference 0 is an analog.
 BLOCKS = f"""
     WITH st AS (SELECT category, respondent, list_sort(list(item)) AS items FROM ratings GROUP BY 1, 2),
-    bs AS (SELECT category, items, count(*) AS n_respondents FROM st GROUP BY 1, 2 HAVING count(*) >= {MIN}),
-    bl AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n_respondents DESC, items) - 1 AS block_id FROM bs
+    bs AS (SELECT category, items, count(*) AS n_respondents, min(respondent) AS first FROM st GROUP BY 1, 2 HAVING count(*) >= {MIN}),
+    bl AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n_respondents DESC, first) - 1 AS block_id FROM bs
       WHERE len(list_filter(items, lambda i: i > 0)) >= 2),
     rt AS (SELECT bl.category, bl.block_id, r.respondent, r.item, r.similarity FROM bl JOIN st USING (category, items)
       JOIN ratings r ON r.category = st.category AND r.respondent = st.respondent WHERE r.item > 0)
@@ -38,8 +38,8 @@ PAIRED = """CASE WHEN abs(a.{x} - b.{x}) < 1e-10 OR abs(a.{y} - b.{y}) < 1e-10 T
 
 def _parts(t):
     r = t.ratings.select("category", "respondent", "item", "similarity")
-    b = H.blocks(r, r.filter("item > 0").select("category", "item").distinct(), MIN)
-    return r, b, H.block_ratings(r, b)
+    _, items, raters = H.blocks(r, r.filter("item > 0").select("category", "item"), MIN)
+    return r, items, H.block_ratings(r, items, raters)
 
 
 def _model(t):
@@ -52,10 +52,16 @@ MODEL = """, mo AS (SELECT category, item, avg(similarity) AS true_score, avg(CA
 
 
 @query("h1_blocks", uses="ratings", oracle=BLOCKS + """
-    SELECT category, block_id, n_respondents, array_to_string(items, ',') AS items FROM bl""")
+    SELECT category, block_id, n_respondents, len(items) AS n_items FROM bl""")
 def _(t):
-    _, b, _ = _parts(t)
-    return b.select("category", "block_id", "n_respondents", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+    r = t.ratings.select("category", "respondent", "item", "similarity")
+    return H.blocks(r, r.filter("item > 0").select("category", "item"), MIN)[0]
+
+
+@query("h1_block_items", uses="ratings", oracle=BLOCKS + """
+    SELECT DISTINCT category, block_id, item FROM rt""")
+def _(t):
+    return _parts(t)[1]
 
 
 @query("h2_panel_means", uses="ratings", oracle=BLOCKS + """
@@ -213,7 +219,7 @@ def _(t):
     SELECT DISTINCT rt.category, rt.block_id, rt.item, round(predicted_score, 6) AS predicted_score FROM rt JOIN mo USING (category, item)""")
 def _(t):
     _, b, _ = _parts(t)
-    d = b.select("category", "block_id", F.explode("analogs").alias("item")).join(_model(t), ["category", "item"])
+    d = b.join(_model(t), ["category", "item"])
     return d.select("category", "block_id", "item", R6("predicted_score"))
 
 

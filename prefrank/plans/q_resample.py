@@ -124,8 +124,7 @@ DRAW = """
       FROM ix, range({reps}) r(rep)),
     bw AS (SELECT dr.rep, dr.category, ix.item, count(*) AS w FROM dr JOIN ix ON ix.category = dr.category AND ix.pos = dr.pos GROUP BY 1, 2, 3)
 """
-CREDIT = """CASE WHEN a.true_score IS NULL OR b.true_score IS NULL OR a.predicted_score IS NULL OR b.predicted_score IS NULL THEN 0.0
-    WHEN abs(a.true_score - b.true_score) < 1e-10 OR abs(a.predicted_score - b.predicted_score) < 1e-10 THEN 0.5
+CREDIT = """CASE WHEN abs(a.true_score - b.true_score) < 1e-10 OR abs(a.predicted_score - b.predicted_score) < 1e-10 THEN 0.5
     WHEN (a.true_score - b.true_score) * (a.predicted_score - b.predicted_score) > 0 THEN 1.0 ELSE 0.0 END"""
 BOOT = "WITH " + DRAW.format(t="oof", seed=7, reps=20) + f""",
     cr AS (SELECT a.category, a.item AS i, b.item AS j, {CREDIT} AS credit FROM oof a JOIN oof b ON a.category = b.category AND a.item < b.item),

@@ -8,15 +8,15 @@ from prefrank.operators.concordance import TOTALS, pair_totals
 from prefrank.operators.skew import average_rank, rank_stats
 
 
-def brute(pdf, tol):
+def brute(pdf, tol, complete):
     out = {}
     for g, d in pdf.groupby("g"):
-        rows = [(r.x, r.y) for r in d.itertuples() for _ in range(int(r.w)) if pd.notna(r.x) and pd.notna(r.y)]
+        rows = [(r.x, r.y) for r in d.itertuples() for _ in range(int(r.w)) if not complete or (pd.notna(r.x) and pd.notna(r.y))]
         t = dict.fromkeys(TOTALS, 0.0)
         for (xi, yi), (xj, yj) in itertools.combinations(rows, 2):
             tx = abs(xi - xj) < tol if tol else xi == xj
             ty = abs(yi - yj) < tol if tol else yi == yj
-            t["n_pairs"] += 1
+            t["n_pairs"] += not np.isnan([xi, yi, xj, yj]).any()
             t["ties_x"] += tx
             t["ties_y"] += ty
             t["ties_xy"] += tx and ty
@@ -40,10 +40,10 @@ def as_spark(spark, pdf):
     return spark.createDataFrame(rows, "g string, x double, y double, w int")
 
 
-def check(spark, seed, tol):
+def check(spark, seed, tol, complete=True):
     pdf = frame(seed)
-    want = brute(pdf, tol)
-    got = {r["g"]: r.asDict() for r in pair_totals(as_spark(spark, pdf), ["g"], "x", "y", "w", tol).collect()}
+    want = brute(pdf, tol, complete)
+    got = {r["g"]: r.asDict() for r in pair_totals(as_spark(spark, pdf), ["g"], "x", "y", "w", tol, complete=complete).collect()}
     assert set(got) == set(want)
     for g, t in want.items():
         for c in TOTALS:
@@ -53,11 +53,12 @@ def check(spark, seed, tol):
 @pytest.mark.parametrize("seed,tol", [(1, 1e-10), (2, 1e-10), (2, 0.0)])
 def test_totals_small_groups(spark, seed, tol):
     check(spark, seed, tol)
+    check(spark, seed, tol, complete=False)
 
 
-@pytest.mark.parametrize("seed,tol", [(1, 1e-10), (4, 0.0)])
-def test_totals_hot_group_in_strips(spark, tiny_groups, seed, tol):
-    check(spark, seed, tol)
+@pytest.mark.parametrize("seed,tol,complete", [(1, 1e-10, False), (4, 0.0, True)])
+def test_totals_hot_group_in_strips(spark, tiny_groups, seed, tol, complete):
+    check(spark, seed, tol, complete)
 
 
 @pytest.mark.parametrize("descending", [False, True])
