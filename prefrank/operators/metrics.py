@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prefrank.operators.concordance import pair_totals
 from prefrank.operators.skew import average_rank, group_load, rank_stats
+from prefrank.session import cut_lineage
 
 TIE = 1e-10
 
@@ -95,6 +96,7 @@ def recall_at(df: DataFrame, keys: Sequence[str], ks: Sequence[int] = (1, 2, 3),
 def category_metrics(df: DataFrame, keys: Sequence[str] = ("category",)) -> DataFrame:
     """M5: one row per category with every ranking metric."""
     keys = list(keys)
+    df = cut_lineage(df.select(*keys, "true_score", "predicted_score"))  # every metric reads it again
     acc = pairwise_accuracy(df, keys)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_products"))
     return (

@@ -57,8 +57,8 @@ def blocks(ratings: DataFrame, analogs: DataFrame, min_raters: int = 20) -> tupl
 def block_ratings(ratings: DataFrame, block_items: DataFrame, raters: DataFrame) -> DataFrame:
     """Ratings of analogs by the raters of a block: (category, block_id, respondent, item, similarity)."""
     d = ratings.join(raters, ["category", "respondent"])
-    return d.join(broadcast_if_small(block_items), ["category", "block_id", "item"], "left_semi").select(
-        *BLOCK, "respondent", "item", "similarity")
+    d = d.join(broadcast_if_small(block_items), ["category", "block_id", "item"], "left_semi")
+    return cut_lineage(d.select(*BLOCK, "respondent", "item", "similarity"))  # every panel analysis starts here
 
 
 def individual_accuracy(ratings: DataFrame, rated: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ def bootstrap_weights(df: DataFrame, strata: Sequence[str], unit: str, replicate
     `unit` is unique within its stratum; each stratum keeps its size in every replicate."""
     strata = list(strata)
     base = df.select(*strata, unit) if strata else df.select(unit).withColumn("_all", F.lit(0))
+    base = cut_lineage(base)  # counted, numbered and drawn from
     keys = strata or ["_all"]
     ix = row_index(base, keys, unit, "_pos")
     n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -41,6 +42,7 @@ def bootstrap_accuracy(oof: DataFrame, replicates: int, seed: int, by: Sequence[
                        stratum: str = "category", per_stratum: bool = False) -> DataFrame:
     """Pairwise accuracy of every replicate; copies of one item tie with each other (one half)."""
     by = list(by)
+    oof = cut_lineage(oof.select(*by, stratum, "item", "true_score", "predicted_score"))
     w = bootstrap_weights(oof.select(stratum, "item").distinct(), [stratum], "item", replicates, seed)
     total, largest = group_load(oof, [*by, stratum])  # a replicate never has more distinct rows
     acc = pairwise_accuracy(oof.join(w, [stratum, "item"]), [*by, "rep", stratum], weight="w",
@@ -53,12 +55,12 @@ def bootstrap_accuracy(oof: DataFrame, replicates: int, seed: int, by: Sequence[
 def jackknife_accuracy(oof: DataFrame, by: Sequence[str] = ("model",), stratum: str = "category") -> DataFrame:
     """Pairwise accuracy without each item, in closed form from the item's own credit."""
     by = list(by)
-    d = item_credit(oof, [*by, stratum], "true_score", "predicted_score")
+    d = cut_lineage(item_credit(cut_lineage(oof.select(*by, stratum, "item", "true_score", "predicted_score")), [*by, stratum], "true_score", "predicted_score"))
     cat = d.groupBy(*by, stratum).agg(F.sum("credit").alias("_c"), F.count(F.lit(1)).alias("_n"))
     n = F.col("_n").cast("double")
     tot = cat.groupBy(*by).agg((F.sum("_c") / 2).alias("_C"), F.sum(n * (n - 1) / 2).alias("_P"))
     d = d.join(broadcast_if_small(cat.select(*by, stratum, "_n")), [*by, stratum])
-    d = d.join(F.broadcast(tot), by) if by else d.crossJoin(F.broadcast(tot))
+    d = d.join(broadcast_if_small(tot), by) if by else d.crossJoin(F.broadcast(tot))
     value = ratio(F.col("_C") - F.col("credit"), F.col("_P") - (F.col("_n") - 1))
     return d.select(*by, stratum, "item", value.alias("value"))
 
@@ -142,6 +144,7 @@ def bootstrap_classifier(probs: DataFrame, row: str, levels: Sequence[int], cols
     """Accuracy and macro (or per-class) precision, recall, F1 and AUROC of row resamples.
 
     A class without positives in a resample is left out of the averaged AUROC, and unknown per class."""
+    probs = cut_lineage(probs)
     d = probs.join(bootstrap_weights(probs.select(row), [], row, replicates, seed), [row])
     auc = one_vs_rest_auc(d, cols, ["rep"], "w")
     scores = confusion(d, cols, levels, ["rep"], "w")
