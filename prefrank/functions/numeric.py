@@ -66,7 +66,7 @@ def by_subset(c: Column, vectors: Mapping[object, Column]) -> Column:
     """Pick the vector of the subset a row belongs to; NULL without a subset."""
     out = F.lit(None)
     for name, v in vectors.items():
-        out = F.when(c == name, v) if out is None else F.coalesce(F.when(c == name, v), out)
+        out = F.coalesce(F.when(c == name, v), out)
     return out
 
 

@@ -22,7 +22,7 @@ from prefrank.functions.hashing import hash32, uniform
 from prefrank.operators.metrics import pairwise_accuracy, ratio
 from prefrank.operators.pairs import align_models, _tiled, difference_pairs
 from prefrank.operators.ranking import add_rank_pct
-from prefrank.operators.skew import group_load
+from prefrank.operators.skew import group_load, spread
 
 MAX_FEATURES = 4096
 
@@ -315,7 +315,7 @@ def linear_probe(train: DataFrame, vec: str, label: str, c: float = 1.0):
 
 def random_baseline(items: DataFrame, seeds: int) -> DataFrame:
     """Pairwise accuracy of hashed random scores, one row per seed."""
-    d = items.select("category", "item", "true_score").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    d = spread(items.select("category", "item", "true_score"), "category", "item").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     d = d.withColumn("predicted_score", uniform("baseline", F.col("seed"), F.col("category"), F.col("item")))
     total, largest = group_load(items, ["category"])
     acc = pairwise_accuracy(d, ["seed", "category"], load=(total * seeds, largest))

@@ -25,12 +25,12 @@ def _tiled(df: DataFrame, keys: Sequence[str], item: str, tile: int, largest: in
     if largest <= tile:
         one = df.withColumn("_ca", F.lit(0)).withColumn("_cb", F.lit(0))
         return one, one
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = df.join(broadcast_if_small(n), keys).withColumn("_s", F.ceil(F.col("_n") / tile).cast("int"))
-    own = F.pmod(F.xxhash64(item), F.col("_s")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
-    left = d.withColumn("_ca", own).withColumn("_cb", every).drop("_n", "_s")
-    right = d.withColumn("_cb", own).withColumn("_ca", every).drop("_n", "_s")
+    n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_chunks"))
+    d = df.join(broadcast_if_small(n), keys)
+    own = F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+    left = d.withColumn("_ca", own).withColumn("_cb", every).drop("_chunks")
+    right = d.withColumn("_cb", own).withColumn("_ca", every).drop("_chunks")
     return left, right
 
 
@@ -110,10 +110,11 @@ def tournament_scores(test: DataFrame, train: DataFrame, score: str, keys: Seque
     on = [*keys, "_ca", "_cb"]
 
     def tile_sum(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        s, ref = a["_s"].to_numpy(), b["_s"].to_numpy()
+        if a.empty:
+            return pd.DataFrame({c: [] for c in [*keys, "item", "part"]})
+        s, ref = a["_s"].to_numpy(), b["_s"].to_numpy() if len(b) else np.zeros(0)
         part = np.concatenate([(1 / (1 + np.exp(-(c[:, None] - ref[None, :])))).sum(axis=1)
-                               for c in np.array_split(s, max(1, len(s) * max(1, len(ref)) // 4_000_000 + 1))]) \
-            if len(s) else np.zeros(0)
+                               for c in np.array_split(s, len(s) * len(ref) // 4_000_000 + 1)])
         return a[keys + ["item"]].assign(part=part)
 
     schema = ", ".join(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in [*keys, "item"]) + ", part double"

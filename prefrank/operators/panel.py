@@ -11,7 +11,7 @@ from prefrank.operators.conform import leave_one_out_mean, quantiles
 from prefrank.operators.metrics import pairwise_accuracy, ratio, recall_at, spearman
 from prefrank.operators.pairs import item_pairs
 from prefrank.operators.ranking import add_quantile_bin
-from prefrank.operators.skew import average_rank, broadcast_if_small, group_load, rank_stats, row_index, running_total
+from prefrank.operators.skew import average_rank, broadcast_if_small, group_load, rank_stats, row_index, running_total, spread
 from prefrank.session import cut_lineage
 
 BLOCK = ["category", "block_id"]
@@ -84,7 +84,7 @@ def group_size_curve(ratings: DataFrame, rated: DataFrame, ks: Sequence[int], it
     full = ratings.groupBy("category", "item").agg(F.avg("similarity").alias("true_score"))
     raters = rated.select(*BLOCK, "respondent").distinct()
     size = raters.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    d = raters.join(broadcast_if_small(size), BLOCK).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    d = spread(raters.join(broadcast_if_small(size), BLOCK), *BLOCK, "respondent").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     d = d.filter(F.col("_n") >= F.col("k") + 1).withColumn(
         "iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     # Spark keeps k rows per task before the shuffle; a block's draw order is its hash order.
@@ -155,7 +155,7 @@ def split_half(rated: DataFrame, iterations: int, seed: int) -> DataFrame:
     """H8: accuracy between the means of two random halves of a block, pooled per iteration."""
     raters = rated.select(*BLOCK, "respondent").distinct()
     n = raters.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 4")
-    d = raters.join(broadcast_if_small(n), BLOCK).withColumn(
+    d = spread(raters.join(broadcast_if_small(n), BLOCK), *BLOCK, "respondent").withColumn(
         "iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     h = hash32(seed, F.col("iteration"), F.col("respondent"))
     # The hash alone may tie; the respondent makes the order total.

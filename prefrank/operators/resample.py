@@ -17,7 +17,7 @@ from prefrank.operators.classify import class_scores, confusion, macro_scores, o
 from prefrank.operators.concordance import item_credit
 from prefrank.operators.conform import quantiles
 from prefrank.operators.metrics import pairwise_accuracy, ratio
-from prefrank.operators.skew import broadcast_if_small, group_load, rank_stats, row_index
+from prefrank.operators.skew import broadcast_if_small, group_load, rank_stats, row_index, spread
 from prefrank.session import cut_lineage
 
 
@@ -31,7 +31,7 @@ def bootstrap_weights(df: DataFrame, strata: Sequence[str], unit: str, replicate
     keys = strata or ["_all"]
     ix = row_index(base, keys, unit, "_pos")
     n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    slots = ix.join(broadcast_if_small(n), keys).withColumn(
+    slots = spread(ix.join(broadcast_if_small(n), keys), *keys, "_pos").withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     pos = index_below(F.col("_n"), seed, F.col("rep"), *[F.col(k) for k in strata], F.col("_pos"))
     drawn = slots.select("rep", *keys, pos.alias("_pos")).groupBy("rep", *keys, "_pos").agg(F.count(F.lit(1)).alias("w"))

@@ -24,6 +24,11 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows over all cores before each is multiplied: a small table may sit in one partition."""
+    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism), *cols)
+
+
 def group_load(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     """(all rows, rows of the largest group): one pre-aggregated pass."""
     row = (
