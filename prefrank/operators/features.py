@@ -102,7 +102,7 @@ def nearest_neighbours(queries: DataFrame, refs: DataFrame, key: str, item: str,
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = [key, item, "neighbour", "distance"]
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
         va, vb = (np.stack(d["_v"].to_numpy()).astype(float) for d in (a, b))
         na, nb = (np.linalg.norm(v, axis=1) for v in (va, vb))
         dist = 1 - (va @ vb.T) / np.where(na == 0, 1, na)[:, None] / np.where(nb == 0, 1, nb)[None, :]

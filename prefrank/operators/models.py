@@ -169,7 +169,7 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str =
 
     def tile_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({item: [], "g": [], "c": []})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in (item, "g", "c")})
         yj = b["_y"].to_numpy()
         other = a[item].to_numpy()[:, None] != b[item].to_numpy()[None, :]
         preds = []

@@ -111,7 +111,7 @@ def tournament_scores(test: DataFrame, train: DataFrame, score: str, keys: Seque
 
     def tile_sum(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty:
-            return pd.DataFrame({c: [] for c in [*keys, "item", "part"]})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in [*keys, "item", "part"]})
         s, ref = a["_s"].to_numpy(), b["_s"].to_numpy() if len(b) else np.zeros(0)
         part = np.concatenate([(1 / (1 + np.exp(-(c[:, None] - ref[None, :])))).sum(axis=1)
                                for c in np.array_split(s, len(s) * len(ref) // 4_000_000 + 1)])

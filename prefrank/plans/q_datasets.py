@@ -56,7 +56,7 @@ def _(t):
 @query("w12_category_quota", uses="products", oracle=f"""
     WITH q AS (SELECT category, count(*) AS quota FROM products WHERE source = 'panel' AND item % 4 = 0 GROUP BY 1),
     r AS (SELECT category, item, row_number() OVER (PARTITION BY category ORDER BY {H.format(a="5, item")}, item) AS r FROM products WHERE source = 'external')
-    SELECT category, item FROM r JOIN q USING (category) WHERE r <= quota""")
+    SELECT category, item FROM r LEFT JOIN q USING (category) WHERE quota IS NULL OR r <= quota""")
 def _(t):
     quota = t.products.filter("source = 'panel' AND item % 4 = 0").groupBy("category").agg(F.count(F.lit(1)).alias("quota"))
     return K.capped_by_quota(t.products.filter("source = 'external'").select("category", "item"), quota, 5)
