@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefrank.llm import binary, mixing, tokens
+from prefrank.llm import binary, mixing, quality, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_source_mix")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op9_quality_score")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score(docs.withColumn("held_out", quality.held_out()), model).select("doc_id", "held_out", "score", "predicted")
+
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    model = urls.train(urls.labelled_urls(spark))
+    return urls.judge(table(spark, folder, "pages").select("page_id", "url"), RULES, model).select("page_id", "host", "path", "rule", "verdict")
