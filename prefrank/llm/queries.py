@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefrank.llm import binary, mixing, quality, tokens, urls
+from prefrank.llm import binary, mixing, neighbours, quality, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,20 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     model = urls.train(urls.labelled_urls(spark))
     return urls.judge(table(spark, folder, "pages").select("page_id", "url"), RULES, model).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+             AND len([x FOR x IN embedding IF x <> 0]) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, min(list_distance(q.e, c.e)) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e) GROUP BY ALL)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
+"""
+
+
+@query("op5_nearest_vectors", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors.where("vec_id % 100 = 0"), vectors)
