@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefrank.llm import binary, decontaminate, jaccard, mixing, neighbours, quality, tokens, urls
+from prefrank.llm import binary, decontaminate, jaccard, mixing, neighbours, quality, suffix, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_shingle_components")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(table(spark, folder, "documents"))
+
+
+@query("op7_repeated_bytes")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, folder, "documents")).drop("kept")
