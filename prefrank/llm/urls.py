@@ -15,7 +15,9 @@ from prefrank.llm.common import ascii_lower
 
 #: Names of the default labelled table: host names of sites to block and of ordinary sites.
 BLOCKED_NAMES = ["casino", "casino-win", "poker", "slots", "jackpot", "free-bets", "bets", "betting", "cheap-pills", "pills", "viagra", "pharma-deal", "spam-farm", "spam", "link-farm", "adult-x", "adult", "xxx", "porn", "sex-cam", "ads-track", "ads", "ad-click", "track-click", "malware", "phish"]
-ORDINARY_NAMES = ["news", "weather", "library", "garden", "recipes", "history", "science", "school", "museum", "music", "travel", "sports", "health", "city", "university", "bookshop", "forum", "archive", "research", "photos", "theatre", "market", "bakery", "physics", "railway", "gazette"]
+ORDINARY_NAMES = ["news", "weather", "library", "garden", "recipes", "history", "science", "school", "museum", "music", "travel", "sports", "health", "city", "university", "bookshop", "forum", "archive", "research", "photos", "theatre", "market", "bakery", "physics", "railway", "gazette",
+                  "the-times", "theatre-guide", "other-voices", "mother-care", "thirty-miles", "north-shore", "southern-star", "earthworks", "weaver", "leather", "feather", "gathering", "lighthouse", "riverside", "village", "kitchen", "cottage", "harbour", "mountain", "botany", "chemistry", "poetry", "novels", "letters", "painting", "pottery",
+                  "cinema", "radio", "station", "nation", "motion", "notion", "ration", "edition", "tradition", "exhibition", "institute", "society", "parish", "council", "charity", "hospital", "clinic", "dentist", "insurance-help", "bank", "tax-office", "post", "courier", "bus-lines", "ferry", "airport", "hotel", "hostel", "camping", "hiking"]
 HOSTS = ["{}.example.net", "www.{}.example.com", "blog.{}.example.org", "m.{}.example.net"]
 PATHS = ["/en/{}", "/de/{}.html", "/es/{}/", "/fr/{}?page=2"]
 
@@ -50,11 +52,15 @@ def with_grams(df: DataFrame, url: str, sizes: tuple[int, ...]) -> DataFrame:
     return df.withColumn("host", host).withColumn("path", path).withColumn("__grams", F.concat(ngrams(F.col("host"), "h", sizes), ngrams(F.col("path"), "p", sizes)))
 
 
-def train(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 18, ridge: float = 0.01) -> PipelineModel:
-    """Fit on url, label (1: block, 0: allow); rows with a null are left out. The table is small by contract."""
+def train(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 18, ridge: float = 0.01, threshold: float = 0.7) -> PipelineModel:
+    """Fit on url, label (1: block, 0: allow); rows with a null are left out. The table is small by contract.
+
+    Only a block probability of `threshold` or more blocks: a url of unknown n-grams scores the share of
+    blocked urls in the table, and must pass.
+    """
     rows = with_grams(labelled.dropna(subset=["url", "label"]), "url", sizes)
     stages = [HashingTF(inputCol="__grams", outputCol="__features", numFeatures=buckets, binary=True),
-              LogisticRegression(featuresCol="__features", labelCol="label", regParam=ridge, maxIter=50, rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__block")]
+              LogisticRegression(featuresCol="__features", labelCol="label", regParam=ridge, maxIter=50, threshold=threshold, rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__block")]
     return Pipeline(stages=stages).fit(rows)
 
 
