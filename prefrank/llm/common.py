@@ -43,3 +43,13 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. `lower` does the same on ASCII texts and is quicker there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+#: Most bytes of a table sent to every executor; counted before.
+BROADCAST_BYTES = 16 << 20
+
+
+def sent_if_small(df: DataFrame, width: Column | int = 0) -> DataFrame:
+    """`df` with a broadcast hint if its counted bytes (`width` and 64 a row) are few; otherwise joins shuffle it."""
+    size = df.agg(F.sum((F.lit(width) if isinstance(width, int) else width) + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -13,10 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from prefrank.llm.common import ascii_lower, written
-
-#: Most bytes of a table sent to every executor; counted before.
-BROADCAST_BYTES = 16 << 20
+from prefrank.llm.common import ascii_lower, sent_if_small, written
 
 
 def words(text: Column) -> Column:
@@ -25,12 +22,6 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def sent_if_small(df: DataFrame, width: Column) -> DataFrame:
-    """`df` with a broadcast hint if the counted bytes of its rows are few; otherwise joins shuffle it."""
-    size = df.agg(F.sum(width + 32)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """key, item_id, words of the items that have words; equal items once. Written, so that keys stay."""
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).dropDuplicates()

@@ -11,8 +11,8 @@ for a box around points with its largest counts. Two steps use this:
 * Inside a family a tree of boxes finds, for each point, those whose bound reaches the threshold; the
   shingle sets of these pairs decide. Pairs already connected are skipped: only components are asked for.
 
-Equal sets are collapsed first. Cells are reduced to a star around their smallest member with minima that
-combine before the shuffle, and large families are cut into chunks that meet two by two in tasks of
+Equal sets are collapsed first. Cells are reduced to a star around their smallest member, first within
+each task and then over all, so that no cell is gathered, and large families are cut into chunks that meet two by two in tasks of
 bounded size, so no task or driver ever holds a whole family, and no pairs of copies are listed.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from prefrank.llm.common import pieces, written
+from prefrank.llm.common import pieces, sent_if_small, written
 from prefrank.llm.components import components
 from prefrank.llm.words import Remembered
 
@@ -114,6 +114,55 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "n", "p", "q", "keys"])
 
 
+def stars(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by cell and node, and for each row in it the smallest node of its cell."""
+    order = np.lexsort((node, cell))
+    first = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) != 0]))
+    return order, np.repeat(node[order][first], np.diff(np.append(first, len(order))))
+
+
+def local_stars(batches: Iterator[pa.RecordBatch], rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Combine the cells of a task: the smallest node of a cell stays in it, the others become links to it.
+
+    So a cell brings at most a row from every `rows` rows to the shuffle. Links travel under keys of their own.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def combined() -> pa.RecordBatch:
+        cell, node = (np.concatenate(x) for x in zip(*held))
+        order, top = stars(cell, node)
+        cell, node = cell[order], node[order]
+        link = node != top
+        again = np.concatenate([[False], (np.diff(cell) == 0) & (np.diff(node) == 0)])
+        cell = np.where(link, mixed(node.astype("u8")).view("i8"), cell)
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(node), pa.array(top, mask=~link)], names=["cell", "node", "top"]).filter(pa.array(~again))
+
+    for b in batches:
+        held.append((b.column("cell").to_numpy(), b.column("node").to_numpy()))
+        if sum(len(c) for c, _ in held) >= rows:
+            yield combined()
+            held = []
+    if held:
+        yield combined()
+
+
+def linked_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of each node to the smallest of its cell; rows come ordered by cell and node."""
+    last = (None, None)
+    for b in batches:
+        cell, node, given = b.column("cell").to_numpy(), b.column("node").to_numpy(), b.column("top").is_valid().to_numpy(zero_copy_only=False)
+        u, v = [node[given]], [b.column("top").drop_null().to_numpy()]
+        cell, node = cell[~given], node[~given]
+        if len(cell):
+            _, top = stars(cell, node)
+            if cell[0] == last[0]:
+                top[cell == cell[0]] = last[1]
+            last = (cell[-1], top[-1])
+            u.append(node[node != top])
+            v.append(top[node != top])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+
 class CountTree:
     """Boxes over count vectors, packed bottom up in order of size and first counts; all boxes hold LEAF children."""
 
@@ -214,21 +263,25 @@ def link_components(docs: DataFrame, chunk_docs: int = 1024, chunk_words: int =
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = written(docs.mapInArrow(described, "doc_id long, n long, p long, q long, keys array<long>"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     linked = known.where("n > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("p", "q").agg(F.min("doc_id").alias("rep"))
-    cells = linked.join(classes, ["p", "q"]).where("doc_id = rep").select(F.col("rep").alias("node"), F.explode("keys").alias("cell"))
-    tops = cells.groupBy("cell").agg(F.min("node").alias("top"), F.max("node").alias("other")).where("top < other")
-    stars = cells.join(tops, "cell").where("node > top").select(F.col("node").alias("u"), F.col("top").alias("v"))
-    families = written(components(stars))
+    copies = linked.groupBy("p", "q").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").select("p", "q", "rep")
+    copies = sent_if_small(written(copies))
+
+    def with_rep(rows: DataFrame) -> DataFrame:
+        return rows.join(copies, ["p", "q"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+
+    cells = with_rep(linked).where("doc_id = rep").select(F.explode("keys").alias("cell"), F.col("rep").alias("node"))
+    cells = cells.mapInArrow(local_stars, "cell long, node long, top long").repartition(parts, "cell").sortWithinPartitions("cell", "node")
+    families = sent_if_small(written(components(cells.mapInArrow(linked_stars, "u long, v long"))))
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiled = tiles(texts, families, chunk_docs, chunk_words).repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     links = tiled.mapInArrow(tile_links, "u long, v long")
-    members = linked.select("doc_id", "p", "q").join(classes, ["p", "q"]).select("doc_id", "rep").distinct()
+    members = with_rep(linked.select("doc_id", "p", "q")).select("doc_id", "rep")
     several = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last").select("doc_id", "v")
     same_id = members.join(several, "doc_id").where("rep > v").select(F.col("rep").alias("u"), "v")
-    roots = components(links.unionAll(same_id)).withColumnRenamed("node", "rep")
-    rows = known.select("doc_id", "n", "p", "q").join(classes, ["p", "q"], "left").join(roots, "rep", "left")
+    roots = sent_if_small(written(components(links.unionAll(same_id)).withColumnRenamed("node", "rep")))
+    rows = with_rep(known.select("doc_id", "n", "p", "q")).join(roots, "rep", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
