@@ -11,6 +11,12 @@ def hash32(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("long")
 
 
+def hash60(*parts: Column | str | int) -> Column:
+    """First 60 bits of the same digest, for positions in groups of any size."""
+    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 15), 16, 10).cast("long")
+
+
 def uniform(*parts: Column | str | int) -> Column:
     """Draw in [0, 1)."""
     return hash32(*parts) / F.lit(4294967296.0)
@@ -22,8 +28,8 @@ def uniform_open(*parts: Column | str | int) -> Column:
 
 
 def index_below(n: Column, *parts: Column | str | int) -> Column:
-    """Draw an integer in [0, n)."""
-    return F.pmod(hash32(*parts), n)
+    """Draw an integer in [0, n); every position of a group below 2^40 is within 1e-6 of equally likely."""
+    return F.pmod(hash60(*parts), n)
 
 
 def md5_is_even(*parts: Column | str | int) -> Column:

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from prefrank.operators.skew import add_strip, cut_points, group_load, running_total
+from prefrank.operators.skew import add_strip, cut_points, group_load, join_keys, running_total
 from prefrank.session import cut_lineage, group_rows
 
 TOTALS = ("n_pairs", "ties_x", "ties_y", "ties_xy", "same_way")
@@ -159,7 +159,7 @@ def _tie_class(df: DataFrame, keys: Sequence[str], col: str, tol: float, out: st
     prev = F.coalesce(F.lag(col).over(W.partitionBy(*keys, "_strip").orderBy(col)), F.col("_edge"))
     step = (F.col(col) - F.col("_prev") >= tol) if tol > 0 else (F.col(col) > F.col("_prev"))
     flagged = (
-        d.join(edge, [*keys, "_strip"]).withColumn("_prev", prev)
+        join_keys(d, edge, [*keys, "_strip"]).withColumn("_prev", prev)
         .select(*keys, col, F.when(F.col("_prev").isNull() | step, 1).otherwise(0).cast("long").alias("_new"))
     )
     return running_total(flagged, keys, col, "_new", out, largest).drop("_new")
@@ -208,8 +208,8 @@ def pair_totals(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str
         total, largest = group_load(d, keys)
     if largest <= limit:
         return _packed(d, keys, "_tx", "_ty", "_tw", total, tol)
-    d = (d.join(_tie_class(d, keys, "_tx", tol, "_px"), [*keys, "_tx"], "left")
-         .join(_tie_class(d, keys, "_ty", tol, "_py"), [*keys, "_ty"], "left"))
+    d = join_keys(join_keys(d, _tie_class(d, keys, "_tx", tol, "_px"), [*keys, "_tx"], "left"),
+                  _tie_class(d, keys, "_ty", tol, "_py"), [*keys, "_ty"], "left")
     pts = cut_lineage(d.groupBy(*keys, "_px", "_py").agg(F.sum("_tw").alias("_tw")))
 
     full = pts.dropna(subset=["_px", "_py"])
@@ -223,7 +223,7 @@ def pair_totals(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str
     out = pts.select(*keys).distinct()
     for part in (tied([], "n_pairs"), tied(["_px"], "ties_x"), tied(["_py"], "ties_y"), tied(["_px", "_py"], "ties_xy"),
                  _strict(full, keys, "_px", "_py", "_tw")):
-        out = out.join(part, keys, "left")
+        out = join_keys(out, part, keys, "left")
     return out.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in TOTALS])
 
 
@@ -263,7 +263,7 @@ def _strict_each(points: DataFrame, keys: Sequence[str], x: str, y: str, w: str)
     d = cut_lineage(add_strip(d, keys, y, cut_points(points, keys, y, largest), "_ys"))
     cells = d.groupBy(*keys, "_xs", "_ys").agg(F.sum(w).alias("_cw")).withColumnsRenamed({"_xs": "_cx", "_ys": "_cy"})
     across = _strict_each(cells, keys, "_cx", "_cy", "_cw").withColumnsRenamed({"_cx": "_xs", "_cy": "_ys"})
-    across = d.join(across, [*keys, "_xs", "_ys"]).select(*keys, x, y, "same_way")
+    across = join_keys(d, across, [*keys, "_xs", "_ys"]).select(*keys, x, y, "same_way")
 
     def inside(strip: str, px: str) -> DataFrame:
         rows = d.filter((F.col(strip) == 0) | (F.col(strip) % 2 == 0))
@@ -310,16 +310,16 @@ def item_credit(df: DataFrame, keys: Sequence[str], x: str, y: str, tol: float =
         return _packed_credit(df, keys, x, y, tol, total)
     tx, ty = F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty")
     pts = cut_lineage(df.select(*keys, tx, ty).groupBy(*keys, "_tx", "_ty").agg(F.count(F.lit(1)).cast("double").alias("_tw")))
-    cls = (pts.join(_tie_class(pts, keys, "_tx", tol, "_px"), [*keys, "_tx"], "left")
-           .join(_tie_class(pts, keys, "_ty", tol, "_py"), [*keys, "_ty"], "left"))
+    cls = join_keys(join_keys(pts, _tie_class(pts, keys, "_tx", tol, "_px"), [*keys, "_tx"], "left"),
+                    _tie_class(pts, keys, "_ty", tol, "_py"), [*keys, "_ty"], "left")
     merged = cut_lineage(cls.groupBy(*keys, "_px", "_py").agg(F.sum("_tw").alias("_nxy")))
     full = merged.dropna(subset=["_px", "_py"])
     strict = _strict_each(full, keys, "_px", "_py", "_nxy")
     per = merged
     for c, out in (("_px", "_nx"), ("_py", "_ny")):
         others = merged.dropna(subset=[c]).groupBy(*keys, c).agg((F.sum("_nxy") - 1).alias(out))
-        per = per.join(others, [*keys, c], "left")
-    per = per.join(strict, [*keys, "_px", "_py"], "left")
+        per = join_keys(per, others, [*keys, c], "left")
+    per = join_keys(per, strict, [*keys, "_px", "_py"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     same = F.when(F.col("_px").isNotNull() & F.col("_py").isNotNull(), F.col("_nxy") - 1).otherwise(0.0)
     credit = zero("same_way") + (zero("_nx") + zero("_ny") - same) / 2

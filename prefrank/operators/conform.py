@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prefrank.functions.numeric import round_half_even
-from prefrank.operators.skew import broadcast_if_small, group_load, running_total
+from prefrank.operators.skew import broadcast_if_small, group_load, join_keys, running_total
 from prefrank.session import group_rows
 
 KEY = ["category", "item"]
@@ -114,7 +114,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[floa
     _, distinct = group_load(counts, keys)
     cum = running_total(counts, keys, col, "_c", "_cum", distinct)
     n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    cum = cum.join(broadcast_if_small(n), keys) if keys else cum.crossJoin(F.broadcast(n))
+    cum = join_keys(cum, broadcast_if_small(n), keys)
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
     aggs, qs = [], []
     for i, p in enumerate(probs):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prefrank.operators.concordance import pair_totals
-from prefrank.operators.skew import average_rank, group_load, rank_stats
+from prefrank.operators.skew import average_rank, group_load, join_keys, rank_stats
 from prefrank.session import cut_lineage
 
 TIE = 1e-10
@@ -37,7 +37,7 @@ def pairwise_accuracy(df: DataFrame, keys: Sequence[str], truth: str = "true_sco
     else:
         correct = F.col("same_way") + (F.col("ties_x") + F.col("ties_y") - F.col("ties_xy")) / 2
         sizes = _sizes(df, keys, weight)
-        out = sizes.join(t, keys, "left").select(
+        out = join_keys(sizes, t, keys, "left").select(
             *keys, F.coalesce(correct, F.lit(0.0)).alias("correct"),
             (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
     return out.withColumn("pairwise_accuracy", ratio("correct", "pairs"))
@@ -51,7 +51,7 @@ def kendall_tau(df: DataFrame, keys: Sequence[str], truth: str = "true_score",
     disc = F.col("n_pairs") - F.col("ties_x") - F.col("ties_y") + F.col("ties_xy") - F.col("same_way")
     norm = F.sqrt((F.col("n_pairs") - F.col("ties_x")) * (F.col("n_pairs") - F.col("ties_y")))
     tau = t.select(*keys, ratio(F.col("same_way") - disc, norm).alias("kendall_tau"))
-    return df.select(*keys).distinct().join(tau, keys, "left")
+    return join_keys(df.select(*keys).distinct(), tau, keys, "left")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], truth: str = "true_score",
@@ -69,7 +69,7 @@ def spearman(df: DataFrame, keys: Sequence[str], truth: str = "true_score",
         d.groupBy(*keys).agg(F.sum(a * b).alias("_ab"), F.sum(a * a).alias("_aa"), F.sum(b * b).alias("_bb"))
         .select(*keys, ratio(F.col("_ab"), F.sqrt(F.col("_aa") * F.col("_bb"))).alias("spearman"))
     )
-    return df.select(*keys).distinct().join(rho, keys, "left")
+    return join_keys(df.select(*keys).distinct(), rho, keys, "left")
 
 
 def recall_at(df: DataFrame, keys: Sequence[str], ks: Sequence[int] = (1, 2, 3),
@@ -81,7 +81,7 @@ def recall_at(df: DataFrame, keys: Sequence[str], ks: Sequence[int] = (1, 2, 3),
     best = df.groupBy(*keys).agg(
         F.max(F.struct(F.col(truth).alias("t"), (-F.col(pred)).alias("p"))).alias("_b")
     ).select(*keys, (-F.col("_b.p")).alias("_best"))
-    d = df.join(best, keys)
+    d = join_keys(df, best, keys)
     above = F.sum(F.when(F.col(pred) > F.col("_best") + TIE, 1).otherwise(0))
     tied = F.sum(F.when(F.abs(F.col(pred) - F.col("_best")) < TIE, 1).otherwise(0))
     d = d.groupBy(*keys).agg(above.alias("_above"), tied.alias("_tied"))
@@ -99,11 +99,9 @@ def category_metrics(df: DataFrame, keys: Sequence[str] = ("category",)) -> Data
     df = cut_lineage(df.select(*keys, "true_score", "predicted_score"))  # every metric reads it again
     acc = pairwise_accuracy(df, keys)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_products"))
-    return (
-        n.join(spearman(df, keys), keys).join(kendall_tau(df, keys), keys).join(acc, keys)
-        .join(recall_at(df, keys), keys)
-        .withColumnsRenamed({"correct": "correct_pairs", "pairs": "total_pairs"})
-    )
+    for part in (spearman(df, keys), kendall_tau(df, keys), acc, recall_at(df, keys)):
+        n = join_keys(n, part, keys)
+    return n.withColumnsRenamed({"correct": "correct_pairs", "pairs": "total_pairs"})
 
 
 def overall_metrics(per_category: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from prefrank.operators.conform import quantiles
-from prefrank.operators.skew import average_rank, rank_stats
+from prefrank.operators.skew import average_rank, join_keys, rank_stats
 
 
 def _clean(df: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def add_rank_normalised(df: DataFrame, keys: Sequence[str], col: str, out: str =
 def add_minmax(df: DataFrame, keys: Sequence[str], col: str, out: str = "minmax") -> DataFrame:
     """To [0, 1] over the key; a constant column divides by one."""
     s = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    d = df.join(s, list(keys)) if keys else df.crossJoin(F.broadcast(s))
+    d = join_keys(df, s, keys) if keys else df.crossJoin(F.broadcast(s))
     span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
     return d.withColumn(out, F.least(F.greatest((F.col(col) - F.col("_lo")) / span, F.lit(0.0)), F.lit(1.0))
                         ).drop("_lo", "_hi")
@@ -49,7 +49,7 @@ def best_position(df: DataFrame, keys: Sequence[str], truth: str = "true_score",
     """Place of the truly best item in the predicted order (canonical best on ties)."""
     keys = list(keys)
     best = df.groupBy(*keys).agg(F.max(F.struct(F.col(truth).alias("t"), (-F.col(pred)).alias("p"))).alias("_b"))
-    d = df.join(best, keys)
+    d = join_keys(df, best, keys)
     above = F.sum(F.when(F.col(pred) > -F.col("_b.p"), 1).otherwise(0))
     return d.groupBy(*keys).agg((above + 1).alias("best_position"))
 

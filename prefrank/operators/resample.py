@@ -17,7 +17,7 @@ from prefrank.operators.classify import class_scores, confusion, macro_scores, o
 from prefrank.operators.concordance import item_credit
 from prefrank.operators.conform import quantiles
 from prefrank.operators.metrics import pairwise_accuracy, ratio
-from prefrank.operators.skew import broadcast_if_small, group_load, rank_stats, row_index, spread
+from prefrank.operators.skew import broadcast_if_small, group_load, join_keys, rank_stats, row_index, spread
 from prefrank.session import cut_lineage
 
 
@@ -31,11 +31,11 @@ def bootstrap_weights(df: DataFrame, strata: Sequence[str], unit: str, replicate
     keys = strata or ["_all"]
     ix = row_index(base, keys, unit, "_pos")
     n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    slots = spread(ix.join(broadcast_if_small(n), keys), *keys, "_pos").withColumn(
+    slots = spread(join_keys(ix, broadcast_if_small(n), keys), *keys, "_pos").withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     pos = index_below(F.col("_n"), seed, F.col("rep"), *[F.col(k) for k in strata], F.col("_pos"))
     drawn = slots.select("rep", *keys, pos.alias("_pos")).groupBy("rep", *keys, "_pos").agg(F.count(F.lit(1)).alias("w"))
-    return drawn.join(ix, [*keys, "_pos"]).select("rep", *strata, unit, "w")
+    return join_keys(drawn, ix, [*keys, "_pos"]).select("rep", *strata, unit, "w")
 
 
 def bootstrap_accuracy(oof: DataFrame, replicates: int, seed: int, by: Sequence[str] = ("model",),
@@ -45,7 +45,7 @@ def bootstrap_accuracy(oof: DataFrame, replicates: int, seed: int, by: Sequence[
     oof = cut_lineage(oof.select(*by, stratum, "item", "true_score", "predicted_score"))
     w = bootstrap_weights(oof.select(stratum, "item").distinct(), [stratum], "item", replicates, seed)
     total, largest = group_load(oof, [*by, stratum])  # a replicate never has more distinct rows
-    acc = pairwise_accuracy(oof.join(w, [stratum, "item"]), [*by, "rep", stratum], weight="w",
+    acc = pairwise_accuracy(join_keys(oof, w, [stratum, "item"]), [*by, "rep", stratum], weight="w",
                             load=(total * replicates, largest))
     if per_stratum:
         return acc.select(*by, stratum, "rep", F.col("pairwise_accuracy").alias("value"))
@@ -59,8 +59,8 @@ def jackknife_accuracy(oof: DataFrame, by: Sequence[str] = ("model",), stratum:
     cat = d.groupBy(*by, stratum).agg(F.sum("credit").alias("_c"), F.count(F.lit(1)).alias("_n"))
     n = F.col("_n").cast("double")
     tot = cat.groupBy(*by).agg((F.sum("_c") / 2).alias("_C"), F.sum(n * (n - 1) / 2).alias("_P"))
-    d = d.join(broadcast_if_small(cat.select(*by, stratum, "_n")), [*by, stratum])
-    d = d.join(broadcast_if_small(tot), by) if by else d.crossJoin(F.broadcast(tot))
+    d = join_keys(d, broadcast_if_small(cat.select(*by, stratum, "_n")), [*by, stratum])
+    d = join_keys(d, broadcast_if_small(tot), by) if by else d.crossJoin(F.broadcast(tot))
     value = ratio(F.col("_C") - F.col("credit"), F.col("_P") - (F.col("_n") - 1))
     return d.select(*by, stratum, "item", value.alias("value"))
 
@@ -85,15 +85,15 @@ def bca_interval(observed: DataFrame, boot: DataFrame, jack: DataFrame, keys: Se
     j = cut_lineage(jack.filter(F.col("value").isNotNull()))
     mean = j.groupBy(*keys).agg(F.avg("value").alias("_m"))
     dev = F.col("_m") - F.col("value")
-    acc = (j.join(broadcast_if_small(mean), keys).groupBy(*keys)
+    acc = (join_keys(j, broadcast_if_small(mean), keys).groupBy(*keys)
            .agg(F.sum(dev * dev * dev).alias("_s3"), F.sum(dev * dev).alias("_s2"), F.count(F.lit(1)).alias("_nj"))
            .select(*keys, F.coalesce(F.col("_s3") / F.nullif(6 * F.pow("_s2", F.lit(1.5)), F.lit(0.0)), F.lit(0.0)).alias("_a"), "_nj"))
     below = F.when(F.col("value") < F.col("point"), 1.0).otherwise(0.0)
     if variant == "midp":
         below = below + F.when(F.col("value") == F.col("point"), 0.5).otherwise(0.0)
-    share = b.join(broadcast_if_small(o), keys).groupBy(*keys).agg(F.avg(below).alias("_p"), F.count(F.lit(1)).alias("_nb"))
+    share = join_keys(b, broadcast_if_small(o), keys).groupBy(*keys).agg(F.avg(below).alias("_p"), F.count(F.lit(1)).alias("_nb"))
     clip = {"strict": 1e-10, "midp": 0.0, "filtered": 1e-6}[variant]
-    d = o.join(share, keys, "left").join(acc, keys, "left")
+    d = join_keys(join_keys(o, share, keys, "left"), acc, keys, "left")
     d = d.withColumn("_z0", normal_quantile(F.least(F.greatest("_p", F.lit(clip)), F.lit(1.0 - clip))))
     if variant == "filtered":
         d = d.withColumn("_a", F.when(F.col("_nj") >= 2, F.col("_a")).otherwise(0.0))
@@ -110,7 +110,7 @@ def bca_interval(observed: DataFrame, boot: DataFrame, jack: DataFrame, keys: Se
     d = d.select(*keys, "point", "_nb", *levels)
     # One key holds as many draws as replicates, a fixed small number.
     pos = F.row_number().over(W.partitionBy(*keys).orderBy("value")) - 1
-    ranked = b.select(*keys, "value", pos.alias("_i")).join(broadcast_if_small(d), keys)
+    ranked = join_keys(b.select(*keys, "value", pos.alias("_i")), broadcast_if_small(d), keys)
     picks = []
     for name in ("lo", "hi"):
         h = F.col(f"_q{name}") * (F.col("_nb") - 1)
@@ -119,7 +119,7 @@ def bca_interval(observed: DataFrame, boot: DataFrame, jack: DataFrame, keys: Se
         high = F.max(F.when(F.col("_i") == F.ceil(h), F.col("value")))
         picks.append((low + (high - low) * F.max(frac)).alias(name))
     out = ranked.groupBy(*keys).agg(*picks)
-    out = d.select(*keys, "point", "_nb").join(out, keys, "left")
+    out = join_keys(d.select(*keys, "point", "_nb"), out, keys, "left")
     if variant == "filtered":
         out = out.select(*keys, "point", *[F.when(F.col("_nb") >= 10, F.col(c)).alias(c) for c in ("lo", "hi")])
     return out.select(*keys, "point", "lo", "hi")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -24,6 +25,20 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join on `keys` where null matches null; `left` names the keys of the result.
+
+    Groups with a null key are groups like any other, so every way to compute a result joins like this.
+    """
+    keys = list(keys)
+    if not keys:
+        return left.join(right, how=how) if how == "left" else left.crossJoin(right)
+    other = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()])
+    out = left.join(right.withColumnsRenamed(other), on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*other.values())
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Rows over all cores before each is multiplied: a small table may sit in one partition."""
     return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism), *cols)
@@ -49,7 +64,7 @@ def cut_points(df: DataFrame, keys: Sequence[str], col: str, largest: int) -> Da
     # Twice as many cuts as needed, but few enough that strip x strip cells stay well below the rows.
     k = max(2, min(MAX_CUTS, 2 * math.ceil(largest / limit), math.isqrt(largest) // 4))
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    d = df.join(broadcast_if_small(hot.select(*keys)), list(keys), "left_semi")
+    d = join_keys(df, broadcast_if_small(hot.select(*keys)), keys, "left_semi")
     if isinstance(df.schema[col].dataType, T.NumericType):
         probs = F.array(*[F.lit(i / k) for i in range(1, k)])
         found = F.percentile_approx(col, probs, max(10000, 10 * k))
@@ -74,7 +89,7 @@ def add_strip(df: DataFrame, keys: Sequence[str], col: str, cuts: DataFrame | No
     below = F.size(F.filter("_cuts", lambda c: c < v))
     upto = F.size(F.filter("_cuts", lambda c: c <= v))
     return (
-        df.join(broadcast_if_small(cuts), list(keys), "left")
+        join_keys(df, broadcast_if_small(cuts), keys, "left")
         .withColumn(out, F.coalesce(F.when(F.col("_cuts").isNotNull(), below + upto), F.lit(0)))
         .drop("_cuts")
     )
@@ -97,7 +112,7 @@ def running_total(
     )
     ws = W.partitionBy(*keys, "_strip").orderBy(col).rowsBetween(W.unboundedPreceding, 0)
     return (
-        d.join(base, [*keys, "_strip"])
+        join_keys(d, base, [*keys, "_strip"])
         .withColumn(out, F.col("_base") + F.sum(value).over(ws))
         .drop("_base", "_strip")
     )
@@ -123,10 +138,10 @@ def rank_stats(
     counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias(ties))
     _, distinct = group_load(counts, keys)
     totals = counts.groupBy(*keys).agg(F.sum(ties).alias(n))
-    cum = running_total(counts, keys, col, ties, "_cum", distinct).join(totals, keys)
+    cum = join_keys(running_total(counts, keys, col, ties, "_cum", distinct), totals, keys)
     before = F.col(n) - F.col("_cum") if descending else F.col("_cum") - F.col(ties)
     cum = cum.select(*keys, col, (before + 1).cast("long").alias(rank), ties, n)
-    return df.join(cum, [*keys, col], "left")
+    return join_keys(df, cum, [*keys, col], "left")
 
 
 def average_rank(prefix: str = "_") -> Column:

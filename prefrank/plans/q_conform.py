@@ -109,11 +109,11 @@ def _(t):
 @query("f13_keyword_audit", oracle="""
     SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(list_transform(string_split(lower(
         replace(text, ' ', ',')), ','), lambda x: trim(x))), lambda x: x IN ('the', 'and', 'en'))), '+') AS hits
-    FROM documents WHERE lang = 'en' AND list_has_any(list_transform(string_split(lower(
+    FROM documents WHERE list_has_any(list_transform(string_split(lower(
         replace(text, ' ', ',')), ','), lambda x: trim(x)), ['the', 'and', 'en'])""")
 def _(t):
     hits = X.animal_hits(F.replace(F.col("text"), F.lit(" "), F.lit(",")), ["the", "and", "en"])
-    return (t.documents.filter("lang = 'en'").select("doc_id", hits.alias("h")).filter(F.size("h") > 0)
+    return (t.documents.select("doc_id", hits.alias("h")).filter(F.size("h") > 0)
             .select("doc_id", F.array_join("h", "+").alias("hits")))
 
 

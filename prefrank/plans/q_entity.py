@@ -17,7 +17,7 @@ def rounded(d, *cols):
 
 def _values(d, *keep):
     d = d.select(*keep, F.posexplode("vec").alias("pos", "value"))
-    return d.select(*keep, F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value")).filter("pos < 8")
+    return d.select(*keep, F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
 ALIAS = f"""
@@ -60,14 +60,14 @@ def _(t):
 
 
 @query("e3_primary_fallback", oracle="""
-    WITH p AS (SELECT p_type AS ingredient, l_suppkey AS compound, max(l_quantity) AS concentration FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 3 GROUP BY 1, 2),
-    f AS (SELECT DISTINCT p_type AS ingredient, l_suppkey AS compound FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 4)
+    WITH p AS (SELECT p_type AS ingredient, l_suppkey AS compound, max(l_quantity) AS concentration FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 25 GROUP BY 1, 2),
+    f AS (SELECT DISTINCT p_type AS ingredient, l_suppkey AS compound FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 25)
     SELECT * FROM p UNION ALL SELECT ingredient, compound, NULL FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.ingredient = f.ingredient AND p.compound = f.compound)""")
 def _(t):
     d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_type").alias("ingredient"), F.col("l_suppkey").alias("compound"), F.col("l_quantity").alias("q"), "p_size")
     side = lambda cond: d.filter(cond).groupBy("ingredient", "compound").agg(F.max("q").alias("concentration"))
-    return E.merged_compounds(side("p_size < 3"), [side("p_size = 4")])
+    return E.merged_compounds(side("p_size < 25"), [side("p_size >= 25")])
 
 
 @query("e4_evidence_filters", uses="kg_evidence", oracle="""
@@ -111,14 +111,14 @@ def _(t):
 
 
 CONTENT = """
-    WITH ct AS (SELECT p_type AS food, concat('s', l_suppkey % 20) AS smiles, l_suppkey AS source_id, l_quantity AS amount FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10 AND l_suppkey % 20 < 15),
+    WITH ct AS (SELECT p_type AS food, concat('s', l_suppkey % 20) AS smiles, l_suppkey AS source_id, l_quantity AS amount FROM lineitem JOIN part ON l_partkey = p_partkey),
     pf AS (SELECT food, smiles, max(amount) AS amount FROM ct GROUP BY 1, 2),
     md AS (SELECT smiles, arg_max(m, source_id) AS median FROM (SELECT smiles, source_id, median(amount) AS m FROM ct GROUP BY 1, 2) GROUP BY 1)
 """
 
 
 def _content(t):
-    d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).filter("p_size < 10 AND l_suppkey % 20 < 15")
+    d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return d.select(F.col("p_type").alias("food"), F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("smiles"),
                     F.col("l_suppkey").alias("source_id"), F.col("l_quantity").alias("amount"))
 
@@ -178,7 +178,7 @@ def _(t):
 
 
 CV = """
-    WITH cv AS (SELECT ingredient, compound, concentration, pos, CAST(vec[pos + 1] AS DOUBLE) AS x FROM compound_slice JOIN compound_vectors USING (compound), range(8) p(pos)),
+    WITH cv AS (SELECT ingredient, compound, concentration, pos, CAST(vec[pos + 1] AS DOUBLE) AS x FROM compound_slice JOIN compound_vectors USING (compound), range(64) p(pos)),
 """
 POOL_KEYS = "SELECT ingredient, pos, round({e}, 6) AS value FROM {t} GROUP BY 1, 2"
 
@@ -207,15 +207,14 @@ _pool_query("e7b_log_pooling", "log", "sum(w * x) / sum(w)",
             "greatest(CASE WHEN concentration > 0 THEN ln(1 + concentration) ELSE 0 END, 1e-6)", "w", zero_shot=True)
 _pool_query("e7b_top3_pooling", "top3", "avg(x)", table="t3", extra=TOP.format(o="concentration DESC NULLS LAST"), zero_shot=True)
 
-IV = CV + """iv AS (SELECT ingredient, pos AS d, avg(x) AS x FROM cv WHERE ingredient NOT LIKE 'PROMO%' GROUP BY 1, 2),
+IV = CV + """iv AS (SELECT ingredient, pos AS d, avg(x) AS x FROM cv GROUP BY 1, 2),
     rp AS (SELECT product, ingredient, min(pos) AS p FROM recipes GROUP BY 1, 2), ri AS (SELECT * FROM rp JOIN iv USING (ingredient)),
     rk AS (SELECT *, row_number() OVER (PARTITION BY product, d ORDER BY p, ingredient) AS r FROM ri)
 """
 
 
 def _ingredients(t):
-    d = E.ingredient_vectors(t.compound_slice.filter("ingredient NOT LIKE 'PROMO%'"), t.compound_vectors, "mean")
-    return d.withColumn("vec", F.slice("vec", 1, 8))
+    return E.ingredient_vectors(t.compound_slice, t.compound_vectors, "mean")
 
 
 def _product_query(name, how, expr, where=""):
@@ -242,9 +241,9 @@ def _(t):
 
 @query("e11_match_coverage", uses="compound_slice recipes", oracle="""
     SELECT product, count(*) AS listed, count(s.ingredient) AS matched FROM recipes r
-    LEFT JOIN (SELECT DISTINCT ingredient FROM compound_slice WHERE ingredient NOT LIKE 'PROMO%') s ON s.ingredient = r.ingredient GROUP BY 1""")
+    LEFT JOIN (SELECT DISTINCT ingredient FROM compound_slice) s ON s.ingredient = r.ingredient GROUP BY 1""")
 def _(t):
-    return E.match_coverage(t.recipes, t.compound_slice.filter("ingredient NOT LIKE 'PROMO%'"))
+    return E.match_coverage(t.recipes, t.compound_slice)
 
 
 @query("e12_slice_coverage", uses="compound_slice compound_vectors", oracle="""

@@ -38,7 +38,7 @@ def _(t):
 
 def _two(t):
     v = F.col("vec").cast("array<double>")
-    return t.items_vec.select("category", "item", F.col("category").cast("double").alias("y"), F.slice(v, 1, 16).alias("a"), F.slice(v, 17, 8).alias("b"))
+    return t.items_vec.select("category", "item", F.col("category").cast("double").alias("y"), F.slice(v, 1, 32).alias("a"), F.slice(v, 33, 32).alias("b"))
 
 
 @query("d4_ridge_vectors")
@@ -133,11 +133,11 @@ def _(t):
 
 
 @query("d15_random_baseline", uses="oof", oracle="""
-    WITH r AS (SELECT seed, category, item, true_score, CAST('0x' || substr(md5(concat_ws(':', 'baseline', seed, category, item)), 1, 8) AS BIGINT) AS p FROM oof, range(10) s(seed))
+    WITH r AS (SELECT seed, category, item, true_score, CAST('0x' || substr(md5(concat_ws(':', 'baseline', seed, category, item)), 1, 8) AS BIGINT) AS p FROM oof, range(100) s(seed))
     SELECT CAST(a.seed AS BIGINT) AS seed, round(avg(CASE WHEN a.true_score = b.true_score OR a.p = b.p THEN 0.5 WHEN (a.true_score > b.true_score) = (a.p > b.p) THEN 1.0 ELSE 0.0 END), 6) AS pairwise_accuracy
     FROM r a JOIN r b ON a.seed = b.seed AND a.category = b.category AND a.item < b.item GROUP BY 1""")
 def _(t):
-    return rounded(L.random_baseline(t.oof, 10).withColumn("seed", F.col("seed").cast("long")), "pairwise_accuracy")
+    return rounded(L.random_baseline(t.oof, 100).withColumn("seed", F.col("seed").cast("long")), "pairwise_accuracy")
 
 
 @query("d16_best_config", uses="oof_multi", oracle=MM + "SELECT arg_max(model, macro) AS model, round(max(macro), 6) AS macro FROM mm")
@@ -169,7 +169,7 @@ def _(t):
 
 @query("p8_partial_least_squares")
 def _(t):
-    d = L.partial_least_squares(_two(t), "a", "y", 3)
+    d = L.partial_least_squares(_two(t), "a", "y", 20)
     return d.select("item", F.size("pls").alias("components"), F.round(F.col("pls")[0], 6).alias("first"))
 
 

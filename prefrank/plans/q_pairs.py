@@ -15,10 +15,10 @@ EVEN = "('0','2','4','6','8','a','c','e')"
 
 @query("j1_items_with_labels", uses="ratings item_labels", oracle="""
     SELECT category, item, avg(similarity) AS mean, any_value(product_type) AS product_type FROM ratings
-    LEFT JOIN (SELECT * FROM item_labels WHERE item < 5) l USING (category, item) GROUP BY 1, 2""")
+    LEFT JOIN item_labels l USING (category, item) GROUP BY 1, 2""")
 def _(t):
     d = t.ratings.groupBy("category", "item").agg(F.avg("similarity").alias("mean"))
-    return d.join(t.item_labels.filter("item < 5"), ["category", "item"], "left").select("category", "item", "mean", "product_type")
+    return d.join(t.item_labels, ["category", "item"], "left").select("category", "item", "mean", "product_type")
 
 
 @query("j2_ratings_with_labels", uses="ratings item_labels", oracle="""
@@ -63,20 +63,20 @@ def _(t):
 
 
 @query("j12_code_translation", uses="judgements", oracle="""
-    SELECT category, CASE WHEN item_1 <= 5 THEN item_1 + 100 END AS item_1, CASE WHEN item_2 <= 5 THEN item_2 + 100 END AS item_2
+    SELECT category, item_1 + 100 AS item_1, item_2 + 100 AS item_2
     FROM judgements""")
 def _(t):
-    m = t.order_items.filter("item <= 5").select("category", F.col("item").alias("code"), (F.col("item") + 100).alias("new_code"))
+    m = t.order_items.select("category", F.col("item").alias("code"), (F.col("item") + 100).alias("new_code"))
     return P.code_translated(t.judgements.select("category", "item_1", "item_2"), m, ["item_1", "item_2"])
 
 
 @query("j13_pair_scores", uses="judgements order_items", oracle="""
     SELECT j.category, j.item_1, j.item_2, a.predicted_score AS score_1, b.predicted_score AS score_2 FROM judgements j
-    LEFT JOIN (SELECT * FROM order_items WHERE item < 6) a ON a.category = j.category AND a.item = j.item_1
-    LEFT JOIN (SELECT * FROM order_items WHERE item < 6) b ON b.category = j.category AND b.item = j.item_2""")
+    LEFT JOIN order_items a ON a.category = j.category AND a.item = j.item_1
+    LEFT JOIN order_items b ON b.category = j.category AND b.item = j.item_2""")
 def _(t):
     p = t.judgements.select("category", "item_1", "item_2")
-    return P.with_scores(p, t.order_items.filter("item < 6"), "predicted_score").select(
+    return P.with_scores(p, t.order_items, "predicted_score").select(
         "category", "item_1", "item_2", "score_1", "score_2")
 
 
