@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prefrank.llm.common import pieces, written
+from prefrank.llm.common import pieces, sent_if_small, written
 from prefrank.llm.jaccard import mixed
 
 GRAM = 64
@@ -164,9 +164,11 @@ def repeated_spans(texts: DataFrame, depth: int, gram: int, largest: int) -> Dat
     """doc_id, h, lo, hi: byte spans that repeated windows cover; spans may overlap. `texts`: doc_id, h, text."""
     long_enough = texts.where(F.octet_length("text") >= depth)
     every = long_enough.mapInArrow(lambda b: all_runs(b, depth, gram), RUN)
-    anchors = every.groupBy("anchor").count().where("count > 1").select("anchor")
+    # tables that joins read are written first: only then can a join split a hot key of its other side
+    anchors = sent_if_small(written(every.groupBy("anchor").count().where("count > 1").select("anchor")))
     left = written(every.join(anchors, "anchor"))
     contents = left.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("total"), F.min(F.struct("doc_id", "h", "pos")).alias("owner"))
+    contents = written(contents)
     groups = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"), F.min("total").alias("least"))
     start, size = F.shiftright("pos", 8), F.col("pos").bitwiseAND(255)
     whole = left.join(contents.where("total > 1").select("anchor", "content"), ["anchor", "content"]).select("doc_id", "h", start.alias("lo"), (start + size + depth - 1).alias("hi"))
@@ -184,7 +186,7 @@ def repeated_spans(texts: DataFrame, depth: int, gram: int, largest: int) -> Dat
     return whole.unionAll(few).unionAll(many)
 
 
-def without_repeats(docs: DataFrame, depth: int = 200, gram: int = GRAM, largest: int = 512) -> DataFrame:
+def without_repeats(docs: DataFrame, depth: int = 200, gram: int = GRAM, largest: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document.
 
     Removed is every byte that a string of `depth` bytes covers which also starts elsewhere, in the same
