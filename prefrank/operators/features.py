@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from prefrank.operators.conform import quantiles
 from prefrank.operators.pairs import _tiled
-from prefrank.operators.skew import broadcast_if_small, group_load
+from prefrank.operators.skew import broadcast_if_small, group_load, join_keys
 
 
 def pooled(df: DataFrame, keys: Sequence[str], vec: str, how: str = "mean", weight: str | None = None,
@@ -87,43 +87,46 @@ def scaled(df: DataFrame, keys: Sequence[str], vec: str, scaler: str = "standard
     return d.withColumn(vec, F.zip_with(moved, "_scale", lambda x, y: x / y)).drop("_shift", "_scale")
 
 
-def nearest_neighbours(queries: DataFrame, refs: DataFrame, key: str, item: str, vec: str, k: int) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, refs: DataFrame, key: str, item: str, vec: str, k: int, group: str | None = None) -> DataFrame:
     """The k nearest references of the same key by cosine distance, (distance, item) order.
 
+    `group` is a second part of an item's identity, for codes that repeat; it comes back as `group` and
+    `neighbour_group`.
     Distances are computed chunk against chunk; only the k best of each chunk leave a task.
     """
-    q = queries.select(key, item, F.col(vec).alias("_v"), F.lit(True).alias("_left"))
-    r = refs.select(key, item, F.col(vec).alias("_v"), F.lit(False).alias("_left"))
+    ids = [item] if group is None else [item, group]
+    near = ["neighbour"] if group is None else ["neighbour", "neighbour_group"]
+    q = queries.select(key, *ids, F.col(vec).alias("_v"), F.lit(True).alias("_left"))
+    r = refs.select(key, *ids, F.col(vec).alias("_v"), F.lit(False).alias("_left"))
     both = q.unionByName(r)
     _, largest = group_load(both, [key])
     left, right = _tiled(both, [key], item, 4096, largest)
     on = [key, "_ca", "_cb"]
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cols = [key, item, "neighbour", "distance"]
         if a.empty or b.empty:
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in [key, *ids, *near, "distance"]})
+        b = b.sort_values(ids)
         va, vb = (np.stack(d["_v"].to_numpy()).astype(float) for d in (a, b))
         na, nb = (np.linalg.norm(v, axis=1) for v in (va, vb))
         dist = 1 - (va @ vb.T) / np.where(na == 0, 1, na)[:, None] / np.where(nb == 0, 1, nb)[None, :]
-        ids = b[item].to_numpy()
-        top = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :k]
+        top = np.argsort(dist, axis=1, kind="stable")[:, :k]
         n = top.shape[1]
-        return pd.DataFrame({key: np.repeat(a[key].to_numpy(), n), item: np.repeat(a[item].to_numpy(), n),
-                             "neighbour": ids[top].ravel(), "distance": np.take_along_axis(dist, top, 1).ravel()})
+        return pd.DataFrame({**{c: np.repeat(a[c].to_numpy(), n) for c in [key, *ids]}, **{o: b[c].to_numpy()[top].ravel() for o, c in zip(near, ids)},
+                             "distance": np.take_along_axis(dist, top, 1).ravel()})
 
-    kt, it = both.schema[key].dataType.simpleString(), both.schema[item].dataType.simpleString()
+    kinds = [(c, both.schema[s].dataType.simpleString()) for c, s in zip([key, *ids, *near], [key, *ids, *ids])]
     a, b = (d.toDF(*d.columns) for d in (left.filter("_left"), right.filter("NOT _left")))
     best = a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(
-        tile, f"`{key}` {kt}, `{item}` {it}, neighbour {it}, distance double")
-    w = W.partitionBy(key, item).orderBy("distance", "neighbour")
+        tile, ", ".join(f"`{c}` {t}" for c, t in kinds) + ", distance double")
+    w = W.partitionBy(key, *ids).orderBy("distance", *near)
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_imputed(df: DataFrame, blocks: Sequence[str], k: int = 5, only: Sequence[str] | None = None) -> DataFrame:
     """A missing block becomes the mean of that block over the k nearest complete items of the
     category, by cosine on the blocks the item has; over all complete items if the category has none.
-    Items without any block are dropped."""
+    Items are known by category and code, so codes may repeat. Items without any block are dropped."""
     blocks = list(blocks)
     present = F.concat(*[F.when(F.col(b).isNotNull(), F.lit("1")).otherwise(F.lit("0")) for b in blocks])
     d = df.withColumn("_have", present).filter(F.col("_have").contains("1"))
@@ -131,24 +134,24 @@ def knn_imputed(df: DataFrame, blocks: Sequence[str], k: int = 5, only: Sequence
     complete = d.filter(F.col("_have") == full)
     gaps = d.filter(F.col("_have") != full)
     homes = complete.select("category").distinct().withColumn("_home", F.lit(True))
-    gaps = gaps.join(broadcast_if_small(homes), ["category"], "left")
+    gaps = join_keys(gaps, broadcast_if_small(homes), ["category"], "left")
     patterns = [r["_have"] for r in gaps.select("_have").distinct().collect()]  # at most 2^blocks values
     out = complete.drop("_have")
     for pattern in patterns:
         have = [b for b, bit in zip(blocks, pattern) if bit == "1"]
         lack = [b for b in blocks if b not in have and (only is None or b in only)]
-        route = lambda own: F.concat(F.lit("c:"), F.col("category").cast("string")) if own else F.lit("*")
+        route = lambda own: F.coalesce(F.concat(F.lit("c:"), F.col("category").cast("string")), F.lit("n:")) if own else F.lit("*")
         joined = F.concat(*[F.col(b) for b in have]).alias("_q")
         some = gaps.filter(F.col("_have") == pattern)
-        q = some.select(F.when(F.col("_home"), route(True)).otherwise(route(False)).alias("_route"), "item", joined)
+        q = some.select(F.when(F.col("_home"), route(True)).otherwise(route(False)).alias("_route"), "category", "item", joined)
         orphans = q.filter("_route = '*'").select("_route").distinct()
-        refs = complete.select(route(True).alias("_route"), "item", joined).unionByName(
-            complete.select(route(False).alias("_route"), "item", joined).join(F.broadcast(orphans), ["_route"], "left_semi"))
-        near = nearest_neighbours(q, refs, "_route", "item", "_q", k)
-        filled = near.join(complete.select(F.col("item").alias("neighbour"), *lack), ["neighbour"])
+        refs = complete.select(route(True).alias("_route"), "category", "item", joined).unionByName(
+            complete.select(route(False).alias("_route"), "category", "item", joined).join(F.broadcast(orphans), ["_route"], "left_semi"))
+        near = nearest_neighbours(q, refs, "_route", "item", "_q", k, "category")
+        filled = join_keys(near, complete.select(F.col("item").alias("neighbour"), F.col("category").alias("neighbour_group"), *lack), ["neighbour", "neighbour_group"])
         fixed = some.drop("_have", "_home", *lack)
         for b in lack:
-            fixed = fixed.join(pooled(filled, ["item"], b, "mean", out=b), ["item"])
+            fixed = join_keys(fixed, pooled(filled, ["category", "item"], b, "mean", out=b), ["category", "item"])
         out = out.unionByName(fixed.select(*out.columns))
     return out
 

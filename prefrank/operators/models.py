@@ -141,25 +141,26 @@ def nnls_leave_one_out(df: DataFrame, cols: Sequence[str], target: str, out: str
     return d.mapInPandas(predict, schema)
 
 
-def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str = "item", alpha: float = 1.0,
+def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str | Sequence[str] = "item", alpha: float = 1.0,
                     tile: int = 2048) -> DataFrame:
     """Leak-free ensemble of ridge models. For each item i the combination weights are fitted
     on the predictions of every other item j by models that saw neither i nor j.
 
     Those leave-two-out predictions follow in closed form; chunk x chunk tiles reduce them to the
-    few sums each item needs, so the item x item matrix is never stored.
+    few sums each item needs, so the item x item matrix is never stored. `item` names the columns that
+    identify an item, such as category and code where codes repeat.
     """
-    vecs = list(vecs)
+    vecs, names = list(vecs), [item] if isinstance(item, str) else list(item)
     fits = {}
     for v in vecs:
         zz, zy, _ = cross_products(df, v, target)
         inv = np.linalg.inv(zz + _penalty(len(zz), alpha))
         fits[v] = (inv, inv @ zy)
     k = len(vecs)
-    d = df.select(F.lit(0).alias("_all"), item, F.col(target).cast("double").alias("_y"),
-                  *[F.col(v).cast("array<double>").alias(v) for v in vecs]).dropna()
+    d = df.select(F.lit(0).alias("_all"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("_id"), *names, F.col(target).cast("double").alias("_y"),
+                  *[F.col(v).cast("array<double>").alias(v) for v in vecs]).dropna(subset=["_y", *vecs])
     _, largest = group_load(d, ["_all"])
-    left, right = _tiled(d, ["_all"], item, tile, largest)
+    left, right = _tiled(d.drop(*names), ["_all"], "_id", tile, largest)
 
     def parts(pdf: pd.DataFrame, v: str):
         inv, coef = fits[v]
@@ -169,9 +170,9 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str =
 
     def tile_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in (item, "g", "c")})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("_id", "g", "c")})
         yj = b["_y"].to_numpy()
-        other = a[item].to_numpy()[:, None] != b[item].to_numpy()[None, :]
+        other = a["_id"].to_numpy()[:, None] != b["_id"].to_numpy()[None, :]
         preds = []
         for v in vecs:
             (zi, ei, hi), (zj, ej, hj) = parts(a, v), parts(b, v)
@@ -180,15 +181,15 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str =
             res = ((1 - hi)[:, None] * ej[None, :] + hij * ei[:, None]) / np.where(other, det, 1.0)
             preds.append(np.where(other, yj[None, :] - res, 0.0))
         p = np.stack(preds)
-        return pd.DataFrame({item: a[item].to_numpy(), "g": list(np.einsum("anm,bnm->nab", p, p).reshape(len(a), -1)),
+        return pd.DataFrame({"_id": a["_id"].to_numpy(), "g": list(np.einsum("anm,bnm->nab", p, p).reshape(len(a), -1)),
                              "c": list(np.einsum("anm,m->na", p, yj))})
 
-    it = d.schema[item].dataType.simpleString()
+    kinds = ", ".join(f"`{n}` {d.schema[n].dataType.simpleString()}" for n in names)
     a, b = (x.toDF(*x.columns) for x in (left, right))
     on = ["_all", "_ca", "_cb"]
-    sums = a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(tile_sums, f"`{item}` {it}, g array<double>, c array<double>")
+    sums = a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(tile_sums, "_id string, g array<double>, c array<double>")
     add = lambda c: vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
-    sums = sums.groupBy(item).agg(add("g"), add("c"))
+    sums = sums.groupBy("_id").agg(add("g"), add("c"))
 
     def combine(batches):
         for pdf in batches:
@@ -199,9 +200,9 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str =
                 z, e, h = parts(pdf, v)
                 outer[:, n] = pdf["_y"].to_numpy() - e / (1 - h)
             w = nnls_weights(np.stack(pdf["g"].to_numpy()).reshape(-1, k, k), np.stack(pdf["c"].to_numpy()))
-            yield pd.DataFrame({item: pdf[item], "true_score": pdf["_y"], "weights": list(w), "predicted_score": (w * outer).sum(axis=1)})
+            yield pd.DataFrame({**{n: pdf[n] for n in names}, "true_score": pdf["_y"], "weights": list(w), "predicted_score": (w * outer).sum(axis=1)})
 
-    return d.join(sums, [item]).mapInPandas(combine, f"`{item}` {it}, true_score double, weights array<double>, predicted_score double")
+    return d.join(sums, ["_id"]).mapInPandas(combine, f"{kinds}, true_score double, weights array<double>, predicted_score double")
 
 
 def mean_ensemble(oof: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -253,18 +254,19 @@ def _ordered_pairs(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     return v.groupBy(*keys).agg(((F.sum("_c") * F.sum("_c") - F.sum(F.col("_c") * F.col("_c"))) / 2).alias("n"))
 
 
-def with_fold(df: DataFrame, item: str, folds: int, seed: int) -> DataFrame:
-    """Fold number of an item by hash."""
-    return df.withColumn("fold", F.pmod(hash32(seed, "fold", F.col(item)), F.lit(folds)).cast("int"))
+def with_fold(df: DataFrame, item: str | Sequence[str], folds: int, seed: int) -> DataFrame:
+    """Fold number of an item by hash; `item` is a column, or the columns that identify an item."""
+    names = [item] if isinstance(item, str) else item
+    return df.withColumn("fold", F.pmod(hash32(seed, "fold", *[F.col(n) for n in names]), F.lit(folds)).cast("int"))
 
 
-def boosted_trees_oof(df: DataFrame, vec: str, target: str, item: str, folds: int = 5, seed: int = 42, rounds: int = 100,
+def boosted_trees_oof(df: DataFrame, vec: str, target: str, item: str | Sequence[str], folds: int = 5, seed: int = 42, rounds: int = 100,
                       max_leaves_depth: int = 5, early_stop: bool = False) -> DataFrame:
     """Out-of-fold scores of gradient-boosted trees; one fit per fold of a fixed small number.
 
     `early_stop` holds a tenth of the training rows out and stops when they no longer improve."""
     d = with_fold(df, item, folds, seed).withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
-    d = d.withColumn("_held", uniform(seed, "held", F.col(item)) < 0.1)
+    d = d.withColumn("_held", uniform(seed, "held", *[F.col(n) for n in ([item] if isinstance(item, str) else item)]) < 0.1)
     out = None
     for f in range(folds):
         gbt = GBTRegressor(featuresCol="_v", labelCol=target, predictionCol="predicted_score", maxIter=rounds,

@@ -68,12 +68,12 @@ def _(t):
 
 @query("d7_boosted_trees")
 def _(t):
-    return rounded(L.boosted_trees_oof(_two(t), "b", "y", "item", folds=2, rounds=4, max_leaves_depth=3).select("category", "item", "predicted_score"), "predicted_score")
+    return rounded(L.boosted_trees_oof(_two(t), "b", "y", ["category", "item"], folds=2, rounds=4, max_leaves_depth=3).select("category", "item", "predicted_score"), "predicted_score")
 
 
 @query("d9_nested_ensemble")
 def _(t):
-    return rounded(L.nested_ensemble(_two(t), ["a", "b"], "y").select("item", "true_score", "predicted_score"), "predicted_score")
+    return rounded(L.nested_ensemble(_two(t), ["a", "b"], "y", ["category", "item"]).select("item", "true_score", "predicted_score"), "predicted_score")
 
 
 NN = """
@@ -129,7 +129,7 @@ def _(t):
 @query("d14_boosted_meta")
 def _(t):
     d = t.stats_multi.select("category", "item", F.col("true_score").alias("y"), F.array(F.col("price") / F.lit(1e6), F.col("tax"), F.col("discount").cast("double")).alias("x"))
-    return rounded(L.boosted_trees_oof(d, "x", "y", "item", folds=2, rounds=4, max_leaves_depth=3, early_stop=True).select("category", "item", "predicted_score"), "predicted_score")
+    return rounded(L.boosted_trees_oof(d, "x", "y", ["category", "item"], folds=2, rounds=4, max_leaves_depth=3, early_stop=True).select("category", "item", "predicted_score"), "predicted_score")
 
 
 @query("d15_random_baseline", uses="oof", oracle="""

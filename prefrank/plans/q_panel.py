@@ -258,9 +258,9 @@ def _(t):
 def _(t):
     """Interval of k* when the iterations of the group-size curve are resampled."""
     r, _, rated = _parts(t)
-    curve = H.group_size_curve(r, rated, [1, 3, 5, 9], 10, 9)
-    w = bootstrap_weights(curve.select("iteration").distinct(), [], "iteration", 20, 13)
+    curve = H.group_size_curve(r, rated, [1, 3, 5, 9], 50, 9)
+    w = bootstrap_weights(curve.select("iteration").distinct(), [], "iteration", 200, 13)
     d = curve.join(F.broadcast(w), "iteration").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
     med = quantiles(d, ["rep", "k"], "pairwise_accuracy", [0.5]).select("rep", "k", F.col("q")[0].alias("accuracy"))
-    stars = H.interpolated_k(med, 0.62, ["rep"]).select(F.lit(1).alias("_all"), F.col("k_star").alias("value"))
+    stars = H.interpolated_k(med, 0.55, ["rep"]).select(F.lit(1).alias("_all"), F.col("k_star").alias("value"))
     return rounded(percentile_interval(stars, ["_all"]).drop("_all"), "lo", "hi")
