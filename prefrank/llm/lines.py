@@ -13,71 +13,60 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from prefrank.llm.common import sent_if_small, written
+
 #: Modulus of the rolling hash; line hashes have 28 bits, so products stay within 64.
 MODULUS = (1 << 31) - 1
 BASE = 1_000_003
 
 
 def line_hash(line: Column) -> Column:
-    """28 bits of the line's MD5."""
-    return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
-
-
-def rolling(hashes: Column, window: int) -> Column:
-    """Polynomial hash of each line with the `window` - 1 lines before it; missing lines count 0."""
-    total = F.transform(hashes, lambda h: h)
-    shifted = hashes
-    for _ in range(window - 1):
-        shifted = F.slice(F.concat(F.array(F.lit(0).cast("long")), shifted), 1, F.greatest(F.size(hashes), F.lit(0)))
-        total = F.zip_with(total, shifted, lambda a, b: (a * BASE + b) % MODULUS)
-    return total
+    """28 bits of the line's MD5; 0 for a line before the first."""
+    return F.coalesce(F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long"), F.lit(0))
 
 
-def chunk_bounds(rolled: Column, mean: int, longest: int) -> Column:
-    """Start (from 1) and size of the chunks: a line whose rolling hash is 0 modulo `mean` ends one.
+def marked_chunks(text: Column, mean: int) -> Column:
+    """The text with "=" before each line and "#" before each chunk but the first; null for a text without lines.
 
-    Pieces beyond `longest` lines are cut evenly from their start.
+    The hash rolls over two lines; where it is 0 modulo `mean` the later one ends a chunk. A line starts with
+    "=" after every newline, so newline and "#" stand for a chunk's end only. Each line meets the two before
+    it by shifted copies of the list: nothing is looked up or computed again per line.
     """
-    n = F.size(rolled)
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.element_at(rolled, i) % mean == 0))
-    starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-    pieces = F.zip_with(starts, ends, lambda s, e: F.transform(F.sequence(s, e, F.lit(longest)), lambda a: F.struct(a.alias("start"), F.least(F.lit(longest), e - a + 1).alias("size"))))
-    return F.flatten(pieces)
+    lines = F.split(F.when(F.octet_length(text) > 0, text), "\n", -1)
+    none = F.lit(None).cast("string")
+    ends = F.zip_with(F.concat(F.array(none), lines), F.concat(F.array(none, none), lines), lambda one, two: F.when(one.isNull(), "").when((line_hash(one) * BASE + line_hash(two)) % MODULUS % mean == 0, "\n#").otherwise("\n"))
+    return F.array_join(F.zip_with(lines, ends, lambda line, end: F.concat(end, F.lit("="), line)), "")
 
 
-def chunked(docs: DataFrame, window: int, mean: int, longest: int) -> DataFrame:
-    """`docs` (doc_id, text) with __lines and __chunks: start, size and text of each chunk. Null texts have none."""
-    lines = docs.withColumn("__lines", F.when(F.octet_length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")))
-    rolled = lines.withColumn("__rolled", rolling(F.transform("__lines", line_hash), window))
-    bounds = rolled.withColumn("__bounds", F.when(F.size("__lines") > 0, chunk_bounds(F.col("__rolled"), mean, longest)).otherwise(F.array().cast("array<struct<start:int,size:int>>")))
-    texts = F.transform("__bounds", lambda b: F.struct(b["start"].alias("start"), b["size"].alias("size"), F.array_join(F.slice("__lines", b["start"], b["size"]), "\n").alias("text")))
-    return bounds.withColumn("__chunks", texts).drop("__rolled", "__bounds")
+def line_count(chunk: Column) -> Column:
+    return F.size(F.split(chunk, "\n", -1))
 
 
-def without_repeated_chunks(docs: DataFrame, window: int = 2, mean: int = 3, longest: int = 16, least: int = 2) -> DataFrame:
+def without_repeated_chunks(docs: DataFrame, mean: int = 3, least: int = 2) -> DataFrame:
     """`docs` with n_lines, n_removed (lines), n_chunks (removed) and kept (the remaining lines).
 
     `docs` needs doc_id and text; other columns stay, but those named like the new ones are replaced. A
     chunk of at least `least` lines that occurs more than once stays in the document of the smallest
-    doc_id (null first), at its first place there, and goes elsewhere. Rows with the same doc_id each keep
-    the first place. A null or empty text has no lines and stays as it is. An empty table gives no rows.
+    doc_id, at its first place there, and goes elsewhere. If one of its documents has a null doc_id it stays
+    there instead. Rows with the same doc_id each keep the first place. A null or empty text has no lines
+    and stays as it is. An empty table gives no rows.
     """
     new = {"n_lines", "n_removed", "n_chunks", "kept"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
-    own = chunked(docs.select("doc_id", "text"), window, mean, longest)
-    every = own.select("doc_id", F.explode("__chunks").alias("c")).where(F.col("c.size") >= least).select("doc_id", "c.text", F.xxhash64("c.text").alias("hash"))
-    hashes = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    # grouping by the text itself is the comparison of bytes; the count and the smallest id combine before the shuffle
-    repeats = every.join(hashes, "hash").groupBy("hash", "text").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.count("doc_id").alias("ids")).where("n > 1")
-    repeats = repeats.select("hash", "text", F.when(F.col("ids") == F.col("n"), F.col("first")).alias("first"))
-    places = own.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode("__chunks").alias("place", "c")).where(F.col("c.size") >= least).select("doc_id", "h", "place", F.col("c.text").alias("text"), F.xxhash64("c.text").alias("hash"))
-    found = places.join(repeats, ["hash", "text"]).groupBy("doc_id", "h", "hash", "text").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.col("place"))).alias("stays"), F.collect_set("place").alias("places"))
-    gone = found.select("doc_id", "h", F.explode(F.filter("places", lambda p: F.col("stays").isNull() | (p != F.col("stays")))).alias("place")).groupBy("doc_id", "h").agg(F.collect_set("place").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode_outer(F.split(marked_chunks(F.col("text"), mean), "\n#")).alias("place", "chunk"))
+    places = own.where(line_count(F.col("chunk")) >= least).withColumn("hash", F.xxhash64("chunk"))
+    hashes = sent_if_small(written(places.groupBy("hash").count().where("count > 1").select("hash")))
+    found = written(places.join(hashes, "hash"))
+    # grouping by the chunk itself is the comparison of bytes; the counts and the smallest id combine before the shuffle
+    repeats = found.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.count("doc_id").alias("ids")).where("n > 1")
+    repeats = repeats.select("hash", "chunk", F.when(F.col("ids") == F.col("n"), F.col("first")).alias("first"))
+    repeats = sent_if_small(written(repeats), F.octet_length("chunk"))
+    each = found.join(repeats, ["hash", "chunk"]).groupBy("doc_id", "h", "hash", "chunk").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.col("place"))).alias("stays"), F.collect_set("place").alias("places"))
+    gone = each.select("doc_id", "h", F.explode(F.filter("places", lambda p: F.col("stays").isNull() | (p != F.col("stays")))).alias("place")).groupBy("doc_id", "h").agg(F.collect_set("place").alias("__gone")).withColumnRenamed("doc_id", "__id")
     rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("h")), "left").drop("__id", "h")
-    rows = chunked(rows.withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>"))), window, mean, longest)
-    goes = F.transform("__chunks", lambda c, i: F.array_contains("__gone", i) & (c["size"] >= least))
-    rows = rows.withColumn("__goes", goes)
-    lines = F.aggregate(F.zip_with("__chunks", "__goes", lambda c, g: F.when(g, c["size"]).otherwise(0)), F.lit(0), lambda n, s: n + s)
-    stay = F.filter(F.zip_with("__chunks", "__goes", lambda c, g: F.when(~g, c["text"])), lambda t: t.isNotNull())
-    return (rows.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_removed", lines.cast("long")).withColumn("n_chunks", F.size("__gone").cast("long"))
-            .withColumn("kept", F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(stay, "\n"))).drop("__lines", "__chunks", "__gone", "__goes"))
+    stay = F.filter(F.split(marked_chunks(F.col("text"), mean), "\n#"), lambda c, i: ~F.array_contains("__gone", i))
+    rows = rows.withColumn("n_lines", F.when(F.octet_length("text") > 0, line_count(F.col("text"))).otherwise(0).cast("long")).withColumn("n_chunks", F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0).cast("long"))
+    rows = rows.withColumn("kept", F.when(F.col("n_chunks") > 0, F.array_join(stay, "\n")))
+    left = F.when(F.col("n_chunks") == 0, F.col("n_lines")).when(F.col("kept") == "", 0).otherwise(line_count(F.col("kept")))
+    bare = F.substring(F.replace(F.concat(F.lit("\n"), "kept"), F.lit("\n="), F.lit("\n")), 2, 1 << 30)
+    return rows.withColumn("n_removed", F.col("n_lines") - left).withColumn("kept", F.when(F.col("n_chunks") == 0, F.col("text")).otherwise(bare)).drop("__gone")

@@ -106,14 +106,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.without_repeats(table(spark, folder, "documents")).drop("kept")
 
 
-#: As the operator: windows of 2 lines, chunks of 3 lines on average and 16 at most, at least 2 lines to go.
+#: As the operator: windows of 2 lines, chunks of 3 lines on average, at least 2 lines to go.
 OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, CASE WHEN strlen(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS lines FROM documents),
 l AS (SELECT r, i, list_extract(lines, i) AS line, len(lines) AS n, CAST('0x' || substr(md5(list_extract(lines, i)), 1, 7) AS BIGINT) AS h FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
 e AS (SELECT *, ((h * 1000003 + coalesce(lag(h) OVER (PARTITION BY r ORDER BY i), 0)) % 2147483647) % 3 = 0 OR i = n AS ends FROM l),
 p AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece FROM e),
-q AS (SELECT *, (row_number() OVER (PARTITION BY r, piece ORDER BY i) - 1) // 16 AS part FROM p),
-c AS (SELECT r, piece, part, min(i) AS start, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk FROM q GROUP BY ALL),
+c AS (SELECT r, piece, min(i) AS start, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk FROM p GROUP BY ALL),
 s AS (SELECT chunk, min(doc_id) AS first, count(*) AS times FROM c JOIN d USING (r) WHERE size >= 2 GROUP BY chunk),
 g AS (SELECT c.*, coalesce(times, 1) > 1 AND NOT (doc_id = first AND row_number() OVER (PARTITION BY r, c.chunk ORDER BY start) = 1) AS goes FROM c JOIN d USING (r) LEFT JOIN s ON s.chunk = c.chunk AND size >= 2),
 t AS (SELECT r, CAST(coalesce(sum(size) FILTER (WHERE goes), 0) AS BIGINT) AS n_removed, count(*) FILTER (WHERE goes) AS n_chunks, string_agg(chunk, chr(10) ORDER BY start) FILTER (WHERE NOT goes) AS rest FROM g GROUP BY r)
