@@ -51,11 +51,12 @@ def cross_products(df: DataFrame, vec: str, target: str) -> tuple[np.ndarray, np
             yield pd.DataFrame({"row": np.arange(len(acc)), "vals": list(acc)})
 
     d = df.select(F.col(vec).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y")).dropna()
+    first = d.select(F.size("v").alias("n")).first()
+    if first and first["n"] > MAX_FEATURES:
+        raise ValueError(f"{first['n']} features, at most {MAX_FEATURES}; reduce them first (see features.projected)")
     parts = d.mapInPandas(partial, "row int, vals array<double>")
     rows = (parts.groupBy("row").agg(vector_to_array(Summarizer.sum(array_to_vector("vals"))).alias("vals"))
             .orderBy("row").collect())
-    if len(rows) > MAX_FEATURES + 2:
-        raise ValueError(f"{len(rows) - 2} features; reduce them first (see features.projected)")
     g = np.array([r["vals"] for r in rows])
     return g[:-1, :-1], g[:-1, -1], float(g[-1, -1])
 
@@ -221,10 +222,12 @@ def rank_ensemble(oof: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def pairwise_logistic(items: DataFrame, vec: str, keys: Sequence[str] = ("category",), c: float = 1.0,
-                      weight: str | None = None) -> np.ndarray:
-    """Coefficients of the logistic model of item differences, no intercept, L2 strength 1/C."""
-    d = difference_pairs(items, vec, keys)
-    d = d.withColumn("_v", array_to_vector("diff")).withColumn("_w", F.col(weight) if weight else F.lit(1.0))
+                      weight: str = "none", deviation: str = "std", count: str = "n") -> np.ndarray:
+    """Coefficients of the logistic model of item differences, no intercept, L2 strength 1/C.
+
+    `weight` is a scheme of `pairs.pair_weight`; `deviation` and `count` name the columns it reads."""
+    d = difference_pairs(items, vec, keys, weight, deviation, count)
+    d = d.withColumn("_v", array_to_vector("diff")).withColumn("_w", F.lit(1.0) if weight == "none" else F.col("weight"))
     total = d.agg(F.sum("_w")).first()[0]
     lr = LogisticRegression(featuresCol="_v", labelCol="label", weightCol="_w", fitIntercept=False, standardization=False,
                             regParam=1.0 / (c * total), maxIter=1000, tol=1e-10)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prefrank.functions.hashing import md5_is_even
 from prefrank.functions.numeric import expit
 from prefrank.functions.stats import t_two_sided
+from prefrank.operators.concordance import pair_totals
 from prefrank.operators.skew import broadcast_if_small, group_load
 
 TIE = 1e-10
@@ -64,9 +65,19 @@ def pair_count(items: DataFrame, keys: Sequence[str] = ("category",)) -> DataFra
     return items.groupBy(*keys).agg((n * (n - 1) / 2).alias("pairs"))
 
 
-def difference_pairs(items: DataFrame, features: str, keys: Sequence[str] = ("category",)) -> DataFrame:
-    """(x_i - x_j, 1) and (x_j - x_i, 0) for every pair with y_i > y_j."""
-    p = item_pairs(items, keys, "item", ["true_score", features])
+def tie_count(items: DataFrame, keys: Sequence[str] = ("category",)) -> DataFrame:
+    """Pairs per group that `labelled_pairs` leaves out as ties, counted without listing them."""
+    return pair_totals(items, keys, "true_score", "true_score", None, TIE).select(*keys, F.col("ties_x").cast("long").alias("ties"))
+
+
+def difference_pairs(items: DataFrame, features: str, keys: Sequence[str] = ("category",), scheme: str = "none",
+                     deviation: str = "std", count: str = "n") -> DataFrame:
+    """(x_i - x_j, 1) and (x_j - x_i, 0) for every pair with y_i > y_j.
+
+    With a weighting `scheme` (T4) each row has its pair's `weight`, from the items' `deviation` and `count`.
+    """
+    spread_cols = [deviation, count] if scheme in ("t_stat", "p_value") else []
+    p = item_pairs(items, keys, "item", ["true_score", features, *spread_cols])
     p = p.filter(F.col("true_score_1") != F.col("true_score_2"))
     up = F.col("true_score_1") > F.col("true_score_2")
     hi = F.when(up, F.col(f"{features}_1")).otherwise(F.col(f"{features}_2"))
@@ -74,8 +85,12 @@ def difference_pairs(items: DataFrame, features: str, keys: Sequence[str] = ("ca
     both = F.array(
         F.struct(F.zip_with(hi, lo, lambda x, y: x - y).alias("diff"), F.lit(1.0).alias("label")),
         F.struct(F.zip_with(lo, hi, lambda x, y: x - y).alias("diff"), F.lit(0.0).alias("label")))
-    return p.select(*keys, "item_1", "item_2", F.explode(both).alias("_e")).select(
-        *keys, "item_1", "item_2", "_e.diff", "_e.label")
+    weight = []
+    if scheme != "none":
+        sides = [F.col(f"{c}_{i}") for i in (1, 2) for c in spread_cols] or [F.lit(0.0)] * 4
+        weight = [pair_weight(scheme, F.col("true_score_1") - F.col("true_score_2"), *sides).alias("weight")]
+    return p.select(*keys, "item_1", "item_2", F.explode(both).alias("_e"), *weight).select(
+        *keys, "item_1", "item_2", "_e.diff", "_e.label", *["weight"] * len(weight))
 
 
 def pair_weight(scheme: str, d: Column, s1: Column, n1: Column, s2: Column, n2: Column) -> Column:

@@ -14,15 +14,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from prefrank.session import broadcast_rows, cut_lineage, group_rows
+from prefrank.session import broadcast_bytes, broadcast_rows, cut_lineage, group_rows
 
 MAX_CUTS = 4096
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only for a table counted to be under the session's row bound."""
+    """Hint a broadcast only for a table counted to be under the session's bounds of rows and bytes."""
     bound = broadcast_rows(df.sparkSession)
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    width = F.lit(8 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, T.ArrayType):
+            width = width + 8 * F.coalesce(F.when(F.col(f"`{f.name}`").isNotNull(), F.size(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, T.StringType):
+            width = width + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+    rows, size = df.limit(bound + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if rows <= bound and (size or 0) <= broadcast_bytes(df.sparkSession) else df
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -117,6 +117,13 @@ def _(t):
     return P.labelled_pairs(t.order_items)
 
 
+@query("t1_tie_count", uses="oof", oracle="""
+    SELECT g.category, CAST(count(b.item) AS BIGINT) AS ties FROM oof g
+    LEFT JOIN oof b ON g.category = b.category AND g.item < b.item AND abs(g.true_score - b.true_score) < 1e-10 GROUP BY 1""")
+def _(t):
+    return P.tie_count(t.oof)
+
+
 @query("t2_pair_counts", uses="oof", oracle="""
     SELECT category, CAST(count(*) * (count(*) - 1) / 2 AS DOUBLE) AS pairs FROM oof GROUP BY 1""")
 def _(t):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 GROUP_ROWS_CONF = "spark.prefrank.groupRows"
 BROADCAST_ROWS_CONF = "spark.prefrank.broadcastRows"
+BROADCAST_BYTES_CONF = "spark.prefrank.broadcastBytes"
 
 
 def group_rows(spark: SparkSession) -> int:
@@ -20,6 +21,11 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, "200000"))
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Most bytes of a table that is sent to every executor; counted with its rows."""
+    return int(spark.conf.get(BROADCAST_BYTES_CONF, str(64 << 20)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names the shared folder; only a session on one machine may lack it and gets a local one."""
     sc = spark.sparkContext

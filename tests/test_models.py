@@ -112,3 +112,21 @@ def test_boosted_trees_cover_every_item(data):
     _, _, df = data
     out = L.boosted_trees_oof(df, "x", "true_score", "item", folds=2, rounds=3, max_leaves_depth=2)
     assert sorted(r["item"] for r in out.select("item").collect()) == list(range(30))
+
+
+def test_weighted_pairwise_logistic_is_stationary(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(14, 2))
+    y = x[:, 0] + rng.normal(size=14)
+    std, n = rng.uniform(0.5, 2, 14), rng.integers(2, 9, 14)
+    df = spark.createDataFrame([(i % 2, i, float(y[i]), x[i].tolist(), float(std[i]), int(n[i])) for i in range(14)], "category int, item int, true_score double, x array<double>, std double, n int")
+    for scheme in ("score_diff", "t_stat"):
+        w = L.pairwise_logistic(df, "x", weight=scheme)
+        gradient = w.copy()
+        for i in range(14):
+            for j in range(14):
+                if i % 2 == j % 2 and y[i] > y[j]:
+                    se = np.sqrt(std[i] ** 2 / n[i] + std[j] ** 2 / n[j])
+                    weight = y[i] - y[j] if scheme == "score_diff" else min((y[i] - y[j]) / se, 5)
+                    gradient -= 2 * weight * (x[i] - x[j]) / (1 + np.exp(w @ (x[i] - x[j])))
+        assert np.abs(gradient).max() < 1e-3
