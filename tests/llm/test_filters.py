@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -77,8 +78,18 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score(docs, alone).collect()} == {0.5}
 
 
-def test_quality_on_test_tables(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+def test_logistic_settles_on_separable_classes():
+    rng = np.random.default_rng(1)
+    x = np.column_stack([np.ones(4000), rng.normal(size=(4000, 9)) ** 3])
+    y = (x[:, 1] + x[:, 2] > 0.2).astype(float)
+    w = quality.logistic(x, y)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+    assert np.abs(x.T @ (y - p) - 0.1 * w).max() < 1e-4 and ((p > 0.5) == y).mean() > 0.99
+
+
+@pytest.mark.parametrize("folder", ["sf0.1", "check_s", "check_h"])
+def test_quality_on_test_tables(spark, folder):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score(docs.withColumn("held_out", quality.held_out()).where("held_out"), quality.train(docs, labels)).join(labels, "doc_id").select("quality", "predicted").collect()
     right = [r["quality"] == r["predicted"] for r in scored]
     assert len(right) > 500 and sum(right) / len(right) > 0.97
