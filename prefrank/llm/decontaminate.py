@@ -72,9 +72,13 @@ def window_hits(own: Column, item: Column, window: int) -> Column:
     skipped = F.greatest(-shift, F.lit(0))
     size = F.least(F.size(theirs), F.lit(window))
     same = F.array_join(F.zip_with(F.slice(own, F.greatest(shift, F.lit(0)) + 1, F.size(theirs) - skipped), F.slice(theirs, skipped + 1, F.size(theirs)), lambda a, b: F.when(a == b, "1").otherwise("0")), "")
-    last = F.length(same) - size
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda s: (last >= 0) & (same.substr(s + 1, size) == F.repeat(F.lit("1"), size)))
-    return F.transform(starts, lambda s: F.struct((F.greatest(shift, F.lit(0)) + s).alias("at"), size.alias("size")))
+
+    def starts(m: Column) -> Column:
+        last = F.length(m) - size
+        return F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda s: (last >= 0) & (m.substr(s + 1, size) == F.repeat(F.lit("1"), size)))
+
+    # a list of one binds the comparison to a variable: it is made once, not once per start
+    return F.transform(F.flatten(F.transform(F.array(same), starts)), lambda s: F.struct((F.greatest(shift, F.lit(0)) + s).alias("at"), size.alias("size")))
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -93,7 +97,9 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     found = found.groupBy("__id", "__hash").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("__found"))
     keys = [F.col("doc_id").eqNullSafe(F.col("__id")), F.xxhash64("text") == F.col("__hash")]
     rows = docs.join(found, keys[0] & keys[1], "left").withColumn("__words", words(F.col("text"))).drop("__id", "__hash")
-    each = F.flatten(F.transform("__found", lambda f: F.transform(window_hits(F.col("__words"), f, window), lambda h: F.struct(f["item_id"].alias("item_id"), h["at"].alias("at"), h["size"].alias("size")))))
+    # each alignment carries the document's words, so that the optimizer cannot move their making into the loop
+    pairs = F.zip_with("__found", F.array_repeat("__words", F.size("__found")), lambda f, own: F.struct(f["item_id"].alias("item_id"), f["shift"].alias("shift"), f["words"].alias("words"), own.alias("own")))
+    each = F.flatten(F.transform(pairs, lambda f: F.transform(window_hits(f["own"], f, window), lambda h: F.struct(f["item_id"].alias("item_id"), h["at"].alias("at"), h["size"].alias("size")))))
     rows = rows.withColumn("n_words", F.size("__words").cast("long")).withColumn("hits", F.coalesce(each, F.array()))
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item_id"].cast("string")), lambda i: i.isNotNull())))
@@ -118,6 +124,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 8) ->
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Rows of `docs` without a hit; its columns only."""
-    names = [f"`{c}`" for c in docs.columns]
-    kept = docs.select(F.col("doc_id"), F.col("text"), F.struct(*names).alias("__row"))
-    return marked(kept, benchmark, window).where("NOT contaminated").select("__row.*")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
+    back = {c: f"__c{i}" for i, c in enumerate(others)}
+    return marked(kept, benchmark, window).where("NOT contaminated").select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns])
