@@ -78,7 +78,7 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, remembe
     """Encode one sorted partition; start_in_part counts the identifiers before a document in it."""
     encode, part, at = encoder(tokenizer, remembered).texts, TaskContext.get().partitionId(), 0
     last = np.array([end], dtype="<u4")
-    for b in pieces(batches, 2048):
+    for b in pieces(batches, 1024):
         ids = encode(b.column("text").to_pylist())
         lengths = np.array([len(x) + 1 for x in ids], dtype="int64")
         ends = np.cumsum(lengths)
