@@ -99,6 +99,17 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end: int = 2, row_g
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     sorted_docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     rows = sorted_docs.mapInArrow(lambda batches: encoded(batches, tokenizer, end, remembered), SCHEMA)
+    # whole texts travel to the workers in smaller batches than usual while the files are written
+    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    spark.conf.set(size, str(min(1024, int(usual)) if int(usual) > 0 else 1024))
+    try:
+        write_rows(rows, folder, row_group_bytes, page_rows)
+    finally:
+        spark.conf.set(size, usual)
+
+
+def write_rows(rows: DataFrame, folder: str, row_group_bytes: int, page_rows: int) -> None:
     (rows.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", row_group_bytes)
      .option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", "true")
      .option("parquet.enable.dictionary#doc_id", "false").option("parquet.enable.dictionary#start_in_part", "false").option("parquet.enable.dictionary#n_tokens", "false")
