@@ -78,7 +78,7 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, remembe
     """Encode one sorted partition; start_in_part counts the identifiers before a document in it."""
     encode, part, at = encoder(tokenizer, remembered).texts, TaskContext.get().partitionId(), 0
     last = np.array([end], dtype="<u4")
-    for b in pieces(batches, 1024):
+    for b in pieces(batches, 2048):
         ids = encode(b.column("text").to_pylist())
         lengths = np.array([len(x) + 1 for x in ids], dtype="int64")
         ends = np.cumsum(lengths)
@@ -102,7 +102,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end: int = 2, row_g
     # whole texts travel to the workers in smaller batches than usual while the files are written
     spark, size = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = spark.conf.get(size)
-    spark.conf.set(size, str(min(1024, int(usual)) if int(usual) > 0 else 1024))
+    spark.conf.set(size, str(min(2048, int(usual)) if int(usual) > 0 else 2048))
     try:
         write_rows(rows, folder, row_group_bytes, page_rows)
     finally:
