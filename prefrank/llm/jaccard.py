@@ -292,8 +292,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows with the same doc_id that have words, the first text stays. Rows without words or without an id stay.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = link_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = link_components(docs).where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    with_words = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text")))
-    chosen = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__id")).withColumn("__row", first)
-    bare = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return chosen.where((F.col("__row") == 1) | bare).select(*names).unionAll(docs.where("doc_id IS NULL").select(*names))
+    chosen = docs.where(with_words).withColumn("__row", first).where("__row = 1").join(kept, F.col("doc_id") == F.col("__id"))
+    return chosen.select(*names).unionAll(docs.where(~with_words).select(*names))

@@ -63,6 +63,15 @@ def test_link_components(spark, chunk):
     assert jaccard.link_components(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None), (1, "b own text of one"), (1, "a own text of one"), (2, ""), (2, " \t"), (2, "only words of two here"), (3, long), (4, None), (4, long + " more"), (5, long), (6, " "), (None, long), (None, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, source int").repartition(4)
+    got = {r["source"] for r in jaccard.one_of_each(docs).collect()}
+    # 1 and 2 keep their first text with words; 4 and 5 lose theirs to 3; rows without words or id stay
+    assert got == {0, 2, 3, 4, 5, 6, 7, 10, 11, 12}
+
+
 def test_linked_sets_share_a_directory_key():
     rnd = random.Random(3)
     for _ in range(400):
