@@ -12,7 +12,7 @@ search asks for; blocks of queries are broadcast only if their counted size is s
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,6 +84,25 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def least(k: int, pairs: Iterable[tuple[float, int]]) -> list[tuple[float, int]]:
+    """The k smallest (score, id) pairs of distinct ids, in order; an id counts with its smallest score."""
+    best: dict[int, float] = {}
+    for score, i in pairs:
+        if i not in best or score < best[i]:
+            best[i] = score
+    return heapq.nsmallest(k, ((score, i) for i, score in best.items()))
+
+
+def kth_bound(upper: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each row, the k-th smallest upper bound over distinct ids, or the largest if they are fewer."""
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+    if len(starts) < len(ids):
+        upper = np.minimum.reduceat(upper[:, order], starts, axis=1)
+    n = min(k, len(starts))
+    return np.partition(upper, n - 1, axis=1)[:, n - 1]
+
+
 def tile(query: tuple, block: tuple, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """For each query of a tile, the (score, id) pairs that may be among its k best."""
     (q_ids, q), (c_ids, c) = query, block
@@ -95,14 +114,13 @@ def tile(query: tuple, block: tuple, k: int) -> Iterator[tuple[int, list[tuple[f
     middle = np.sqrt(np.maximum(square, 0))
     reach = q_error[:, None] + c_error + slack
     middle[q_ids[:, None] == c_ids] = np.inf
-    n = min(k, len(c_ids))
-    worst = np.partition(middle + reach, n - 1, axis=1)[:, n - 1]
+    worst = kth_bound(middle + reach, c_ids, k)
     rows, cols = np.nonzero((middle - reach <= worst[:, None]) & np.isfinite(middle))
     scores = distances(q[rows], c[cols])
     bounds = np.searchsorted(rows, np.arange(len(q_ids) + 1))
     for i, q_id in enumerate(q_ids):
         part = slice(bounds[i], bounds[i + 1])
-        yield int(q_id), heapq.nsmallest(k, zip(scores[part].tolist(), c_ids[cols[part]].tolist()))
+        yield int(q_id), least(k, zip(scores[part].tolist(), c_ids[cols[part]].tolist()))
 
 
 def merged_tiles(k: int, held: int):
@@ -122,7 +140,7 @@ def merged_tiles(k: int, held: int):
         for frame in frames:
             for r in frame.itertuples():
                 for q, pairs in tile(unpack(r.q_ids, r.q_vectors, r.dim), unpack(r.ids, r.vectors, r.dim), k):
-                    best[q] = heapq.nsmallest(k, heapq.merge(best.get(q, []), pairs))
+                    best[q] = least(k, best.get(q, []) + pairs)
                 if len(best) > held:
                     yield flush()
         yield flush()
@@ -145,7 +163,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, vector: str
     q = written(q.select("dim", F.monotonically_increasing_id().alias("slot"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
     size = q.agg(F.sum(F.octet_length("q_vectors"))).first()[0] or 0
     slots = q.groupBy("dim").agg(F.collect_list("slot").alias("slots"))  # a number per block of queries
-    blocks = packed(usable(candidates, vector), vector, block_rows, parts).join(slots, "dim").withColumn("slot", F.explode("slots")).drop("slots", "block")
+    blocks = packed(usable(candidates, vector).dropDuplicates(["vec_id", vector]), vector, block_rows, parts).join(slots, "dim").withColumn("slot", F.explode("slots")).drop("slots", "block")
     side = F.broadcast(q.drop("dim")) if size <= broadcast_bytes else q.drop("dim")
     found = blocks.join(side, "slot").select("dim", "ids", "vectors", "q_ids", "q_vectors").mapInPandas(merged_tiles(k, held), RESULT)
 

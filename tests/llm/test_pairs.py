@@ -113,6 +113,25 @@ def test_nearest(spark):
     assert neighbours.nearest(df.limit(0), df).count() == 0 and neighbours.nearest(df, df.limit(0)).count() == 0
 
 
+def test_nearest_counts_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(60, 6)), 1))]
+    rows += [(7, rows[7][1])] * 12 + [(0, rows[0][1])] * 3
+    # one id with many vectors near the query, and a query with several vectors
+    rows += [(8, [x + 0.01 * (1 + j) for x in rows[0][1]]) for j in range(15)] + [(50, (-np.array(rows[50][1]) * s).tolist()) for s in (1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    near = {}
+    for q, a in rows:
+        for c, b in rows:
+            if q % 50 == 0 and c != q:
+                near[q, c] = min(near.get((q, c), np.inf), float(np.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))))
+    want = {(q, r, c) for q in (0, 50) for r, (_, c) in enumerate(sorted((d, c) for (p, c), d in near.items() if p == q)[:5], 1)}
+    for rows_in_block in (16, 2048):
+        got = neighbours.nearest(df.where("vec_id % 50 = 0"), df, k=5, block_rows=rows_in_block).collect()
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want
+        assert all(r["score"] == pytest.approx(near[r["query_id"], r["vec_id"]]) for r in got)
+
+
 @pytest.mark.parametrize("largest", [512, 1])
 def test_repeated_bytes(spark, largest):
     rnd = random.Random(2)
