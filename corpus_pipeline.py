@@ -20,8 +20,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shingle similarity links."""
-    return jaccard.one_of_each(docs)
+    """One document of each group that links by shingles of five words at a similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs, shingle=5, percent=80)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from prefrank.llm.common import pieces, sent_if_small, written
 from prefrank.llm.components import components
 from prefrank.llm.words import Remembered
 
-#: Link: 100 * intersection >= 85 * union, i.e. 37 * intersection >= 17 * (size + size).
+#: Defaults, those of op3: shingles of 4 words, linked if 100 * intersection >= 85 * union.
 PERCENT = 85
 SHINGLE = 4
 LEAF = 16
@@ -63,26 +63,26 @@ class Shingler:
         return np.unique(mixed(s))
 
 
-def most_partner(n: int) -> int:
-    return 100 * n // PERCENT
+def most_partner(n: int, percent: int = PERCENT) -> int:
+    return 100 * n // percent
 
 
-def needed(a, b):
-    """Smallest intersection of linked sets of sizes a and b: ceil(PERCENT * (a + b) / (100 + PERCENT))."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+def needed(a, b, percent: int = PERCENT):
+    """Smallest intersection of linked sets of sizes a and b: ceil(percent * (a + b) / (100 + percent))."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def differences(n: int) -> int:
+def differences(n: int, percent: int = PERCENT) -> int:
     """Most elements in which a set of n and a partner can differ, both ways: sum of sizes - 2 * intersection."""
-    return (100 - PERCENT) * (n + most_partner(n)) // (100 + PERCENT)
+    return (100 - percent) * (n + most_partner(n, percent)) // (100 + percent)
 
 
-def group_count(level: int) -> int:
+def group_count(level: int, percent: int = PERCENT) -> int:
     """Groups at a level of sets below 2 ** (level + 1): about five shingles each, and enough for all differences."""
-    return max(2 ** (level + 1) // 5, differences(2 ** (level + 1)) + 1)
+    return max(2 ** (level + 1) // 5, differences(2 ** (level + 1), percent) + 1)
 
 
-def directory_keys(u: np.ndarray) -> np.ndarray:
+def directory_keys(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of the fullest groups of a set, at its level and, if a partner may be there, the next.
 
     The level of a pair is that of its larger set. Groups rank by count, then key: an order that depends on
@@ -92,24 +92,24 @@ def directory_keys(u: np.ndarray) -> np.ndarray:
     level = n.bit_length() - 1
     keys = []
     weight = np.concatenate([np.zeros(1, "u8"), np.cumsum(mixed(u + np.uint64(1)))])
-    for at in (level, level + 1) if most_partner(n) >> (level + 1) else (level,):
-        m = group_count(at)
+    for at in (level, level + 1) if most_partner(n, percent) >> (level + 1) else (level,):
+        m = group_count(at, percent)
         group = ((u >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype("i8")
         count = np.bincount(group, minlength=m)
         ends = np.cumsum(count)
         content = weight[ends] - weight[ends - count]
         key = mixed(content ^ mixed(np.arange(m, dtype="u8") + np.uint64((at << 40) + 1)))
-        keys.append(key[np.lexsort((key, -count))[:differences(n) + 1]])
+        keys.append(key[np.lexsort((key, -count))[:differences(n, percent) + 1]])
     return np.concatenate(keys).view("i8")
 
 
-def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def described(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """doc_id, n, fingerprint of the set (128 bits) and directory keys of each document."""
-    shingles = Shingler()
+    shingles = Shingler(shingle)
     for b in pieces(batches):
         sets = [shingles(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
         prints = np.array([np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), "i8") for u in sets]).reshape(-1, 2)
-        keys = [directory_keys(u) if len(u) else np.zeros(0, "i8") for u in sets]
+        keys = [directory_keys(u, percent) if len(u) else np.zeros(0, "i8") for u in sets]
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype("i4")
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "n", "p", "q", "keys"])
 
@@ -166,7 +166,8 @@ def linked_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class CountTree:
     """Boxes over count vectors, packed bottom up in order of size and first counts; all boxes hold LEAF children."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT):
+        self.percent = percent
         order = np.lexsort((points[:, 1], points[:, 0], sizes))
         self.place, self.tops, self.least, self.most = order, [points[order]], [sizes[order]], [sizes[order]]
         while len(self.tops[-1]) > LEAF:
@@ -179,16 +180,16 @@ class CountTree:
         """Points whose bound on the overlap reaches what a link with their size needs."""
         at = np.arange(len(self.tops[-1]))
         for level in range(len(self.tops) - 1, -1, -1):
-            near = at[(self.least[level][at] <= most_partner(size)) & (100 * self.most[level][at] >= PERCENT * size)]
+            near = at[(self.least[level][at] <= most_partner(size, self.percent)) & (100 * self.most[level][at] >= self.percent * size)]
             bound = np.minimum(self.tops[level][near], point).sum(1, dtype="i8")
-            at = near[bound >= needed(size, self.least[level][near])]
+            at = near[bound >= needed(size, self.least[level][near], self.percent)]
             if level:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.tops[level - 1])]
         return self.place[at]
 
 
-def family_links(ids: list[int], sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int]]:
+def family_links(ids: list[int], sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """Links that connect what links connect between two chunks of a family (or inside one, if they are equal).
 
     `first` and `second` are places of the chunks' members. The links form a forest: a pair is verified only
@@ -197,7 +198,7 @@ def family_links(ids: list[int], sets: list[np.ndarray], first: np.ndarray, seco
     sizes = np.array([len(u) for u in sets])
     groups = 1 << int(np.clip(2 * np.median(sizes), 64, 2048) - 1).bit_length()
     points = np.array([np.bincount((u & np.uint64(groups - 1)).astype("i8"), minlength=groups) for u in sets]).astype("u2")
-    tree, root = CountTree(points[second], sizes[second]), list(range(len(ids)))
+    tree, root = CountTree(points[second], sizes[second], percent), list(range(len(ids)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -208,14 +209,14 @@ def family_links(ids: list[int], sets: list[np.ndarray], first: np.ndarray, seco
     for i in first:
         for j in second[tree.search(points[i], int(sizes[i]))]:
             if (a := top(i)) != (b := top(j)):
-                if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= needed(int(sizes[i]), int(sizes[j])):
+                if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= needed(int(sizes[i]), int(sizes[j]), percent):
                     root[max(a, b)] = min(a, b)
                     yield ids[i], ids[j]
 
 
-def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tile_links(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Links of each tile; rows of a tile follow each other."""
-    shingles = Shingler()
+    shingles = Shingler(shingle)
     key, rows = None, []
 
     def links() -> pa.RecordBatch:
@@ -229,7 +230,7 @@ def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.array([a == b for a, b in same])
         first, second = np.flatnonzero(own & (chunk == i)), np.flatnonzero(own & (chunk == j))
         if len(first) and len(second):
-            found += family_links(ids, sets, first, second)
+            found += family_links(ids, sets, first, second, percent)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
 
     for b in pieces(batches):
@@ -253,16 +254,16 @@ def tiles(docs: DataFrame, families: DataFrame, chunk_docs: int, chunk_words: in
     return pairs.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "text", "chunk")
 
 
-def link_components(docs: DataFrame, chunk_docs: int = 1024, chunk_words: int = 1 << 20) -> DataFrame:
+def link_components(docs: DataFrame, chunk_docs: int = 1024, chunk_words: int = 1 << 20, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles (distinct) and component_id of every row: the smallest doc_id that links reach.
 
-    Needs doc_id and text; other columns are left out. A null or empty text, or one of white space, has no
+    Shingles are of `shingle` words; sets link where 100 * intersection >= `percent` * union. Needs doc_id and text; other columns are left out. A null or empty text, or one of white space, has no
     shingles and links with nothing; its component is its own id. Rows with the same doc_id are one document
     for reachability, whatever their texts. Rows with a null doc_id keep n_shingles, take no part in links
     and get a null component. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = written(docs.mapInArrow(described, "doc_id long, n long, p long, q long, keys array<long>"))
+    known = written(docs.mapInArrow(lambda batches: described(batches, shingle, percent), "doc_id long, n long, p long, q long, keys array<long>"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     linked = known.where("n > 0 AND doc_id IS NOT NULL")
     copies = linked.groupBy("p", "q").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").select("p", "q", "rep")
@@ -276,7 +277,7 @@ def link_components(docs: DataFrame, chunk_docs: int = 1024, chunk_words: int =
     families = sent_if_small(written(components(cells.mapInArrow(linked_stars, "u long, v long"))))
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     tiled = tiles(texts, families, chunk_docs, chunk_words).repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    links = tiled.mapInArrow(tile_links, "u long, v long")
+    links = tiled.mapInArrow(lambda batches: tile_links(batches, shingle, percent), "u long, v long")
     members = with_rep(linked.select("doc_id", "p", "q")).select("doc_id", "rep")
     several = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last").select("doc_id", "v")
     same_id = members.join(several, "doc_id").where("rep > v").select(F.col("rep").alias("u"), "v")
@@ -286,13 +287,13 @@ def link_components(docs: DataFrame, chunk_docs: int = 1024, chunk_words: int =
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of `docs` without those that a smaller doc_id links to; its columns only.
 
     Of rows with the same doc_id that have words, the first text stays. Rows without words or without an id stay.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = link_components(docs).where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = link_components(docs, shingle=shingle, percent=percent).where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     with_words = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text")))
     chosen = docs.where(with_words).withColumn("__row", first).where("__row = 1").join(kept, F.col("doc_id") == F.col("__id"))

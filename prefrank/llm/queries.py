@@ -98,7 +98,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_shingle_components")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.link_components(table(spark, folder, "documents"))
+    return jaccard.link_components(table(spark, folder, "documents"), shingle=4, percent=85)
 
 
 @query("op7_repeated_bytes")

@@ -178,6 +178,31 @@ def test_pipeline(spark):
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in kept.collect())
 
 
+def test_pipeline_links_five_words_at_eighty_percent(spark):
+    rnd = random.Random(8)
+    texts = []
+    for size in (30, 90, 460):
+        for _ in range(6):
+            base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(size)]
+            texts.append(base)
+            for edits in {30: (1,), 90: (1, 2, 3), 460: (9, 10, 11)}[size]:
+                own = list(base)
+                for at in range(edits):
+                    own[20 + at * (size - 25) // edits if size > 30 else 1] = f"e{rnd.randrange(10 ** 9)}"
+                texts.append(own)
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in texts]
+    linked = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for i, j in linked:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    like = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(sets)) for i in range(j)]
+    assert sum(0.8 <= x < 0.83 for x in like) > 3 and sum(0.77 < x < 0.8 for x in like) > 3
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "").collect()}
+    assert got == {i for i, r in enumerate(root) if r == i}
+
+
 @pytest.mark.parametrize("table", ["documents"])
 def test_empty_pipeline(spark, table):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
