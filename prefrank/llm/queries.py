@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefrank.llm import binary, decontaminate, jaccard, lines, mixing, neighbours, quality, suffix, tokens, urls
+from prefrank.llm import binary, decontaminate, jaccard, lines, minhash, mixing, neighbours, quality, spelling, suffix, tokens, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,19 @@ FROM d LEFT JOIN t USING (r)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines.without_repeated_chunks(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_whitened_vectors")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return whitening.whiten(vectors, whitening.train(vectors)).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query("op13_minhash_duplicates")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), shingle=2, percent=80)
