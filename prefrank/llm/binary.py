@@ -9,8 +9,9 @@ the partitions' totals, read from the small columns alone, turn them into positi
 
 from __future__ import annotations
 
+import gc
+import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,30 +34,35 @@ class Encoder:
     """Identifiers of texts, by the tokenizers library.
 
     The tokenizer drops white space and merges within words only, so Latin texts are cut at white space,
-    distinct chunks into words, and the library's model sees each remembered word once. Other texts, and those that may hold the string
-    of a special token, go to the library whole.
+    the distinct chunks of a batch into words, and the library's model sees each remembered word once. Texts
+    that are not Latin before and after lower-casing, and those that may hold the string of a special token,
+    go to the library whole.
     """
 
     def __init__(self, path: str, most: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.words: Remembered[bytes] = Remembered(self.word, most)
-        self.chunks: Remembered[bytes] = Remembered(self.chunk, most)
 
     def word(self, word: str) -> bytes:
-        shown = "".join([self.symbols[b] for b in word.encode()])
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        shown = word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
 
-    def chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, WORDS.findall(chunk)))
+    def latin(self, text: str | None) -> str | None:
+        """The text in lower case if it can be cut into words here; some capitals have a lower case beyond LATIN."""
+        if not text or not LATIN.fullmatch(text):
+            return None
+        low = text.lower()
+        return low if LATIN.fullmatch(low) and not any(s in low for s in self.special) else None
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Identifiers of each text; null has none."""
-        low = [t.lower() if t and LATIN.fullmatch(t) else None for t in texts]
-        low = [None if t is None or any(s in t for s in self.special) else t for t in low]
+        low = [self.latin(t) for t in texts]
         chunks, places, bounds = coded(pc.ascii_split_whitespace(pa.array([t for t in low if t is not None], pa.string())))
-        known = [self.chunks[c] for c in chunks]
+        words, find, join = self.words, WORDS.findall, b"".join
+        known = [join([words[w] for w in find(c)]) for c in chunks]
         sizes = np.array([len(x) // 4 for x in known], dtype="int64")
         starts = np.cumsum(sizes) - sizes
         counts = sizes[places]
@@ -86,9 +92,11 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, remembe
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(flat))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(ids), part, dtype="int32")), pa.array(at + ends - lengths), pa.array(lengths), tokens], names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
         at += int(lengths.sum())
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
-def write_tokens(df: DataFrame, folder: str, tokenizer: str, end: int = 2, row_group_bytes: int = 32 << 20, page_rows: int = 1000, remembered: int = 250_000) -> None:
+def write_tokens(df: DataFrame, folder: str, tokenizer: str, end: int = 2, row_group_bytes: int = 32 << 20, page_rows: int = 1000, remembered: int = 100_000) -> None:
     """Write doc_id and the identifiers of whole texts, with `end` after each document, in doc_id order.
 
     `df` needs doc_id and text; other columns are left out. A null text is written as the end identifier

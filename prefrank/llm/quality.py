@@ -27,6 +27,7 @@ class QualityModel:
     bad: bytes = b""
     level: int = 3
     base: float = 0.5
+    piece: int = 65536
     mean: np.ndarray = field(default_factory=lambda: np.zeros(3))
     scale: np.ndarray = field(default_factory=lambda: np.ones(3))
     weights: np.ndarray | None = None
@@ -35,11 +36,16 @@ class QualityModel:
         return tuple(zstandard.ZstdCompressor(level=self.level, dict_data=prepared(d, self.level), write_content_size=False) for d in (self.good, self.bad))
 
     def features(self, texts: list[bytes]) -> np.ndarray:
+        """Of each whole text. One longer than those of the fit is compressed in equal pieces, whose sizes add up."""
         good, bad = self.sizes()
-        g = np.array([len(good.compress(t)) for t in texts], dtype="float64")
-        b = np.array([len(bad.compress(t)) for t in texts], dtype="float64")
-        n = np.array([len(t) for t in texts], dtype="float64")
-        return np.column_stack([(b - g) / (b + g), np.log((g + b + 1) / (n + 16)), np.log(n + 16)])
+        rows = []
+        for t in texts:
+            k = max(1, -(-len(t) // self.piece))
+            step = -(-len(t) // k) or 1
+            parts = [t[i:i + step] for i in range(0, len(t), step)] if k > 1 else [t]
+            rows.append((sum(len(good.compress(x)) for x in parts), sum(len(bad.compress(x)) for x in parts), len(t), k))
+        g, b, n, k = np.array(rows, dtype="float64").reshape(-1, 4).T
+        return np.column_stack([(b - g) / (b + g), np.log((g + b + k) / (n + 16 * k)), np.log(n / k + 16)])
 
     def terms(self, features: np.ndarray) -> np.ndarray:
         """The difference, its context, and their squares and products, standardised and within 6 deviations."""
@@ -91,9 +97,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 100)
     return w
 
 
-def fit(good: list[bytes], bad: list[bytes], dictionary_texts: int, dictionary_bytes: int, level: int) -> QualityModel:
+def fit(good: list[bytes], bad: list[bytes], dictionary_texts: int, dictionary_bytes: int, level: int, piece: int = 65536) -> QualityModel:
     """Fit on texts of both classes; half of each, at most `dictionary_texts`, goes to its dictionary."""
-    model = QualityModel(level=level, base=(len(good) + 1) / (len(good) + len(bad) + 2))
+    model = QualityModel(level=level, piece=piece, base=(len(good) + 1) / (len(good) + len(bad) + 2))
     if min(len(good), len(bad)) < 2:
         return model
     cut = [min(dictionary_texts, len(x) // 2) for x in (good, bad)]
@@ -124,12 +130,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: in
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= longest).join(F.broadcast(wanted[0].unionAll(wanted[1])), "doc_id")
     order = [F.xxhash64("doc_id"), "doc_id", "text"]
     rows = {q: [r["text"].encode() for r in texts.where(F.col("quality") == q).select("doc_id", "text").orderBy(*order).limit(per_class).collect()] for q in (1, 0)}
-    return fit(rows[1], rows[0], dictionary_texts, dictionary_bytes, level)
+    return fit(rows[1], rows[0], dictionary_texts, dictionary_bytes, level, longest)
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
     """Add score (0 to 1) of the whole text and predicted (1 if score >= `threshold`, else 0).
 
+    A text longer than those of the fit is scored by all its pieces, so its length alone decides nothing.
     A null text scores as an empty one. Columns of `docs` with these names are replaced; rows are never
     dropped, and equal texts get equal scores. Only the text enters the score.
     """

@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from prefrank.llm import binary, decontaminate, jaccard, mixing, quality, urls
@@ -87,12 +88,30 @@ def test_logistic_settles_on_separable_classes():
     assert np.abs(x.T @ (y - p) - 0.1 * w).max() < 1e-4 and ((p > 0.5) == y).mean() > 0.99
 
 
-@pytest.mark.parametrize("folder", ["sf0.1", "check_s", "check_h"])
-def test_quality_on_test_tables(spark, folder):
-    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
-    scored = quality.score(docs.withColumn("held_out", quality.held_out()).where("held_out"), quality.train(docs, labels)).join(labels, "doc_id").select("quality", "predicted").collect()
+@pytest.fixture(scope="module")
+def labelled(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    return docs, labels, quality.train(docs, labels)
+
+
+@pytest.mark.parametrize("most", [1 << 30, 400])
+def test_quality_on_test_tables(spark, labelled, most):
+    """Held-out documents, whole and as a table of short rows with a model of its own."""
+    docs, labels, model = labelled
+    if most < 1 << 30:
+        docs = docs.withColumn("text", F.substring("text", 1, most))
+        model = quality.train(docs, labels)
+    scored = quality.score(docs.withColumn("held_out", quality.held_out()).where("held_out"), model).join(labels, "doc_id").select("quality", "predicted").collect()
     right = [r["quality"] == r["predicted"] for r in scored]
-    assert len(right) > 500 and sum(right) / len(right) > 0.97
+    assert len(right) > 500 and sum(right) / len(right) > (0.97 if most > 400 else 0.9)
+
+
+def test_quality_of_very_long_texts(spark, labelled):
+    docs, labels, model = labelled
+    texts = {q: " ".join(r["text"] or "" for r in docs.where(quality.held_out()).join(labels.where(F.col("quality") == q), "doc_id").orderBy("doc_id").select("text").collect()) for q in (1, 0)}
+    for size in (500_000, 2_000_000, 10_000_000):
+        good, bad = (((texts[q] + " ") * (size // len(texts[q]) + 1))[:size].encode() for q in (1, 0))
+        assert model.scores([good])[0] >= 0.7 and model.scores([bad])[0] < 0.7
 
 
 def exact_targets(sizes, weights=(5, 2, 1)):
@@ -170,7 +189,7 @@ def test_pipeline(spark):
         ids = {r["doc_id"] for r in kept.collect()}
         assert ids <= {r["doc_id"] for r in before.collect()}
         if name == "n-gram Jaccard join":
-            assert ids == {r["doc_id"] for r in jaccard.link_components(before).where("doc_id = component_id").collect()}
+            assert ids == {r["doc_id"] for r in jaccard.link_components(before, shingle=5, percent=80).where("doc_id = component_id").collect()}
         if name == "benchmark decontamination":
             assert ids == {r["doc_id"] for r in before.collect() if not marked(r["text"], items)[4]}
     rows = corpus_pipeline.run(spark, folder).collect()

@@ -12,7 +12,9 @@ from prefrank.llm import binary, tokens
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " ", "a", "  two  spaces \n\n x ", "<|endoftext|>", "a<|endoftext|> b<|ENDOFTEXT|>", "İı ǅß\u0085\x1c it's 'RE don't", "日本 x２３", "éé", "a" * 20_000, "ab " * 5_000]
-PIECES = st.sampled_from(["a", "Th", " ", "  ", "\n", "\t", "'s", "'RE", "1", "é", "É", "İ", "日", ".", "##", "<|endoftext|>", "\x1c", "\u0085", " ", "ǆ", "²"])
+PIECES = st.sampled_from(["a", "Th", " ", "  ", "\n", "\t", "'s", "'RE", "1", "é", "É", "İ", "日", ".", "##", "<|endoftext|>", "\x1c", "\u0085", " ", "ǆ", "²", "Ɛ", "Ɓ", "Ə", "Ɔ", "ɛ", "Ⱥ"])
+#: Every letter below U+0250 and its lower case, alone and inside words.
+LETTERS = [f"{w}{c}{x}" for w, x in (("", ""), ("", "dan"), ("ma ", "a")) for c in map(chr, range(0x20, 0x250))]
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +30,13 @@ def test_texts_equal_the_library(text):
     assert binary.encoder(WORDS, 1000).texts([text])[0].tolist() == libs[1].encode(text, add_special_tokens=False).ids
 
 
+def test_letters_equal_the_library(library):
+    encode = binary.Encoder(WORDS, 100).texts
+    for at in range(0, len(LETTERS), 300):
+        part = LETTERS[at:at + 300] + [t.lower() for t in LETTERS[at:at + 300]]
+        assert [x.tolist() for x in encode(part)] == [library[1].encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_token_counts(spark, library):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(3, ODD[3], "x")], "doc_id long, text string, n_tokens string")
     rows = tokens.token_counts(docs, BYTES, limit=100).collect()
