@@ -103,16 +103,108 @@ def same_way_partners(gid: np.ndarray, cx: np.ndarray, cy: np.ndarray, w: np.nda
     return out
 
 
+def dominance(ypos: np.ndarray, w: np.ndarray, ends: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Per query, the weight of points among the first `ends` (in order of x) whose place by y is under `below`.
+
+    `ypos` holds the points' places by y in order of x. One pass a bit of the place, over all queries and
+    all columns of `w` at once: points are split by the bit, a query follows its half and adds the other.
+    """
+    shape = (len(ends), *w.shape[1:])
+    out, first, last = np.zeros(shape), np.zeros(len(ends), dtype=np.int64), np.asarray(ends, dtype=np.int64)
+    place, weight = ypos, w.astype(np.float64)
+    for level in range(len(ypos).bit_length() - 1, -1, -1):
+        low = (place >> level) & 1 == 0
+        zeros = np.concatenate([[0], np.cumsum(low)])
+        sums = np.concatenate([np.zeros((1, *w.shape[1:])), np.cumsum(weight * low.reshape(-1, *[1] * (w.ndim - 1)), axis=0)])
+        one = (below >> level) & 1 == 1
+        out[one] += sums[last[one]] - sums[first[one]]
+        first = np.where(one, zeros[-1] + first - zeros[first], zeros[first])
+        last = np.where(one, zeros[-1] + last - zeros[last], zeros[last])
+        split = np.argsort(~low, kind="stable")
+        place, weight = place[split], weight[split]
+    return out
+
+
+def near_range(s: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted values the first and the end of the places whose value differs by less than `tol`."""
+    n = len(s)
+    lo, hi = np.searchsorted(s, s - tol, "right"), np.searchsorted(s, s + tol, "left")
+    at = np.arange(n)
+    lo, hi = np.minimum(lo, at), np.maximum(hi, at + 1)
+    # sums round; differences decide
+    while (far := s - s[lo] >= tol).any():
+        lo = lo + far
+    while (near := (lo > 0) & (s - s[np.maximum(lo - 1, 0)] < tol)).any():
+        lo = lo - near
+    while (far := s[hi - 1] - s >= tol).any():
+        hi = hi - far
+    while (near := (hi < n) & (s[np.minimum(hi, n - 1)] - s < tol)).any():
+        hi = hi + near
+    return lo, hi
+
+
+def _near_weight(v: np.ndarray, w: np.ndarray, tol: float) -> np.ndarray:
+    """Per row the weight of rows (itself included) whose value differs by less than `tol`; 0 for unknown values."""
+    out, known = np.zeros(w.shape), np.flatnonzero(~np.isnan(v))
+    order = known[np.argsort(v[known], kind="stable")]
+    lo, hi = near_range(v[order], tol)
+    sums = np.concatenate([np.zeros((1, *w.shape[1:])), np.cumsum(w[order], axis=0)])
+    out[order] = sums[hi] - sums[lo]
+    return out
+
+
+def near_partners(x: np.ndarray, y: np.ndarray, w: np.ndarray, tol: float) -> dict[str, np.ndarray]:
+    """Per row of one group the weight of rows that are near it in x, in y, in both (itself included), and ordered
+
+    the same way below or above it. Near means a difference under `tol`, for each pair on its own: values are
+    never chained. `w` may have a column for each of many weightings.
+    """
+    out = {"x": _near_weight(x, w, tol), "y": _near_weight(y, w, tol), "xy": np.zeros(w.shape), "below": np.zeros(w.shape), "above": np.zeros(w.shape)}
+    known = np.flatnonzero(~np.isnan(x) & ~np.isnan(y))
+    if not len(known):
+        return out
+    at = known[np.argsort(x[known], kind="stable")]  # order of x
+    n, ww = len(at), w[at]
+    by_y = np.argsort(y[at], kind="stable")
+    ypos = np.empty(n, dtype=np.int64)
+    ypos[by_y] = np.arange(n)
+    xlo, xhi = near_range(x[at], tol)
+    ylo, yhi = (r[ypos] for r in near_range(y[at][by_y], tol))
+    low = dominance(ypos, ww, xlo, ylo)
+    high = dominance(ypos, ww, xhi, yhi)
+    out["below"][at] = low
+    out["xy"][at] = high - dominance(ypos, ww, xlo, yhi) - dominance(ypos, ww, xhi, ylo) + low
+    in_x = np.concatenate([np.zeros((1, *w.shape[1:])), np.cumsum(ww, axis=0)])
+    in_y = np.concatenate([np.zeros((1, *w.shape[1:])), np.cumsum(ww[by_y], axis=0)])
+    out["above"][at] = in_x[-1] - in_x[xhi] - in_y[yhi] + high
+    return out
+
+
+def chained_groups(gid: np.ndarray, v: np.ndarray, cls: np.ndarray, tol: float) -> np.ndarray:
+    """Groups where a tie class spans `tol` or more, so that being near is not the same as sharing a class."""
+    if tol <= 0 or not len(v):
+        return np.zeros(0, dtype=np.int64)
+    order = np.lexsort((v, cls))
+    c, s = cls[order], v[order]
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(c) != 0]))
+    tails = np.append(heads[1:], len(c)) - 1
+    return np.unique(gid[order][heads][s[tails] - s[heads] >= tol])
+
+
 def group_totals(gid: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, groups: int,
                  tol: float) -> dict[str, np.ndarray]:
-    """The five totals; ties in x (or y) count every row with x (or y) known, the rest needs both."""
+    """The five totals; ties in x (or y) count every row with x (or y) known, the rest needs both.
+
+    Where tie classes chain values further apart than `tol`, each pair is judged on its own instead."""
     kx, ky = ~np.isnan(x), ~np.isnan(y)
     k = kx & ky
     out = {c: np.zeros(groups) for c in TOTALS}
-    if kx.any():
-        out["ties_x"] = _pairs_within(_classes(gid[kx], x[kx], tol), gid[kx], w[kx], groups)
-    if ky.any():
-        out["ties_y"] = _pairs_within(_classes(gid[ky], y[ky], tol), gid[ky], w[ky], groups)
+    full_gid, full_w, chained = gid, w, []
+    for known, v, name in ((kx, x, "ties_x"), (ky, y, "ties_y")):
+        if known.any():
+            cls = _classes(gid[known], v[known], tol)
+            out[name] = _pairs_within(cls, gid[known], w[known], groups)
+            chained.append(chained_groups(gid[known], v[known], cls, tol))
     if k.any():
         gid, w, cx, cy = gid[k], w[k], _classes(gid[k], x[k], tol), _classes(gid[k], y[k], tol)
         both = cx * (cy.max() + 1) + cy
@@ -121,6 +213,14 @@ def group_totals(gid: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, g
         out["n_pairs"] = size * (size - 1) / 2
         out["ties_xy"] = _pairs_within(both, gid, w, groups)
         out["same_way"] = same_way_pairs(gid[first], cx[first], cy[first], np.bincount(inv, weights=w), groups)
+    for g in np.unique(np.concatenate(chained)) if chained else ():
+        rows = np.flatnonzero(full_gid == g)
+        ww = full_w[rows]
+        near = near_partners(x[rows], y[rows], ww, tol)
+        known = {"x": kx[rows], "y": ky[rows], "xy": k[rows]}
+        for c, own in known.items():
+            out[f"ties_{c}"][g] = (ww * (near[c] - own)).sum() / 2
+        out["same_way"][g] = (ww * near["below"]).sum()
     return out
 
 
@@ -284,18 +384,25 @@ def _packed_credit(df: DataFrame, keys: list[str], x: str, y: str, tol: float, t
         vx, vy = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
         kx, ky = ~np.isnan(vx), ~np.isnan(vy)
         k = kx & ky
-        tied = np.zeros(len(pdf))
+        tied, chained = np.zeros(len(pdf)), []
         for known, v in ((kx, vx), (ky, vy)):
             if known.any():
                 c = _classes(gid[known], v[known], tol)
                 tied[known] += np.bincount(c)[c] - 1
+                chained.append(chained_groups(gid[known], v[known], c, tol))
         credit = np.zeros(len(pdf))
         if k.any():
             cx, cy = _classes(gid[k], vx[k], tol), _classes(gid[k], vy[k], tol)
             _, both, nxy = np.unique(cx * (cy.max() + 1) + cy, return_inverse=True, return_counts=True)
             tied[k] -= nxy[both] - 1
             credit[k] = same_way_partners(gid[k], cx, cy, np.ones(int(k.sum())))
-        return pdf[names].assign(credit=credit + tied / 2)
+        credit += tied / 2
+        for g in np.unique(np.concatenate(chained)) if chained else ():
+            rows = np.flatnonzero(gid == g)
+            near = near_partners(vx[rows], vy[rows], np.ones(len(rows)), tol)
+            ties = (near["x"] - kx[rows]) + (near["y"] - ky[rows]) - (near["xy"] - k[rows])
+            credit[rows] = near["below"] + near["above"] + ties / 2
+        return pdf[names].assign(credit=credit)
 
     return (df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(_buckets(df, total))))
             .groupBy("_bucket").applyInPandas(count, schema))

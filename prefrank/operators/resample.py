@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prefrank.functions.hashing import index_below
 from prefrank.functions.stats import chi2_one_upper, f_upper, normal_cdf, normal_quantile
-from prefrank.operators.classify import class_scores, confusion, macro_scores, one_vs_rest_auc
+from prefrank.operators import draws
+from prefrank.operators.classify import class_scores, confusion, one_vs_rest_auc
 from prefrank.operators.concordance import item_credit
 from prefrank.operators.conform import quantiles
 from prefrank.operators.metrics import pairwise_accuracy, ratio
 from prefrank.operators.skew import broadcast_if_small, group_load, join_keys, rank_stats, row_index, spread
-from prefrank.session import cut_lineage
+from prefrank.session import cut_lineage, group_rows
 
 
 def bootstrap_weights(df: DataFrame, strata: Sequence[str], unit: str, replicates: int, seed: int) -> DataFrame:
@@ -40,9 +41,16 @@ def bootstrap_weights(df: DataFrame, strata: Sequence[str], unit: str, replicate
 
 def bootstrap_accuracy(oof: DataFrame, replicates: int, seed: int, by: Sequence[str] = ("model",),
                        stratum: str = "category", per_stratum: bool = False) -> DataFrame:
-    """Pairwise accuracy of every replicate; copies of one item tie with each other (one half)."""
+    """Pairwise accuracy of every replicate; copies of one item tie with each other (one half).
+
+    Strata that fit a task get their draws there, a batch of replicates at a time; larger ones are drawn row by row."""
     by = list(by)
     oof = cut_lineage(oof.select(*by, stratum, "item", "true_score", "predicted_score"))
+    if group_load(oof, [stratum])[1] <= group_rows(oof.sparkSession):
+        acc = draws.accuracy_draws(oof, replicates, seed, by, stratum)
+        if per_stratum:
+            return acc.select(*by, stratum, "rep", ratio("correct", "pairs").alias("value"))
+        return acc.groupBy(*by, "rep").agg(ratio(F.sum("correct"), F.sum("pairs")).alias("value"))
     w = bootstrap_weights(oof.select(stratum, "item").distinct(), [stratum], "item", replicates, seed)
     total, largest = group_load(oof, [*by, stratum])  # a replicate never has more distinct rows
     acc = pairwise_accuracy(join_keys(oof, w, [stratum, "item"]), [*by, "rep", stratum], weight="w",
@@ -127,6 +135,9 @@ def bca_interval(observed: DataFrame, boot: DataFrame, jack: DataFrame, keys: Se
 
 def cluster_bootstrap(blocks: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
     """Sum of correct over sum of pairs for every resample of whole blocks."""
+    if draws.one_task(blocks):
+        d = draws.weighted_sums(blocks, unit, {"correct": F.col("correct"), "pairs": F.col("pairs")}, replicates, seed)
+        return d.select("rep", ratio("correct", "pairs").alias("value"))
     w = bootstrap_weights(blocks, [], unit, replicates, seed)
     d = blocks.join(w, [unit])
     return d.groupBy("rep").agg(ratio(F.sum(F.col("correct") * F.col("w")), F.sum(F.col("pairs") * F.col("w"))).alias("value"))
@@ -145,18 +156,34 @@ def bootstrap_classifier(probs: DataFrame, row: str, levels: Sequence[int], cols
 
     A class without positives in a resample is left out of the averaged AUROC, and unknown per class."""
     probs = cut_lineage(probs)
-    d = probs.join(bootstrap_weights(probs.select(row), [], row, replicates, seed), [row])
-    auc = one_vs_rest_auc(d, cols, ["rep"], "w")
-    scores = confusion(d, cols, levels, ["rep"], "w")
-    per = class_scores(scores, levels, ["rep"]).join(auc, ["rep", "label"], "left")
+    if draws.one_task(probs):
+        c, zero = draws.class_draws(probs, row, levels, cols, replicates, seed), F.lit(0.0)
+        per = c.select("rep", "label", F.coalesce(ratio("tp", "predicted"), zero).alias("precision"), F.coalesce(ratio("tp", "support"), zero).alias("recall"),
+                       F.coalesce(ratio(2 * F.col("tp"), F.col("support") + F.col("predicted")), zero).alias("f1"), "support", "tp", "auroc")
+    else:
+        d = probs.join(bootstrap_weights(probs.select(row), [], row, replicates, seed), [row])
+        auc = one_vs_rest_auc(d, cols, ["rep"], "w")
+        per = class_scores(confusion(d, cols, levels, ["rep"], "w"), levels, ["rep"]).join(auc, ["rep", "label"], "left")
     if per_class:
         some = F.col("support") > 0
         return per.select("rep", "label", *[F.when(some, F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "auroc")
-    return macro_scores(per, ["rep"]).join(per.groupBy("rep").agg(F.avg("auroc").alias("auroc")), "rep")
+    return per.groupBy("rep").agg(ratio(F.sum("tp"), F.sum("support")).alias("accuracy"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")],
+                                  ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"), F.avg("auroc").alias("auroc"))
+
+
+def bootstrap_means(df: DataFrame, unit: str, values: dict[str, Column], replicates: int, seed: int) -> DataFrame:
+    """(rep, weighted mean of each of `values`) of row resamples; equal draws for equal seeds, so that gaps are paired."""
+    if draws.one_task(df):
+        d = draws.weighted_sums(df, unit, values, replicates, seed)
+        return d.select("rep", *[ratio(F.col(f"`{k}`"), F.col("w")).alias(k) for k in values])
+    d = df.select(unit, *[c.cast("double").alias(k) for k, c in values.items()]).join(bootstrap_weights(df.select(unit), [], unit, replicates, seed), [unit])
+    return d.groupBy("rep").agg(*[ratio(F.sum(F.col(f"`{k}`") * F.col("w")), F.sum("w")).alias(k) for k in values])
 
 
 def bootstrap_median(df: DataFrame, unit: str, value: str, replicates: int, seed: int) -> DataFrame:
     """Median of every resample of the rows."""
+    if draws.one_task(df):
+        return draws.median_draws(df, unit, value, replicates, seed)
     w = bootstrap_weights(df.select(unit), [], unit, replicates, seed)
     d = df.join(w, [unit]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
     return quantiles(d, ["rep"], value, [0.5]).select("rep", F.col("q")[0].alias("value"))
@@ -206,3 +233,21 @@ def paired_arms(df: DataFrame) -> DataFrame:
     hit = lambda c: F.avg(F.when(F.col(c) == F.col("truth"), 1.0).otherwise(0.0))
     return df.agg(F.avg(F.when(F.col("a") != F.col("b"), 1.0).otherwise(0.0)).alias("flip_rate"),
                   (hit("b") - hit("a")).alias("accuracy_delta"))
+
+
+def differing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(compared, differing) of two result tables: rows that one of them lacks, or whose values are not exactly equal."""
+    keys, values = list(keys), list(values)
+    left = a.select(*[F.col(c).alias(f"_a_{c}") for c in [*keys, *values]], F.lit(1).alias("_in_a"))
+    right = b.select(*[F.col(c).alias(f"_b_{c}") for c in [*keys, *values]], F.lit(1).alias("_in_b"))
+    on = [F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys]
+    equal = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+    for v in values:
+        equal = equal & F.col(f"_a_{v}").eqNullSafe(F.col(f"_b_{v}"))
+    return left.join(right, on, "full").agg(F.count(F.lit(1)).alias("compared"), F.sum(F.when(equal, 0).otherwise(1)).cast("long").alias("differing"))
+
+
+def rearranged(df: DataFrame, parts: int, unit: str) -> DataFrame:
+    """The same rows in another order and partitioning, with units numbered anew in the same order (whole numbers only)."""
+    d = df.withColumn(unit, F.col(unit) * 3 + 7)
+    return d.repartition(parts, F.xxhash64(*d.columns)).sortWithinPartitions(F.desc(F.xxhash64(*d.columns)))

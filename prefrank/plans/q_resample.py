@@ -126,10 +126,12 @@ DRAW = """
 """
 CREDIT = """CASE WHEN abs(a.true_score - b.true_score) < 1e-10 OR abs(a.predicted_score - b.predicted_score) < 1e-10 THEN 0.5
     WHEN (a.true_score - b.true_score) * (a.predicted_score - b.predicted_score) > 0 THEN 1.0 ELSE 0.0 END"""
-BOOT = "WITH " + DRAW.format(t="oof", seed=7, reps=20) + f""",
-    cr AS (SELECT a.category, a.item AS i, b.item AS j, {CREDIT} AS credit FROM oof a JOIN oof b ON a.category = b.category AND a.item < b.item),
-    cross_pairs AS (SELECT u.rep, u.category, sum(u.w * v.w * credit) AS c, sum(u.w * v.w) AS p FROM cr
-      JOIN bw u ON u.category = cr.category AND u.item = cr.i JOIN bw v ON v.category = cr.category AND v.item = cr.j AND v.rep = u.rep GROUP BY 1, 2),
+#: Draws of accuracy resamples, and of the intervals and classifier resamples.
+REPS, MORE_REPS = 5000, 10_000
+BOOT = "WITH " + DRAW.format(t="oof", seed=7, reps=REPS) + f""",
+    ws AS (SELECT rep, category, item, w, true_score, predicted_score FROM bw JOIN oof USING (category, item)),
+    cross_pairs AS (SELECT a.rep, a.category, sum(a.w * b.w * {CREDIT}) AS c, sum(a.w * b.w) AS p
+      FROM ws a JOIN ws b ON a.rep = b.rep AND a.category = b.category AND a.item < b.item GROUP BY 1, 2),
     own AS (SELECT rep, category, sum(w * (w - 1) / 2) AS p FROM bw GROUP BY 1, 2),
     bc AS (SELECT o.rep, o.category, coalesce(x.c, 0) + o.p / 2 AS correct, coalesce(x.p, 0) + o.p AS pairs FROM own o
       LEFT JOIN cross_pairs x ON x.rep = o.rep AND x.category = o.category),
@@ -137,14 +139,14 @@ BOOT = "WITH " + DRAW.format(t="oof", seed=7, reps=20) + f""",
 """
 
 
-@query("b1_stratified_draws", uses="oof", oracle="WITH " + DRAW.format(t="oof", seed=7, reps=20) + """
+@query("b1_stratified_draws", uses="oof", oracle="WITH " + DRAW.format(t="oof", seed=7, reps=200) + """
     SELECT CAST(rep AS BIGINT) AS rep, category, item, w FROM bw""")
 def _(t):
-    return B.bootstrap_weights(t.oof, ["category"], "item", 20, 7).withColumn("rep", F.col("rep").cast("long"))
+    return B.bootstrap_weights(t.oof, ["category"], "item", 200, 7).withColumn("rep", F.col("rep").cast("long"))
 
 
 def _boot(t, **kw):
-    return B.bootstrap_accuracy(t.oof, 20, 7, [], **kw)
+    return B.bootstrap_accuracy(t.oof, REPS, 7, [], **kw)
 
 
 @query("b2_bootstrap_accuracy", uses="oof", oracle=BOOT + "SELECT CAST(rep AS BIGINT) AS rep, round(value, 6) AS value FROM bv")
@@ -167,7 +169,7 @@ def _(t):
     return B.percentile_interval(_boot(t).withColumn("_all", F.lit(1)), ["_all"]).select(R6("lo"), R6("hi"))
 
 
-def _bca(t, variant, seed=7, reps=200):
+def _bca(t, variant, seed=7, reps=MORE_REPS):
     key = ["metric"]
     tag = lambda d: d.withColumn("metric", F.lit("pairwise_accuracy"))
     obs = tag(M.micro_macro(M.pairwise_accuracy(t.oof, ["category"]), []).select(F.col("micro").alias("value")))
@@ -192,11 +194,11 @@ def _(t):
 
 @query("b8_cluster_bootstrap", uses="oof", oracle=PC_OOF + """,
     ix AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS pos, count(*) OVER () AS n, correct, pairs FROM pc),
-    dr AS (SELECT rep, CAST('0x' || substr(md5(concat_ws(':', 11, rep, pos)), 1, 15) AS BIGINT) % n AS pos FROM ix, range(50) r(rep))
+    dr AS (SELECT rep, CAST('0x' || substr(md5(concat_ws(':', 11, rep, pos)), 1, 15) AS BIGINT) % n AS pos FROM ix, range(5000) r(rep))
     SELECT CAST(rep AS BIGINT) AS rep, round(sum(correct) / sum(pairs), 6) AS value FROM dr JOIN ix USING (pos) GROUP BY 1""")
 def _(t):
     blocks = M.pairwise_accuracy(t.oof, ["category"])
-    return B.cluster_bootstrap(blocks, "category", 50, 11).select(F.col("rep").cast("long").alias("rep"), R6("value"))
+    return B.cluster_bootstrap(blocks, "category", REPS, 11).select(F.col("rep").cast("long").alias("rep"), R6("value"))
 
 
 @query("b8_cluster_jackknife", uses="oof", oracle=PC_OOF + """
@@ -207,7 +209,7 @@ def _(t):
 
 ROWDRAW = """
     WITH ix AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM probs),
-    dr AS (SELECT CAST(rep AS BIGINT) AS rep, CAST('0x' || substr(md5(concat_ws(':', 5, rep, pos)), 1, 15) AS BIGINT) % n AS pos FROM ix, range(10) r(rep)),
+    dr AS (SELECT CAST(rep AS BIGINT) AS rep, CAST('0x' || substr(md5(concat_ws(':', 5, rep, pos)), 1, 15) AS BIGINT) % n AS pos FROM ix, range(10000) r(rep)),
     bs AS (SELECT rep, y_true, p0, p1, p2, p3, p4, CASE WHEN p0 >= greatest(p1, p2, p3, p4) THEN 0 WHEN p1 >= greatest(p2, p3, p4) THEN 1
       WHEN p2 >= greatest(p3, p4) THEN 2 WHEN p3 >= p4 THEN 3 ELSE 4 END AS y_pred FROM dr JOIN ix USING (pos)),
     cs AS (SELECT rep, CAST(l AS BIGINT) AS label, sum(CASE WHEN y_true = l AND y_pred = l THEN 1 ELSE 0 END) AS tp,
@@ -227,7 +229,7 @@ ROWDRAW = """
     SELECT rep, round(sum(tp) / sum(sup), 6) AS accuracy, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
       round(avg(f1), 6) AS f1, round(avg(auroc), 6) AS auroc FROM sc JOIN au USING (rep, label) GROUP BY 1""")
 def _(t):
-    d = B.bootstrap_classifier(t.probs, "id", LEVELS, P5, 10, 5)
+    d = B.bootstrap_classifier(t.probs, "id", LEVELS, P5, MORE_REPS, 5)
     return d.select(F.col("rep").cast("long").alias("rep"), *[R6(c) for c in ("accuracy", "precision", "recall", "f1", "auroc")])
 
 
@@ -235,7 +237,7 @@ def _(t):
     SELECT rep, label, CASE WHEN sup > 0 THEN round(precision, 6) END AS precision, CASE WHEN sup > 0 THEN round(recall, 6) END AS recall,
       CASE WHEN sup > 0 THEN round(f1, 6) END AS f1, round(auroc, 6) AS auroc FROM sc JOIN au USING (rep, label)""")
 def _(t):
-    d = B.bootstrap_classifier(t.probs, "id", LEVELS, P5, 10, 5, per_class=True)
+    d = B.bootstrap_classifier(t.probs, "id", LEVELS, P5, MORE_REPS, 5, per_class=True)
     return d.select(F.col("rep").cast("long").alias("rep"), "label", *[R6(c) for c in ("precision", "recall", "f1", "auroc")])
 
 
@@ -247,14 +249,14 @@ def _(t):
 
 MEDIAN = """
     WITH ix AS (SELECT item, predicted_score, row_number() OVER (ORDER BY item) - 1 AS pos, count(*) OVER () AS n FROM oof),
-    dr AS (SELECT CAST(rep AS BIGINT) AS rep, CAST('0x' || substr(md5(concat_ws(':', 3, rep, pos)), 1, 15) AS BIGINT) % n AS pos FROM ix, range(20) r(rep)),
+    dr AS (SELECT CAST(rep AS BIGINT) AS rep, CAST('0x' || substr(md5(concat_ws(':', 3, rep, pos)), 1, 15) AS BIGINT) % n AS pos FROM ix, range(10000) r(rep)),
     md AS (SELECT rep, median(predicted_score) AS value FROM dr JOIN ix USING (pos) GROUP BY 1)
 """
 
 
 @query("b12_bootstrap_median", uses="oof", oracle=MEDIAN + "SELECT rep, round(value, 4) AS value FROM md")
 def _(t):
-    return B.bootstrap_median(t.oof, "item", "predicted_score", 20, 3).select(
+    return B.bootstrap_median(t.oof, "item", "predicted_score", MORE_REPS, 3).select(
         F.col("rep").cast("long").alias("rep"), F.round("value", 4).alias("value"))
 
 
@@ -263,11 +265,23 @@ def _(t):
 def _(t):
     from prefrank.operators.conform import quantiles
 
-    boot = B.bootstrap_median(t.oof, "item", "predicted_score", 20, 3)
+    boot = B.bootstrap_median(t.oof, "item", "predicted_score", MORE_REPS, 3)
     target = quantiles(t.oof.withColumn("_all", F.lit(1)), ["_all"], "predicted_score", [0.5]).select(F.col("q")[0].alias("target"))
     return rounded(B.one_sided_p(boot.crossJoin(F.broadcast(target)), F.col("target")), "p_value")
 
 
+@query("b18_order_invariance", uses="oof", oracle=f"""
+    SELECT 'bootstrap_accuracy' AS statistic, CAST({REPS} AS BIGINT) AS compared, CAST(0 AS BIGINT) AS differing
+    UNION ALL SELECT 'category_metrics', count(DISTINCT category), 0 FROM oof""")
+def _(t):
+    other = B.rearranged(t.oof, 13, "item")
+    metrics = ["pairwise_accuracy", "recall_at_1", "recall_at_3"]
+    checks = [("bootstrap_accuracy", B.differing_rows(_boot(t), B.bootstrap_accuracy(other, REPS, 7, []), ["rep"], ["value"])),
+              ("category_metrics", B.differing_rows(M.category_metrics(t.oof), M.category_metrics(other), ["category"], metrics))]
+    out = [d.select(F.lit(name).alias("statistic"), "compared", "differing") for name, d in checks]
+    return out[0].unionByName(out[1])
+
+
 @query("b13_mcnemar", oracle="""
     WITH k AS (SELECT CAST(sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS BIGINT) AS b,
       CAST(sum(CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c FROM labels)
@@ -321,11 +335,10 @@ def _(t):
     SELECT CAST(rep AS BIGINT) AS rep, round(avg(CASE WHEN y_pred = y_true THEN 1.0 ELSE 0.0 END)
       - avg(CASE WHEN y_true = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy_gap FROM bs GROUP BY 1""")
 def _(t):
-    w = B.bootstrap_weights(t.probs.select("id"), [], "id", 10, 5)
-    d = t.probs.select("id", "y_true", C.argmax([F.col(c) for c in P5]).alias("a")).join(w, "id")
-    hit = lambda cond: F.sum(F.when(cond, F.col("w")).otherwise(0))
-    gap = (hit(F.col("a") == F.col("y_true")) - hit(F.col("y_true") == 0)) / F.sum("w").cast("double")
-    return d.groupBy(F.col("rep").cast("long").alias("rep")).agg(F.round(gap, 6).alias("accuracy_gap"))
+    d = t.probs.select("id", "y_true", C.argmax([F.col(c) for c in P5]).alias("a"))
+    hit = lambda cond: F.when(cond, 1.0).otherwise(0.0)
+    gap = B.bootstrap_means(d, "id", {"gap": hit(F.col("a") == F.col("y_true")) - hit(F.col("y_true") == 0)}, MORE_REPS, 5)
+    return gap.select(F.col("rep").cast("long").alias("rep"), F.round("gap", 6).alias("accuracy_gap"))
 
 
 @query("m12_leaderboard_overlap", uses="oof_multi", oracle=PC_MULTI + """,
