@@ -32,6 +32,14 @@ def index_below(n: Column, *parts: Column | str | int) -> Column:
     return F.pmod(hash60(*parts), n)
 
 
+def replicate_index(n: Column, seed: int, rep: Column, *parts: Column) -> Column:
+    """Draw in [0, n) of a replicate: a digest serves two replicates, its first and its second half."""
+    cols = [c.cast("string") for c in (F.lit(seed), F.floor(rep / 2), *parts)]
+    digest = F.md5(F.concat_ws(":", *cols))
+    half = F.substring(digest, F.when(rep % 2 == 0, 1).otherwise(17), F.lit(15))
+    return F.pmod(F.conv(half, 16, 10).cast("long"), n)
+
+
 def md5_is_even(*parts: Column | str | int) -> Column:
     """Parity of the whole 128-bit digest: the last hex digit decides."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]

@@ -29,20 +29,26 @@ SQUARE = 2048
 
 
 def drawn(seed: int, reps: range, stratum: str | None, n: int) -> np.ndarray:
-    """How often each replicate draws each of n units: slot p of replicate r draws the unit at hash(seed, r, stratum, p) mod n."""
+    """How often each replicate draws each of n units.
+
+    Slot p of replicate r draws the unit at hash(seed, r / 2, stratum, p) mod n, from the first half of the
+    digest where r is even and from the second where it is odd.
+    """
     slots = [str(p).encode() for p in range(n)]
     name = "" if stratum is None else f"{stratum}:"
     out = np.empty((len(reps), n))
-    for i, r in enumerate(reps):
-        head = f"{seed}:{r}:{name}".encode()
-        digests = b"".join([md5(head + s).digest() for s in slots])
-        out[i] = np.bincount((np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)) % np.uint64(n), minlength=n)
+    for pair in range(reps.start // 2, (reps.stop + 1) // 2):
+        head = f"{seed}:{pair}:{name}".encode()
+        halves = np.frombuffer(b"".join([md5(head + s).digest() for s in slots]), ">u8").reshape(-1, 2)
+        for r in (2 * pair, 2 * pair + 1):
+            if r in reps:
+                out[r - reps.start] = np.bincount((halves[:, r % 2] >> np.uint64(4)) % np.uint64(n), minlength=n)
     return out
 
 
 def batches(lo: int, hi: int, n: int) -> Iterator[range]:
     """Replicates lo to hi in parts whose matrices stay small."""
-    step = max(1, CELLS // max(1, n))
+    step = max(2, CELLS // max(1, n) // 2 * 2)
     for at in range(lo, hi, step):
         yield range(at, min(hi, at + step))
 
@@ -63,7 +69,9 @@ def pair_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, tol: float = 1e-10) -
     pairs = w.sum(1) * (w.sum(1) - 1) / 2
     if len(x) <= SQUARE:
         c = credit_matrix(x, y, tol)
-        return (np.einsum("rn,rn->r", w @ c, w) - w @ np.diag(c)) / 2, pairs
+        # halves up to the number of rows are exact in single precision
+        met = w.astype("f4") @ c.astype("f4") if w.sum(1).max(initial=0) < 1 << 22 else w @ c
+        return (np.einsum("rn,rn->r", met.astype("f8"), w) - w @ np.diag(c)) / 2, pairs
     kx, ky = ~np.isnan(x)[:, None], ~np.isnan(y)[:, None]
     columns = np.ascontiguousarray(w.T)
     near = near_partners(x, y, columns, tol)

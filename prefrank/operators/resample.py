@@ -1,7 +1,7 @@
 """Bootstrap, jackknife and interval operators.
 
 A resample is a table of multiplicities: every row of a stratum acts as one draw slot and hashes
-(seed, replicate, stratum, slot) to the position it draws. Draws therefore do not depend on row
+(seed, pair of replicates, stratum, slot) to the positions it draws in the two. Draws therefore do not depend on row
 order or partitioning, and a lost task recomputes the same ones.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from prefrank.functions.hashing import index_below
+from prefrank.functions.hashing import replicate_index
 from prefrank.functions.stats import chi2_one_upper, f_upper, normal_cdf, normal_quantile
 from prefrank.operators import draws
 from prefrank.operators.classify import class_scores, confusion, one_vs_rest_auc
@@ -34,7 +34,7 @@ def bootstrap_weights(df: DataFrame, strata: Sequence[str], unit: str, replicate
     n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     slots = spread(join_keys(ix, broadcast_if_small(n), keys), *keys, "_pos").withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pos = index_below(F.col("_n"), seed, F.col("rep"), *[F.col(k) for k in strata], F.col("_pos"))
+    pos = replicate_index(F.col("_n"), seed, F.col("rep"), *[F.col(k) for k in strata], F.col("_pos"))
     drawn = slots.select("rep", *keys, pos.alias("_pos")).groupBy("rep", *keys, "_pos").agg(F.count(F.lit(1)).alias("w"))
     return join_keys(drawn, ix, [*keys, "_pos"]).select("rep", *strata, unit, "w")
 

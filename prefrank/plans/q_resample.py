@@ -120,7 +120,7 @@ def _(t):
 
 DRAW = """
     ix AS (SELECT category, item, row_number() OVER (PARTITION BY category ORDER BY item) - 1 AS pos, count(*) OVER (PARTITION BY category) AS n FROM {t}),
-    dr AS (SELECT rep, category, CAST('0x' || substr(md5(concat_ws(':', {seed}, rep, category, pos)), 1, 15) AS BIGINT) % n AS pos
+    dr AS (SELECT rep, category, CAST('0x' || substr(md5(concat_ws(':', {seed}, rep // 2, category, pos)), 1 + 16 * (rep % 2), 15) AS BIGINT) % n AS pos
       FROM ix, range({reps}) r(rep)),
     bw AS (SELECT dr.rep, dr.category, ix.item, count(*) AS w FROM dr JOIN ix ON ix.category = dr.category AND ix.pos = dr.pos GROUP BY 1, 2, 3)
 """
@@ -194,7 +194,7 @@ def _(t):
 
 @query("b8_cluster_bootstrap", uses="oof", oracle=PC_OOF + """,
     ix AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS pos, count(*) OVER () AS n, correct, pairs FROM pc),
-    dr AS (SELECT rep, CAST('0x' || substr(md5(concat_ws(':', 11, rep, pos)), 1, 15) AS BIGINT) % n AS pos FROM ix, range(5000) r(rep))
+    dr AS (SELECT rep, CAST('0x' || substr(md5(concat_ws(':', 11, rep // 2, pos)), 1 + 16 * (rep % 2), 15) AS BIGINT) % n AS pos FROM ix, range(5000) r(rep))
     SELECT CAST(rep AS BIGINT) AS rep, round(sum(correct) / sum(pairs), 6) AS value FROM dr JOIN ix USING (pos) GROUP BY 1""")
 def _(t):
     blocks = M.pairwise_accuracy(t.oof, ["category"])
@@ -209,7 +209,7 @@ def _(t):
 
 ROWDRAW = """
     WITH ix AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM probs),
-    dr AS (SELECT CAST(rep AS BIGINT) AS rep, CAST('0x' || substr(md5(concat_ws(':', 5, rep, pos)), 1, 15) AS BIGINT) % n AS pos FROM ix, range(10000) r(rep)),
+    dr AS (SELECT CAST(rep AS BIGINT) AS rep, CAST('0x' || substr(md5(concat_ws(':', 5, rep // 2, pos)), 1 + 16 * (rep % 2), 15) AS BIGINT) % n AS pos FROM ix, range(10000) r(rep)),
     bs AS (SELECT rep, y_true, p0, p1, p2, p3, p4, CASE WHEN p0 >= greatest(p1, p2, p3, p4) THEN 0 WHEN p1 >= greatest(p2, p3, p4) THEN 1
       WHEN p2 >= greatest(p3, p4) THEN 2 WHEN p3 >= p4 THEN 3 ELSE 4 END AS y_pred FROM dr JOIN ix USING (pos)),
     cs AS (SELECT rep, CAST(l AS BIGINT) AS label, sum(CASE WHEN y_true = l AND y_pred = l THEN 1 ELSE 0 END) AS tp,
@@ -249,7 +249,7 @@ def _(t):
 
 MEDIAN = """
     WITH ix AS (SELECT item, predicted_score, row_number() OVER (ORDER BY item) - 1 AS pos, count(*) OVER () AS n FROM oof),
-    dr AS (SELECT CAST(rep AS BIGINT) AS rep, CAST('0x' || substr(md5(concat_ws(':', 3, rep, pos)), 1, 15) AS BIGINT) % n AS pos FROM ix, range(10000) r(rep)),
+    dr AS (SELECT CAST(rep AS BIGINT) AS rep, CAST('0x' || substr(md5(concat_ws(':', 3, rep // 2, pos)), 1 + 16 * (rep % 2), 15) AS BIGINT) % n AS pos FROM ix, range(10000) r(rep)),
     md AS (SELECT rep, median(predicted_score) AS value FROM dr JOIN ix USING (pos) GROUP BY 1)
 """
 
