@@ -58,8 +58,8 @@ def column_means(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
 
 def impute_column_means(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
     """Unknown entries take the mean of their position over the whole key (one row per key)."""
-    m = F.broadcast(column_means(df, keys, vec))
-    d = df.join(m, list(keys)) if keys else df.crossJoin(m)
+    m = column_means(df, keys, vec)
+    d = join_keys(df, broadcast_if_small(m), list(keys)) if keys else df.crossJoin(F.broadcast(m))  # one row
     return d.withColumn(vec, F.zip_with(vec, "_m", lambda x, y: F.coalesce(x, y))).drop("_m")
 
 
@@ -67,7 +67,7 @@ def scaled(df: DataFrame, keys: Sequence[str], vec: str, scaler: str = "standard
     """P5: per position, (x - shift) / scale with a zero scale read as one.
 
     standard: mean and population deviation; minmax: minimum and range; robust: median and
-    interquartile range. The statistics hold one row per key (a block), so they are broadcast.
+    interquartile range. The statistics hold one row per key (a block); they are broadcast if counted small.
     """
     if scaler == "none":
         return df
@@ -81,8 +81,8 @@ def scaled(df: DataFrame, keys: Sequence[str], vec: str, scaler: str = "standard
                         "minmax": (F.min("x"), F.max("x") - F.min("x"))}[scaler]
         s = d.groupBy(*keys, "pos").agg(shift.alias("shift"), scale.alias("scale"))
     s = s.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
-    s = F.broadcast(_as_array(s, keys, ["shift", "scale"]))
-    d = df.join(s, keys) if keys else df.crossJoin(s)
+    s = _as_array(s, keys, ["shift", "scale"])
+    d = join_keys(df, broadcast_if_small(s), keys) if keys else df.crossJoin(F.broadcast(s))  # one row
     moved = F.zip_with(vec, "_shift", lambda x, y: x - y)
     return d.withColumn(vec, F.zip_with(moved, "_scale", lambda x, y: x / y)).drop("_shift", "_scale")
 

@@ -24,7 +24,9 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     bound = broadcast_rows(df.sparkSession)
     width = F.lit(8 * len(df.columns))
     for f in df.schema:
-        if isinstance(f.dataType, T.ArrayType):
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.ArrayType):
+            width = width + 8 * F.coalesce(F.size(F.flatten(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
             width = width + 8 * F.coalesce(F.when(F.col(f"`{f.name}`").isNotNull(), F.size(f"`{f.name}`")), F.lit(0))
         elif isinstance(f.dataType, T.StringType):
             width = width + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prefrank.functions.vectors import cosine_distance, doubles, euclidean, l2_normalised
 from prefrank.operators import centroid as D, features as E
+from prefrank.operators import preparation as FT
 from prefrank.plans.registry import query
 
 LONG = """
@@ -133,6 +134,62 @@ def _(t):
     return _values(E.scaled(t.items_vec.withColumn("vec", doubles(F.col("vec"))), [], "vec", "robust"), "item")
 
 
+OTHER_FOLDS = LONG + """,
+    fx AS (SELECT x.*, item % 5 AS fold FROM x),
+    fs AS (SELECT fold, pos, count(x) AS n, sum(x) AS s, sum(x * x) AS ss FROM fx GROUP BY 1, 2),
+    ot AS (SELECT a.fold, a.pos, sum(b.n) AS n, sum(b.s) AS s, sum(b.ss) AS ss FROM fs a JOIN fs b ON a.pos = b.pos AND a.fold <> b.fold GROUP BY 1, 2)
+"""
+
+
+def _folds(t):
+    return t.items_vec.select("item", (F.col("item") % 5).alias("fold"), doubles(F.col("vec")).alias("vec"))
+
+
+@query("p4_held_out_imputation", uses="items_vec", oracle=LONG + """,
+    fx AS (SELECT item, item % 5 AS fold, pos, CASE WHEN (item + pos) % 7 <> 0 THEN x END AS x FROM x),
+    fs AS (SELECT fold, pos, count(x) AS n, sum(x) AS s FROM fx GROUP BY 1, 2),
+    ot AS (SELECT a.fold, a.pos, sum(b.n) AS n, sum(b.s) AS s FROM fs a JOIN fs b ON a.pos = b.pos AND a.fold <> b.fold GROUP BY 1, 2)
+    SELECT item, fx.pos, round(coalesce(x, s / n), 6) AS value FROM fx JOIN ot USING (fold, pos)""")
+def _(t):
+    v = F.transform("vec", lambda x, i: F.when((F.col("item") + i) % 7 != 0, x))
+    return _values(FT.impute_held_out(_folds(t).withColumn("vec", v), "fold", "vec"), "item")
+
+
+@query("p5_held_out_scaler", uses="items_vec", oracle=OTHER_FOLDS + """
+    SELECT item, fx.pos, round((x - ot.s / ot.n) / sqrt(ot.ss / ot.n - (ot.s / ot.n) * (ot.s / ot.n)), 6) AS value FROM fx JOIN ot USING (fold, pos)""")
+def _(t):
+    d = _folds(t)
+    states = FT.fold_states(d, "fold", "vec", FT.Plan(wide=1000))
+    return _values(FT.transform(d, states, "vec", ["fold"]), "item")
+
+
+@query("p5_train_test_scaler", uses="items_vec", oracle=LONG + """,
+    q AS (SELECT pos, quantile_cont(x, 0.25) AS a, median(x) AS m, quantile_cont(x, 0.75) AS b FROM x WHERE item % 4 <> 0 GROUP BY 1)
+    SELECT item, pos, round((x - m) / (b - a), 6) AS value FROM x JOIN q USING (pos) WHERE item % 4 = 0""")
+def _(t):
+    d = _folds(t)
+    state = FT.fit(d.where("item % 4 <> 0"), "vec", FT.Plan("robust", wide=1000))
+    return _values(FT.transform(d.where("item % 4 = 0"), state, "vec"), "item")
+
+
+@query("p6_held_out_projection")
+def _(t):
+    d = _folds(t)
+    return FT.transform(d, FT.fold_states(d, "fold", "vec"), "vec", ["fold"]).select("item", "fold", F.transform("vec", lambda x: F.round(x, 6)).alias("components"))
+
+
+@query("p6_leave_one_out_projection")
+def _(t):
+    return FT.leave_one_out(_folds(t), "vec").select("item", F.transform("vec", lambda x: F.round(x, 6)).alias("components"))
+
+
+@query("p7_held_out_projection_then_scale")
+def _(t):
+    d = _folds(t)
+    states = FT.fold_states(d, "fold", "vec", FT.Plan(k=20, scale_last=True))
+    return FT.transform(d, states, "vec", ["fold"]).select("item", "fold", F.transform("vec", lambda x: F.round(x, 6)).alias("components"))
+
+
 @query("p6_scaled_projection")
 def _(t):
     d = E.scaled_and_projected(_blocks(t), ["a"], variance=0.95)
