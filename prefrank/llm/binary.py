@@ -9,7 +9,6 @@ the partitions' totals, read from the small columns alone, turn them into positi
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from prefrank.llm.common import pieces, shared_folder
+from prefrank.llm.common import pieces, shared_folder, tidy
 from prefrank.llm.words import LATIN, Remembered, byte_symbols, coded, latin_pattern
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
@@ -67,7 +66,9 @@ class Encoder:
         starts = np.cumsum(sizes) - sizes
         counts = sizes[places]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        flat = np.frombuffer(b"".join(known), dtype="<u4")[np.repeat(starts[places] - ends[:-1], counts) + np.arange(ends[-1])]
+        at = np.repeat((starts[places] - ends[:-1]).astype("int32"), counts)  # a batch has fewer than 2 ** 31 identifiers
+        at += np.arange(len(at), dtype="int32")
+        flat = np.frombuffer(b"".join(known), dtype="<u4")[at]
         cuts = iter(zip(ends[bounds[:-1]], ends[bounds[1:]]))
         return [flat[slice(*next(cuts))] if cut is not None else self.whole(t) for t, cut in zip(texts, low)]
 
@@ -80,6 +81,7 @@ def encoder(path: str, remembered: int) -> Encoder:
     return Encoder(path, remembered)
 
 
+@tidy
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, remembered: int) -> Iterator[pa.RecordBatch]:
     """Encode one sorted partition; start_in_part counts the identifiers before a document in it."""
     encode, part, at = encoder(tokenizer, remembered).texts, TaskContext.get().partitionId(), 0
@@ -92,11 +94,9 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, remembe
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(flat))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(ids), part, dtype="int32")), pa.array(at + ends - lengths), pa.array(lengths), tokens], names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
         at += int(lengths.sum())
-    gc.collect()
-    pa.default_memory_pool().release_unused()
 
 
-def write_tokens(df: DataFrame, folder: str, tokenizer: str, end: int = 2, row_group_bytes: int = 32 << 20, page_rows: int = 1000, remembered: int = 100_000) -> None:
+def write_tokens(df: DataFrame, folder: str, tokenizer: str, end: int = 2, row_group_bytes: int = 32 << 20, page_rows: int = 1000, remembered: int = 60_000) -> None:
     """Write doc_id and the identifiers of whole texts, with `end` after each document, in doc_id order.
 
     `df` needs doc_id and text; other columns are left out. A null text is written as the end identifier
@@ -135,6 +135,7 @@ def read_tokens(spark: SparkSession, folder: str, tokens: bool = True) -> DataFr
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", *["tokens"] * tokens)
 
 
+@tidy
 def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         tokens = b.column("tokens")

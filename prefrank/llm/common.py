@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+T = TypeVar("T")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,6 +45,29 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return free memory of this worker to the system: workers are used again, and keep what they took otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not in every C library
+        pass
+
+
+def tidy(make: Callable[..., Iterator[T]]) -> Callable[..., Iterator[T]]:
+    """A generator function whose worker gives memory back when a task has taken its last batch."""
+
+    @wraps(make)
+    def run(*args, **kwargs) -> Iterator[T]:
+        try:
+            yield from make(*args, **kwargs)
+        finally:
+            give_back()
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. `lower` does the same on ASCII texts and is quicker there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from prefrank.llm.common import pieces, sent_if_small, written
+from prefrank.llm.common import pieces, sent_if_small, tidy, written
 from prefrank.llm.components import components
 from prefrank.llm.words import Remembered
 
@@ -103,6 +103,7 @@ def directory_keys(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(keys).view("i8")
 
 
+@tidy
 def described(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """doc_id, n, fingerprint of the set (128 bits) and directory keys of each document."""
     shingles = Shingler(shingle)
@@ -121,6 +122,7 @@ def stars(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.repeat(node[order][first], np.diff(np.append(first, len(order))))
 
 
+@tidy
 def local_stars(batches: Iterator[pa.RecordBatch], rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Combine the cells of a task: the smallest node of a cell stays in it, the others become links to it.
 
@@ -146,6 +148,7 @@ def local_stars(batches: Iterator[pa.RecordBatch], rows: int = 1 << 20) -> Itera
         yield combined()
 
 
+@tidy
 def linked_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (u, v) of each node to the smallest of its cell; rows come ordered by cell and node."""
     last = (None, None)
@@ -214,6 +217,7 @@ def family_links(ids: list[int], sets: list[np.ndarray], first: np.ndarray, seco
                     yield ids[i], ids[j]
 
 
+@tidy
 def tile_links(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Links of each tile; rows of a tile follow each other."""
     shingles = Shingler(shingle)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prefrank.llm.common import pieces, sent_if_small, written
+from prefrank.llm.common import pieces, sent_if_small, tidy, written
 from prefrank.llm.components import components
 from prefrank.llm.jaccard import Shingler, linked_stars, local_stars, mixed
 
@@ -70,6 +70,7 @@ def fewest_agreements(n: int, percent: int, miss: float) -> int:
     return n
 
 
+@tidy
 def described(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """doc_id, n, fingerprint of the set (128 bits) and the band keys of each document."""
     shingles, signer = Shingler(shingle), Signer(bands, rows)
@@ -115,6 +116,7 @@ def verified(sets: list[np.ndarray], label: np.ndarray, own: np.ndarray, signer:
     return found
 
 
+@tidy
 def tile_links(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, bands: int, rows: int, miss: float) -> Iterator[pa.RecordBatch]:
     """Links (u, v) found in each tile; rows of a tile (root, i, j) follow each other."""
     shingles, signer = Shingler(shingle), Signer(bands, rows)

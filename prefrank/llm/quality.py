@@ -18,6 +18,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from prefrank.llm.common import tidy
+
 
 @dataclass
 class QualityModel:
@@ -143,6 +145,10 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataF
 
     @F.pandas_udf("double")
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from scored(texts)
+
+    @tidy
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             values = [model.scores([(t or "").encode() for t in s.iloc[i:i + 512]]) for i in range(0, len(s), 512)]
             yield pd.Series(np.concatenate([np.zeros(0), *values]))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prefrank.llm.common import LOWER, UPPER, pieces, sent_if_small, written
+from prefrank.llm.common import LOWER, UPPER, pieces, sent_if_small, tidy, written
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
@@ -35,6 +35,7 @@ def altered(doc_id: str, run: str, every: int) -> str:
     return run[:at] + run[at + 1:] if h % every == 0 else run
 
 
+@tidy
 def word_counts(batches: Iterator[pa.RecordBatch], shortest: int, every: int, held: int) -> Iterator[pa.RecordBatch]:
     """word, n: counts of a task, handed on whenever it holds `held` words or letters in proportion."""
     counts: Counter[str] = Counter()
@@ -123,6 +124,7 @@ def best(n: int, word: str) -> tuple[int, str]:
     return (-n, word)
 
 
+@tidy
 def tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, n_near, near_n, near: near words of each word in its tile, how many and the most frequent.
 
