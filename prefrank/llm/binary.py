@@ -150,8 +150,11 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, folder).mapInArrow(checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize(df: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
-    """Write the token files of `df` to a new shared folder and return their index."""
+def tokenize(df: DataFrame, tokenizer: str, end: int = 2, remembered: int = 60_000) -> DataFrame:
+    """Write the token files of `df` to a new shared folder and return their index.
+
+    `remembered` words, twice, are kept by each worker: more save time, about 200 bytes each.
+    """
     folder = shared_folder(df.sparkSession)
-    write_tokens(df, folder, tokenizer, end)
+    write_tokens(df, folder, tokenizer, end, remembered=remembered)
     return token_index(df.sparkSession, folder)

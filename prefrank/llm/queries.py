@@ -35,7 +35,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_token_files")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    return binary.tokenize(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return binary.tokenize(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), remembered=200_000)
 
 
 @query("op10_source_mix")
