@@ -16,6 +16,7 @@ from prefrank.functions.vectors import l2_normalised
 from prefrank.operators.conform import quantiles, top_k
 from prefrank.operators.features import pooled
 from prefrank.operators.skew import broadcast_if_small, row_index
+from prefrank.session import cut_lineage
 
 
 def alias_index(entities: DataFrame) -> DataFrame:
@@ -32,14 +33,9 @@ def alias_index(entities: DataFrame) -> DataFrame:
     return d.groupBy("entity_type", "name").agg(F.min_by("entity_id", "ord").alias("entity_id"))
 
 
-def mapped_ingredients(mentions: DataFrame, index: DataFrame, curated: DataFrame | None = None) -> DataFrame:
-    """(ingredient, entity_id, tier): 0 curated name, 1 exact food, 2 simplified food, 3 chemical.
-
-    `curated` has name and target; a target is looked up as food (exact, simplified), then chemical.
-    """
+def _best_match(mentions: DataFrame, index: DataFrame, curated: DataFrame | None) -> DataFrame:
+    """(ingredient, target, entity_id, entity_type, tier): the first name tried that is in the index, if any is."""
     d = mentions.select("ingredient").distinct()
-    tries = F.array(F.struct(F.lit(1).alias("tier"), F.lit(0).alias("step"), F.lit("food").alias("entity_type"),
-                             F.lower(F.trim("ingredient")).alias("name")))
     if curated is not None:
         d = d.join(broadcast_if_small(curated.select(F.col("name").alias("_n"), "target")),
                    F.lower(F.trim("ingredient")) == F.col("_n"), "left").drop("_n")
@@ -55,10 +51,62 @@ def mapped_ingredients(mentions: DataFrame, index: DataFrame, curated: DataFrame
 
     own = tiers(F.col("ingredient"), 1, 2, 3, 20)
     tries = F.when(F.col("target").isNotNull(), F.concat(tiers(F.col("target"), 0, 0, 0, 0), own)).otherwise(own)
-    e = d.select("ingredient", F.explode(tries).alias("_t")).select("ingredient", "_t.*")
-    hit = e.join(index, ["entity_type", "name"])
-    best = F.min(F.struct("step", "tier", "entity_id")).alias("_b")
-    return hit.groupBy("ingredient").agg(best).select("ingredient", "_b.entity_id", F.col("_b.tier").cast("long").alias("tier"))
+    e = d.select("ingredient", "target", F.explode(tries).alias("_t")).select("ingredient", "target", "_t.*")
+    best = F.min(F.when(F.col("entity_id").isNotNull(), F.struct("step", "tier", "entity_id", "entity_type"))).alias("_b")
+    hit = e.join(index, ["entity_type", "name"], "left").groupBy("ingredient", "target").agg(best)
+    return hit.select("ingredient", "target", "_b.entity_id", "_b.entity_type", F.col("_b.tier").cast("long").alias("tier"))
+
+
+def mapped_ingredients(mentions: DataFrame, index: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """(ingredient, entity_id, tier): 0 curated name, 1 exact food, 2 simplified food, 3 chemical.
+
+    `curated` has name and target; a target is looked up as food (exact, simplified), then chemical.
+    """
+    return _best_match(mentions, index, curated).filter("entity_id IS NOT NULL").select("ingredient", "entity_id", "tier")
+
+
+def pair_compounds(pairs: DataFrame, index: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pair, compound, concentration): the primary's compounds with their concentration, and those
+    that only a fallback has, without one.
+
+    `pairs` has pair, place (0 primary, then fallbacks) and entry, a food name looked up exactly. An entry
+    that no food answers to adds nothing; a pair without any compound has no row.
+    """
+    food = index.filter("entity_type = 'food'").select("name", F.col("entity_id").alias("head_id"))
+    ends = broadcast_if_small(pairs.select("pair", "place", F.lower(F.trim("entry")).alias("name")).join(food, ["name"]).drop("name"))
+    return edges.join(ends, ["head_id"]).groupBy("pair", F.col("tail_id").alias("compound")).agg(
+        F.max(F.when(F.col("place") == 0, F.col("concentration"))).alias("concentration"))
+
+
+def resolved_with_pairs(mentions: DataFrame, index: DataFrame, entities: DataFrame, edges: DataFrame,
+                        curated: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches (ingredient, entity_id, tier, pair) and their compounds (ingredient, compound, concentration).
+
+    A curated target that names a pair with compounds takes the pair at tier 0, under the joined names of
+    its entries; otherwise the target, and then the ingredient itself, go through the ordinary tiers. A food
+    found under the ingredient's own name (tier 1 or 2) keeps its id, but takes the compounds of the pair
+    called like the food, if that has any. A chemical is its own compound, without concentration.
+    """
+    merged = cut_lineage(pair_compounds(pairs, index, edges))
+    live = pairs.join(merged.select("pair").distinct(), ["pair"], "left_semi").groupBy("pair").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda e: e["entry"]), "+").alias("_label"))
+    live = cut_lineage(live)
+    named = entities.select("entity_id", F.lower("common_name").alias("_called"))
+    best = _best_match(mentions, index, curated).join(named, ["entity_id"], "left")
+    best = best.withColumn("_first", F.col("target")).withColumn("_second", F.when(F.col("tier").isin(1, 2), F.col("_called")))
+    for side in ("_first", "_second"):
+        best = best.join(broadcast_if_small(live.select(F.col("pair").alias(side), F.col("_label").alias(f"{side}_label"))), [side], "left")
+    first, second = F.col("_first_label").isNotNull(), F.col("_second_label").isNotNull()
+    best = best.select(
+        "ingredient", F.coalesce("_first_label", "entity_id").alias("entity_id"), F.when(first, F.lit("pair")).otherwise(F.col("entity_type")).alias("_type"),
+        F.when(first, F.lit(0)).otherwise(F.col("tier")).cast("long").alias("tier"),
+        F.when(first, F.col("_first")).when(second, F.col("_second")).alias("pair"))
+    best = cut_lineage(best.filter("entity_id IS NOT NULL"))
+    paired = best.filter("pair IS NOT NULL").join(merged, ["pair"]).select("ingredient", "compound", "concentration")
+    plain = best.filter("pair IS NULL AND _type = 'food'").join(edges.withColumnRenamed("head_id", "entity_id"), ["entity_id"]).select(
+        "ingredient", F.col("tail_id").alias("compound"), "concentration")
+    chemical = best.filter("_type = 'chemical'").select("ingredient", F.col("entity_id").alias("compound"), F.lit(None).cast("double").alias("concentration"))
+    return best.drop("_type"), paired.unionByName(plain).unionByName(chemical)
 
 
 def merged_compounds(primary: DataFrame, fallbacks: Sequence[DataFrame]) -> DataFrame:

@@ -117,6 +117,23 @@ ADAPTERS: dict[str, str] = {
         SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN concat('Organic Dried ', p_name) WHEN 2 THEN concat(p_name, ' Powder')
                         ELSE concat('mystery ', p_type) END AS ingredient FROM {part}
         UNION SELECT s_name FROM {supplier} WHERE s_suppkey % 5 = 0""",
+    # Curated targets: a pair, a pair without compounds, a food, a food under another spelling, a chemical, an unknown name.
+    "curated_names": """
+        SELECT lower(concat('mystery ', p_type)) AS name,
+               CASE count(*) % 3 WHEN 0 THEN concat('blend of ', lower(p_type)) WHEN 1 THEN concat('empty ', lower(p_type)) ELSE concat(min(p_name), ' Extract') END AS target
+        FROM {part} GROUP BY p_type
+        UNION ALL SELECT lower(p_name), CASE count(*) % 4 WHEN 0 THEN concat('blend of ', lower(min(p_type))) WHEN 1 THEN 'supplier#000000001' WHEN 2 THEN 'nothing known' ELSE max(p_name) END
+        FROM {part} GROUP BY p_name HAVING min(p_partkey) % 2 = 0""",
+    # Pairs of foods: called like a blend, like a food, and pairs of which nothing is known.
+    "food_pairs": """
+        SELECT concat('blend of ', lower(p_type)) AS pair, 0 AS place, min(p_name) AS entry FROM {part} GROUP BY p_type
+        UNION ALL SELECT concat('blend of ', lower(p_type)), 1, max(p_name) FROM {part} GROUP BY p_type
+        UNION ALL SELECT lower(p_name), 0, p_name FROM {part} GROUP BY p_name HAVING max(p_partkey) % 3 = 0
+        UNION ALL SELECT lower(p_name), 1, concat('no ', p_name) FROM {part} GROUP BY p_name HAVING max(p_partkey) % 3 = 0
+        UNION ALL SELECT lower(p_name), 2, concat('fresh ', min(p_type), ' ', p_name) FROM {part} GROUP BY p_name HAVING max(p_partkey) % 3 = 0
+        UNION ALL SELECT lower(p_name), 3, concat('small ', p_name) FROM {part} GROUP BY p_name HAVING max(p_partkey) % 3 = 0
+        UNION ALL SELECT lower(p_name), 4, 'blue bolt' FROM {part} GROUP BY p_name HAVING max(p_partkey) % 3 = 0
+        UNION ALL SELECT concat('empty ', lower(p_type)), 0, concat('no ', p_type) FROM {part} GROUP BY p_type""",
     # Compounds of an ingredient with their vectors: ingredient = part type and size, compound = supplier.
     "compound_slice": """
         SELECT ingredient, compound, CASE WHEN compound % 4 = 0 THEN CAST(NULL AS DOUBLE) ELSE concentration END AS concentration FROM (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prefrank.functions import text as X
 from prefrank.operators import datasets as K, gates as G
 from prefrank.operators.centroid import subset_names
+from prefrank.operators.skew import row_index
 from prefrank.plans.registry import query
 
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -14,6 +15,13 @@ U = "(CAST('0x' || substr(md5(concat_ws(':', {a})), 1, 8) AS BIGINT) {o}) / 4294
 H = "CAST('0x' || substr(md5(concat_ws(':', {a})), 1, 8) AS BIGINT)"
 
 
+def row_shift(d, keys, col, out):
+    """`d` with the next value of `col` in its group, by joined row numbers."""
+    n = row_index(d, keys, col, "_i")
+    ahead = n.select(*keys, (F.col("_i") - 1).alias("_i"), F.col(col).alias(out))
+    return n.join(ahead, [*keys, "_i"], "left").drop("_i")
+
+
 def rounded(d, *cols):
     return d.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in d.columns])
 
@@ -99,6 +107,36 @@ def _(t):
     return K.category_codes(t.products.filter("source = 'panel'"), t.products)
 
 
+REKEY = """
+    WITH m AS (SELECT category, item, row_number() OVER (PARTITION BY category ORDER BY item DESC) AS new_code FROM
+        (SELECT category, item + 1000000 AS item FROM products WHERE source = 'panel')),
+    u AS (SELECT category, item, row_number() OVER (PARTITION BY category ORDER BY item) AS r FROM (SELECT category, item + 1000000 AS item FROM products WHERE source <> 'panel')),
+    b AS (SELECT category, count(*) AS base FROM m GROUP BY 1),
+    f AS (SELECT category, item, new_code FROM m UNION ALL SELECT category, item, coalesce(base, 0) + r FROM u LEFT JOIN b USING (category))
+"""
+
+
+def _rekey_map(t):
+    p = t.products.filter("source = 'panel'").select("category", (F.col("item") + 1000000).alias("item"))
+    return K.category_codes(p.withColumn("item", -F.col("item")), p.limit(0)).withColumn("item", -F.col("item"))
+
+
+@query("k5_rekeyed_features", uses="products", oracle=REKEY + """
+    SELECT category, new_code AS item, p.calories, f.item AS original_code FROM f JOIN (SELECT category, item + 1000000 AS item, calories FROM products) p USING (category, item)""")
+def _(t):
+    features = t.products.select("category", (F.col("item") + 1000000).alias("item"), "calories")
+    return K.rekeyed(features, _rekey_map(t), one_row_per_code=True)
+
+
+@query("j12_rekeyed_pairs", uses="products", oracle=REKEY + """, p AS (SELECT category, item + 1000000 AS item_1, lead(item + 1000000) OVER (PARTITION BY category ORDER BY item) AS item_2 FROM products)
+    SELECT category, a.new_code AS item_1, b.new_code AS item_2 FROM p LEFT JOIN f a USING (category) LEFT JOIN f b USING (category)
+    WHERE a.item = item_1 AND b.item IS NOT DISTINCT FROM item_2
+    UNION ALL SELECT category, a.new_code, NULL FROM p JOIN f a USING (category) WHERE a.item = item_1 AND item_2 IS NULL""")
+def _(t):
+    p = row_shift(t.products.select("category", (F.col("item") + 1000000).alias("item_1")), ["category"], "item_1", "item_2")
+    return K.rekeyed(p, _rekey_map(t), ["item_1", "item_2"], order_col=None)
+
+
 @query("k6_code_space", uses="products", oracle="""
     WITH m AS (SELECT category, item + 1000000 AS item, row_number() OVER (PARTITION BY category ORDER BY item) AS new_code FROM products),
     i AS (SELECT category, CASE WHEN length(category) % 2 = 0 THEN item + 1000000 ELSE item END AS item FROM products)

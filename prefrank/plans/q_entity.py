@@ -59,6 +59,43 @@ def _(t):
     return _mapped(t)
 
 
+PAIRS = ALIAS.rstrip() + f""",
+    kt AS (SELECT DISTINCT ingredient, target FROM mentions JOIN curated_names ON name = lower(trim(ingredient))),
+    al2 AS (SELECT ingredient, 0 AS step, 'food' AS entity_type, lower(trim(target)) AS name FROM kt
+      UNION ALL SELECT ingredient, 1, 'food', {_bare_sql('target')} FROM kt
+      UNION ALL SELECT ingredient, 3, 'food', lower(list_last(string_split(target, ' '))) FROM kt
+      UNION ALL SELECT ingredient, 9, 'chemical', lower(trim(target)) FROM kt),
+    m2 AS (SELECT ingredient, arg_min(entity_id, step) AS entity_id, arg_min(tier, step) AS tier FROM (
+      SELECT ingredient, step, entity_id, 0 AS tier FROM al2 JOIN ix USING (entity_type, name)
+      UNION ALL SELECT ingredient, step, entity_id, tier FROM tr JOIN ix USING (entity_type, name)) GROUP BY 1),
+    eg AS (SELECT head_id, tail_id, avg(CASE WHEN conc_unit = 'mg/100g' THEN conc_value END) AS concentration FROM kg_evidence GROUP BY 1, 2),
+    pc AS (SELECT pair, tail_id AS compound, max(CASE WHEN place = 0 THEN concentration END) AS concentration FROM food_pairs
+      JOIN ix ON entity_type = 'food' AND name = lower(trim(entry)) JOIN eg ON head_id = entity_id GROUP BY 1, 2),
+    lv AS (SELECT pair, string_agg(entry, '+' ORDER BY place) AS label FROM food_pairs WHERE pair IN (SELECT pair FROM pc) GROUP BY 1),
+    rs AS (SELECT ingredient, coalesce(a.label, entity_id) AS entity_id, CAST(CASE WHEN a.label IS NOT NULL THEN 0 ELSE tier END AS BIGINT) AS tier, coalesce(a.pair, b.pair) AS pair
+      FROM (SELECT DISTINCT ingredient FROM mentions) LEFT JOIN kt USING (ingredient) LEFT JOIN m2 USING (ingredient) LEFT JOIN kg_entities e USING (entity_id)
+      LEFT JOIN lv a ON a.pair = target LEFT JOIN lv b ON b.pair = lower(common_name) AND tier IN (1, 2) WHERE coalesce(a.label, entity_id) IS NOT NULL)
+"""
+
+
+def _resolved(t):
+    edges = E.edge_concentration(t.kg_evidence, ["mg/100g"])
+    return E.resolved_with_pairs(t.mentions, E.alias_index(t.kg_entities), t.kg_entities, edges, t.curated_names, t.food_pairs)
+
+
+@query("e2_pair_match", uses="kg_entities kg_evidence mentions curated_names food_pairs", oracle=PAIRS + "SELECT * FROM rs")
+def _(t):
+    return _resolved(t)[0]
+
+
+@query("e3_pair_compounds", uses="kg_entities kg_evidence mentions curated_names food_pairs", oracle=PAIRS + """
+    SELECT ingredient, compound, round(concentration, 6) AS concentration FROM rs JOIN pc USING (pair)
+    UNION ALL SELECT ingredient, tail_id, round(concentration, 6) FROM rs JOIN eg ON head_id = entity_id WHERE pair IS NULL
+    UNION ALL SELECT ingredient, entity_id, NULL FROM rs WHERE pair IS NULL AND entity_id IN (SELECT entity_id FROM kg_entities WHERE entity_type = 'chemical')""")
+def _(t):
+    return rounded(_resolved(t)[1], "concentration")
+
+
 @query("e3_primary_fallback", oracle="""
     WITH p AS (SELECT p_type AS ingredient, l_suppkey AS compound, max(l_quantity) AS concentration FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 25 GROUP BY 1, 2),
     f AS (SELECT DISTINCT p_type AS ingredient, l_suppkey AS compound FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 25)
