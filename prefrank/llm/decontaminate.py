@@ -1,10 +1,11 @@
 """Benchmark decontamination with a positional inverted index.
 
-Terms are counted over all documents. Each window of a benchmark item is looked up by its rarest term, so
-postings (document, position) are stored for those few terms only; a posting whose neighbour in the
-document is not the item's neighbour is dropped at once: that is the intersection with the next posting
-list, shifted by the offset of its term. What is left are alignments of an item with a document. They go
-to the document, once, and whole windows are compared there word by word.
+Terms are counted over all documents. Each different window of the benchmark is looked up by its rarest term,
+so postings (document, position, neighbours) are stored for those few terms only. A posting whose neighbours
+in the document are not the window's is dropped at once: that is the intersection with the posting lists
+beside it, shifted by the offset of the term. What is left says where a window may start. There the
+document's words, cut into segments that overlap by a window, are compared with the whole window, and what
+occurs is merged to runs by item. A row holds at most one segment, however often a text repeats itself.
 
 DataFrame functions only. The texts are shuffled once, by document; postings of common terms are never made.
 """
@@ -16,6 +17,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from prefrank.llm.common import ascii_lower, sent_if_small, written
 
 
+#: Words of a document that one row holds when windows are compared.
+SEGMENT = 4096
+
+
 def words(text: Column) -> Column:
     """Lower-case words (A-Z only are lowered): runs of digits, a-z and characters beyond ASCII; null has none."""
     parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -34,15 +39,21 @@ def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     return seen.join(items.select(F.explode("words").alias("term")).distinct(), "term", "right").select("term", F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def rare_terms(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """term, key, place, before, after: for each window its rarest term, the term's place in the item, and its neighbours there."""
-    each = items.select("key", F.size("words").alias("n"), "words", F.posexplode("words").alias("place", "term")).join(term_counts(docs, items), "term")
-    ahead = W.partitionBy("key").orderBy("place").rowsBetween(0, window - 1)
-    rarest = F.min(F.struct("count", "place", "term")).over(ahead)
-    starts = (F.col("place") <= F.col("n") - window) | (F.col("place") == 0)
-    found = each.withColumn("rarest", rarest).where(starts & (F.col("rarest.count") > 0))
-    at = F.col("rarest.place")
-    return found.select(F.col("rarest.term").alias("term"), "key", at.alias("place"), F.try_element_at("words", F.when(at > 0, at)).alias("before"), F.try_element_at("words", at + 2).alias("after"), "n").distinct()
+def distinct_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(wid, phrase, size) of each different window, a shorter item being one, and (wid, item_id) of the items it is in."""
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))).alias("s")
+    each = items.select("item_id", "words", starts).select("item_id", F.array_join(F.slice("words", F.col("s"), F.lit(window)), " ").alias("phrase")).distinct()
+    found = written(each.select("phrase").distinct().select(F.monotonically_increasing_id().alias("wid"), "phrase", F.size(F.split("phrase", " ")).alias("size")))
+    return found, written(each.join(found, "phrase").select("wid", "item_id"))
+
+
+def rare_terms(docs: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
+    """term, wid, place, before, after, size: each window's rarest term, its place there, and its neighbours inside."""
+    counts = sent_if_small(written(term_counts(docs, items)), F.octet_length("term"))
+    each = windows.select("wid", F.posexplode(F.split("phrase", " ")).alias("place", "term")).join(counts, "term")
+    rarest = each.groupBy("wid").agg(F.min(F.struct("count", "place", "term")).alias("r")).where("r.count > 0")
+    words_, at = F.split("phrase", " "), F.col("r.place")
+    return rarest.join(windows, "wid").select(F.col("r.term").alias("term"), "wid", at.alias("place"), F.try_element_at(words_, F.when(at > 0, at)).alias("before"), F.try_element_at(words_, at + 2).alias("after"), "size")
 
 
 def row_key() -> list[Column]:
@@ -58,27 +69,44 @@ def postings(docs: DataFrame) -> DataFrame:
             .select("__id", "__hash", F.posexplode(zipped).alias("position", "w")).select("__id", "__hash", "position", "w.term", "w.left", "w.right"))
 
 
-def alignments(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """__id, __hash, key, shift: places in documents where a window of an item may occur; item word i lies at shift + i."""
-    terms = sent_if_small(written(rare_terms(docs, items, window)), F.octet_length("term") * 3)
-    neighbour = (F.col("left") == F.col("before")) | (F.col("right") == F.col("after")) | (F.col("n") == 1)
-    found = postings(docs).join(terms, "term").where(F.coalesce(neighbour, F.lit(False)))
-    return found.select("__id", "__hash", "key", (F.col("position") - F.col("place")).alias("shift")).distinct()
+def stored_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of the given terms, written: the inverted index that phrase look-ups read."""
+    return written(postings(docs).join(sent_if_small(terms.select("term").distinct(), F.octet_length("term")), "term", "left_semi"))
 
 
-def window_hits(own: Column, item: Column, window: int) -> Column:
-    """Start and length of each window of the item that occurs where the alignment puts it."""
-    shift, theirs = item["shift"], item["words"]
-    skipped = F.greatest(-shift, F.lit(0))
-    size = F.least(F.size(theirs), F.lit(window))
-    same = F.array_join(F.zip_with(F.slice(own, F.greatest(shift, F.lit(0)) + 1, F.size(theirs) - skipped), F.slice(theirs, skipped + 1, F.size(theirs)), lambda a, b: F.when(a == b, "1").otherwise("0")), "")
+def candidates(docs: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
+    """__id, __hash, segment, starts (wid, start, size): where windows may begin, by segment of the document."""
+    terms = written(rare_terms(docs, items, windows))
+    index = stored_postings(docs, terms)
+    same = lambda own, theirs: F.col(theirs).isNull() | (F.col(own) == F.col(theirs))
+    start = F.col("position") - F.col("place")
+    found = index.join(sent_if_small(terms, F.octet_length("term") * 3), "term").where(same("left", "before") & same("right", "after") & (start >= 0))
+    found = found.select("__id", "__hash", "wid", start.alias("start"), "size").distinct()
+    return found.groupBy("__id", "__hash", F.floor(F.col("start") / SEGMENT).cast("int").alias("segment")).agg(F.collect_list(F.struct("wid", "start", "size")).alias("starts"))
 
-    def starts(m: Column) -> Column:
-        last = F.length(m) - size
-        return F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda s: (last >= 0) & (m.substr(s + 1, size) == F.repeat(F.lit("1"), size)))
 
-    # a list of one binds the comparison to a variable: it is made once, not once per start
-    return F.transform(F.flatten(F.transform(F.array(same), starts)), lambda s: F.struct((F.greatest(shift, F.lit(0)) + s).alias("at"), size.alias("size")))
+def occurrences(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """__id, __hash, item_id, start, size: the windows that occur, compared with the document's words."""
+    windows, links = distinct_windows(items, window)
+    own = docs.select(*row_key(), words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    cuts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int"))
+    segments = own.select("__id", "__hash", "words", F.explode(cuts).alias("segment")).select(
+        "__id", "__hash", "segment", F.slice("words", F.col("segment") * SEGMENT + 1, F.lit(SEGMENT + window - 1)).alias("words"))
+    places = candidates(docs, items, windows).withColumnsRenamed({"__id": "__i", "__hash": "__h", "segment": "__s"})
+    on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")) & (F.col("segment") == F.col("__s"))
+    phrase = lambda p: F.array_join(F.slice("words", p["start"] - F.col("segment") * SEGMENT + 1, p["size"]), " ")
+    seen = segments.join(places, on).select("__id", "__hash", F.explode(F.transform("starts", lambda p: F.struct(p["wid"].alias("wid"), p["start"].alias("start"), p["size"].alias("size"), phrase(p).alias("phrase")))).alias("w"))
+    known = sent_if_small(windows.select("wid", "phrase"), F.octet_length("phrase"))
+    return seen.select("__id", "__hash", "w.*").join(known, ["wid", "phrase"]).join(sent_if_small(links), "wid").select("__id", "__hash", "item_id", "start", "size")
+
+
+def merged_runs(found: DataFrame) -> DataFrame:
+    """__id, __hash, item_id, at, size: maximal runs of words inside the item's occurring windows."""
+    ahead = W.partitionBy("__id", "__hash", "item_id").orderBy("start", "size")
+    before = F.max(F.col("start") + F.col("size")).over(ahead.rowsBetween(W.unboundedPreceding, -1))
+    opened = found.distinct().withColumn("__new", F.when(F.col("start") <= before, 0).otherwise(1))
+    runs = opened.withColumn("__run", F.sum("__new").over(ahead.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("__id", "__hash", "item_id", "__run").agg(F.min("start").alias("at"), F.max(F.col("start") + F.col("size")).alias("end")).select("__id", "__hash", "item_id", "at", (F.col("end") - F.col("at")).alias("size"))
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -86,40 +114,40 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
 
     `docs` needs doc_id and text, `benchmark` item_id and text; other columns of `docs` stay, but those
     named like the new ones are replaced. A window is `window` consecutive words of an item, or a whole
-    shorter item. Null or empty texts have no words and no hits; items without words never occur. A null
-    doc_id is an ordinary id. Items with a null id mark words but are not listed. An item_id with several
-    texts counts once. Repeated rows are all kept. Empty tables give no rows, or no hits.
+    shorter item; hits are the maximal runs of words inside an item's windows. Null or empty texts have no
+    words and no hits; items without words never occur. Very long and repetitive texts are handled in
+    segments. A null doc_id is an ordinary id. Items with a null id mark words but are not listed. An
+    item_id with several texts counts once. Repeated rows are all kept. Empty tables give no rows, or no hits.
     """
     new = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
-    items = benchmark_items(benchmark)
-    found = alignments(docs, items, window).join(sent_if_small(items, F.aggregate("words", F.lit(0), lambda n, w: n + F.octet_length(w) + 16)), "key")
-    found = found.groupBy("__id", "__hash").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("__found"))
-    keys = [F.col("doc_id").eqNullSafe(F.col("__id")), F.xxhash64("text") == F.col("__hash")]
-    rows = docs.join(found, keys[0] & keys[1], "left").withColumn("__words", words(F.col("text"))).drop("__id", "__hash")
-    # each alignment carries the document's words, so that the optimizer cannot move their making into the loop
-    pairs = F.zip_with("__found", F.array_repeat("__words", F.size("__found")), lambda f, own: F.struct(f["item_id"].alias("item_id"), f["shift"].alias("shift"), f["words"].alias("words"), own.alias("own")))
-    each = F.flatten(F.transform(pairs, lambda f: F.transform(window_hits(f["own"], f, window), lambda h: F.struct(f["item_id"].alias("item_id"), h["at"].alias("at"), h["size"].alias("size")))))
-    rows = rows.withColumn("n_words", F.size("__words").cast("long")).withColumn("hits", F.coalesce(each, F.array()))
-    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item_id"].cast("string")), lambda i: i.isNotNull())))
-    return (rows.withColumn("n_hit", F.size(places).cast("long")).withColumn("n_items", F.size(ids).cast("long"))
-            .withColumn("items_sha256", F.sha2(F.array_join(ids, ","), 256)).withColumn("contaminated", F.col("n_hit") > 0).drop("__found", "__words"))
+    runs = merged_runs(occurrences(docs.select("doc_id", "text"), benchmark_items(benchmark), window))
+    end = F.col("at") + F.col("size")
+    before = F.max(end).over(W.partitionBy("__id", "__hash").orderBy("at", "size", "item_id").rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.withColumn("__own", F.greatest(end - F.greatest("at", F.coalesce(before, F.lit(0))), F.lit(0)))
+    found = runs.groupBy("__id", "__hash").agg(F.sum("__own").alias("__hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("__items"), F.collect_list(F.struct("item_id", "at", "size")).alias("__runs"))
+    rows = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).withColumn("__own", F.xxhash64("text"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    rows = rows.withColumn("n_hit", F.coalesce("__hit", F.lit(0)).cast("long")).withColumn("__items", F.coalesce("__items", F.array().cast("array<string>")))
+    return (rows.withColumn("n_items", F.size("__items").cast("long")).withColumn("items_sha256", F.sha2(F.array_join("__items", ","), 256))
+            .withColumn("contaminated", F.col("n_hit") > 0).withColumn("hits", F.coalesce("__runs", F.array())).drop("__id", "__hash", "__own", "__hit", "__items", "__runs"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 8) -> DataFrame:
     """doc_id, item_id, distance: documents where an item's two rarest different terms come within `within` words.
 
-    Distance is the smallest between any two of their positions. Terms that occur nowhere rank rarest, so
-    such an item matches nothing; items of one term are left out. Nulls as in `marked`.
+    Distance is the smallest between any two of their positions. Only terms that occur in the documents
+    are ranked; items with fewer than two such terms are left out. Nulls as in `marked`.
     """
     items = benchmark_items(benchmark)
-    each = items.select("key", "item_id", F.explode(F.array_distinct("words")).alias("term")).join(term_counts(docs, items), "term")
+    each = items.select("key", "item_id", F.explode(F.array_distinct("words")).alias("term")).join(term_counts(docs, items).where("count > 0"), "term")
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("count", "term"))).where("rank <= 2")
-    pairs = sent_if_small(written(ranked.select("key", "item_id", "term", "rank")), F.octet_length("term"))
-    lists = postings(docs).select("__id", "__hash", "position", "term").join(pairs, "term").groupBy("__id", "__hash", "key", "item_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("rank") == r, F.col("position")))).alias(f"p{r}") for r in (1, 2)])
-    distance = F.array_min(F.transform("p1", lambda a: F.array_min(F.transform("p2", lambda b: F.abs(a - b)))))
-    return lists.where((F.size("p1") > 0) & (F.size("p2") > 0)).select(F.col("__id").alias("doc_id"), "item_id", distance.alias("distance")).where(F.col("distance") <= within)
+    pairs = written(ranked.select("key", "item_id", "term", "rank"))
+    places = stored_postings(docs, pairs).select("__id", "__hash", "position", "term").distinct().join(sent_if_small(pairs, F.octet_length("term")), "term")
+    back = W.partitionBy("__id", "__hash", "key", "item_id").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+    last = F.when(F.col("rank") == 1, F.max(F.when(F.col("rank") == 2, F.col("position"))).over(back)).otherwise(F.max(F.when(F.col("rank") == 1, F.col("position"))).over(back))
+    near = places.withColumn("distance", F.col("position") - last).where(F.col("distance") <= within)
+    return near.groupBy(F.col("__id").alias("doc_id"), "__hash", "key", "item_id").agg(F.min("distance").alias("distance")).select("doc_id", "item_id", "distance")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

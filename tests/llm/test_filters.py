@@ -55,6 +55,28 @@ def test_decontamination(spark):
     assert decontaminate.marked(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_repetitive_and_long_texts(spark, monkeypatch):
+    """Items and documents of one word over and over, and windows across the cuts of segments."""
+    monkeypatch.setattr(decontaminate, "SEGMENT", 16)
+    rnd = random.Random(2)
+    long = [f"w{rnd.randrange(40)}" for _ in range(300)]
+    items = [(1, "the " * 3000), (2, "the " * 9 + "end"), (3, " ".join(long[40:95])), (4, " ".join(long[5:12])), (5, "so so so " * 4)]
+    rows = [(0, "the " * 3000), (1, "the " * 4000 + "end"), (2, " ".join(long)), (3, " ".join(long * 2)), (4, "so " * 11), (5, "so " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.marked(docs, bench)
+    small = [(i, " ".join((t or "").split()[:12])) if i == 1 else (i, t) for i, t in items]  # the same windows
+    assert sorted(map(tuple, got.drop("hits", "text").collect())) == [(i, *marked(t, small)) for i, t in rows]
+    hits = {r["doc_id"]: sorted(map(tuple, r["hits"])) for r in got.collect()}
+    assert hits[1] == [(1, 0, 4000), (2, 3991, 10)] and (3, 40, 55) in hits[2] and hits[5] == []
+
+
+def test_proximity_ranks_only_terms_that_occur(spark):
+    docs = spark.createDataFrame([(1, "alpha beta x x"), (1, "alpha x x x beta beta alpha"), (1, "alpha beta x x"), (None, "beta y alpha")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "alpha beta nowhere"), (8, "alpha nowhere")], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.proximity_matches(docs, bench, within=5).collect()), key=str) == [(1, 9, 1), (1, 9, 1), (None, 9, 2)]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta common common"), (2, "alpha " + "x " * 20 + "beta"), (3, "common words"), (4, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "Common alpha beta common"), (8, "single"), (7, None)], "item_id long, text string")
