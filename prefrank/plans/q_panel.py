@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prefrank.operators import metrics as M, panel as H
+from prefrank.operators import metrics as M, panel as H, panel_draws as D
 from prefrank.operators.conform import quantiles
 from prefrank.operators.resample import bootstrap_weights, percentile_interval
 from prefrank.plans.registry import query
@@ -101,6 +101,49 @@ def _(t):
     return rounded(H.group_size_curve(r, rated, [1, 3, 5], 10, 9), "pairwise_accuracy")
 
 
+ORDERED = BLOCKS + """,
+    rs AS (SELECT DISTINCT category, block_id, respondent FROM rt),
+    dr AS (SELECT iteration, category, block_id, respondent, count(*) OVER (PARTITION BY iteration, category, block_id) AS n,
+        row_number() OVER (PARTITION BY iteration, category, block_id ORDER BY CAST('0x' || substr(md5(concat_ws(':', {seed}, iteration, respondent)), 1, 8) AS BIGINT), respondent) AS r
+      FROM rs, range({iterations}) ii(iteration))"""
+SPREAD = "round(quantile_cont(pairwise_accuracy, 0.5), 6) AS accuracy, round(quantile_cont(pairwise_accuracy, 0.025), 6) AS lo, round(quantile_cont(pairwise_accuracy, 0.975), 6) AS hi, count(*) AS iterations"
+
+
+def _prefix_sql(iterations):
+    return ORDERED.replace("{seed}", "9").replace("{iterations}", str(iterations)) + """,
+    fm AS (SELECT category, item, avg(similarity) AS truth FROM ratings GROUP BY 1, 2),
+    pr AS (SELECT iteration, rt.category, rt.block_id, rt.item, r AS k, n, truth, sum(sum(similarity)) OVER w / sum(count(similarity)) OVER w AS pred
+      FROM dr JOIN rt ON rt.category = dr.category AND rt.block_id = dr.block_id AND rt.respondent = dr.respondent JOIN fm ON fm.category = rt.category AND fm.item = rt.item
+      GROUP BY 1, 2, 3, 4, 5, 6, 7 WINDOW w AS (PARTITION BY iteration, rt.category, rt.block_id, rt.item ORDER BY r)),
+    cv AS (SELECT a.k, a.iteration, avg(""" + PAIRED.format(x="truth", y="pred") + """) AS pairwise_accuracy FROM pr a JOIN pr b
+      ON a.k = b.k AND a.iteration = b.iteration AND a.category = b.category AND a.block_id = b.block_id AND a.item < b.item WHERE a.k <= 75 AND a.k < a.n GROUP BY 1, 2)"""
+
+
+@query("h4_curve_draws", uses="ratings", oracle=_prefix_sql(20) + "SELECT CAST(k AS INTEGER) AS k, CAST(iteration AS INTEGER) AS iteration, round(pairwise_accuracy, 6) AS pairwise_accuracy FROM cv")
+def _(t):
+    """Draws of the curve, an iteration's order shared by all sizes 1 to 75."""
+    r, _, rated = _parts(t)
+    return rounded(D.prefix_curve(r, rated, 75, 20, 9), "pairwise_accuracy")
+
+
+@query("h4_full_curve", uses="ratings")
+def _(t):
+    """Sizes 1 to 75 at 1,000 iterations: median and interval of each."""
+    r, _, rated = _parts(t)
+    return rounded(D.over_iterations(D.prefix_curve(r, rated, 75, 1000, 9), ["k"]), "accuracy", "lo", "hi")
+
+
+@query("h8_split_half_median", uses="ratings", oracle=ORDERED.replace("{seed}", "4").replace("{iterations}", "1000") + """,
+    hm AS (SELECT iteration, rt.category, rt.block_id, item, avg(CASE WHEN r <= floor(n / 2) THEN similarity END) AS h1,
+        avg(CASE WHEN r > floor(n / 2) THEN similarity END) AS h2 FROM dr
+      JOIN rt ON rt.category = dr.category AND rt.block_id = dr.block_id AND rt.respondent = dr.respondent WHERE n >= 4 GROUP BY 1, 2, 3, 4),
+    cv AS (SELECT a.iteration, avg(""" + PAIRED.format(x="h1", y="h2") + """) AS pairwise_accuracy FROM hm a JOIN hm b
+      ON a.iteration = b.iteration AND a.category = b.category AND a.block_id = b.block_id AND a.item < b.item GROUP BY 1)
+    SELECT """ + SPREAD + " FROM cv")
+def _(t):
+    return rounded(D.over_iterations(D.split_half_draws(_parts(t)[2], 1000, 4)), "accuracy", "lo", "hi")
+
+
 CURVE = """
     WITH c AS (SELECT l_linenumber AS k, avg(l_quantity) + l_linenumber AS accuracy FROM lineitem GROUP BY 1),
     p AS (SELECT *, lag(k) OVER (ORDER BY k) AS pk, lag(accuracy) OVER (ORDER BY k) AS pa FROM c)
