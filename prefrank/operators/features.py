@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from prefrank.operators.conform import quantiles
-from prefrank.operators.pairs import _tiled
+from prefrank.operators.pairs import TILE, _tiled, band_rows
 from prefrank.operators.skew import broadcast_if_small, group_load, join_keys
 
 
@@ -100,7 +100,7 @@ def nearest_neighbours(queries: DataFrame, refs: DataFrame, key: str, item: str,
     r = refs.select(key, *ids, F.col(vec).alias("_v"), F.lit(False).alias("_left"))
     both = q.unionByName(r)
     _, largest = group_load(both, [key])
-    left, right = _tiled(both, [key], item, 4096, largest)
+    left, right = _tiled(both, [key], item, band_rows(largest), largest)
     on = [key, "_ca", "_cb"]
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -109,11 +109,21 @@ def nearest_neighbours(queries: DataFrame, refs: DataFrame, key: str, item: str,
         b = b.sort_values(ids)
         va, vb = (np.stack(d["_v"].to_numpy()).astype(float) for d in (a, b))
         na, nb = (np.linalg.norm(v, axis=1) for v in (va, vb))
-        dist = 1 - (va @ vb.T) / np.where(na == 0, 1, na)[:, None] / np.where(nb == 0, 1, nb)[None, :]
-        top = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        na, nb = np.where(na == 0, 1, na), np.where(nb == 0, 1, nb)
+        best, places = [], []
+        for i in range(0, len(a), TILE):
+            dist, at = np.zeros((len(va[i:i + TILE]), 0)), np.zeros((len(va[i:i + TILE]), 0), int)
+            for j in range(0, len(b), TILE):  # the k best so far come first, so that equal distances keep the order of items
+                block = 1 - (va[i:i + TILE] @ vb[j:j + TILE].T) / na[i:i + TILE, None] / nb[None, j:j + TILE]
+                dist, at = np.hstack([dist, block]), np.hstack([at, np.broadcast_to(np.arange(j, j + block.shape[1]), block.shape)])
+                order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                dist, at = np.take_along_axis(dist, order, 1), np.take_along_axis(at, order, 1)
+            best.append(dist)
+            places.append(at)
+        dist, top = np.vstack(best), np.vstack(places)
         n = top.shape[1]
         return pd.DataFrame({**{c: np.repeat(a[c].to_numpy(), n) for c in [key, *ids]}, **{o: b[c].to_numpy()[top].ravel() for o, c in zip(near, ids)},
-                             "distance": np.take_along_axis(dist, top, 1).ravel()})
+                             "distance": dist.ravel()})
 
     kinds = [(c, both.schema[s].dataType.simpleString()) for c, s in zip([key, *ids, *near], [key, *ids, *ids])]
     a, b = (d.toDF(*d.columns) for d in (left.filter("_left"), right.filter("NOT _left")))

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prefrank.functions.hashing import hash32, uniform
 from prefrank.operators.metrics import pairwise_accuracy, ratio
-from prefrank.operators.pairs import align_models, _tiled, difference_pairs
+from prefrank.operators import pairwise_fit
+from prefrank.operators.pairs import _tiled, align_models, band_rows
 from prefrank.operators.ranking import add_rank_pct
 from prefrank.operators.skew import group_load, spread
 
@@ -161,7 +162,7 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str |
     d = df.select(F.lit(0).alias("_all"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("_id"), *names, F.col(target).cast("double").alias("_y"),
                   *[F.col(v).cast("array<double>").alias(v) for v in vecs]).dropna(subset=["_y", *vecs])
     _, largest = group_load(d, ["_all"])
-    left, right = _tiled(d.drop(*names), ["_all"], "_id", tile, largest)
+    left, right = _tiled(d.drop(*names), ["_all"], "_id", band_rows(largest, tile), largest)
 
     def parts(pdf: pd.DataFrame, v: str):
         inv, coef = fits[v]
@@ -169,9 +170,7 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str |
         y = pdf["_y"].to_numpy()
         return z, y - z @ coef, np.einsum("ij,jk,ik->i", z, inv, z)
 
-    def tile_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("_id", "g", "c")})
+    def block_sums(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yj = b["_y"].to_numpy()
         other = a["_id"].to_numpy()[:, None] != b["_id"].to_numpy()[None, :]
         preds = []
@@ -182,8 +181,18 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str |
             res = ((1 - hi)[:, None] * ej[None, :] + hij * ei[:, None]) / np.where(other, det, 1.0)
             preds.append(np.where(other, yj[None, :] - res, 0.0))
         p = np.stack(preds)
-        return pd.DataFrame({"_id": a["_id"].to_numpy(), "g": list(np.einsum("anm,bnm->nab", p, p).reshape(len(a), -1)),
-                             "c": list(np.einsum("anm,m->na", p, yj))})
+        return np.einsum("anm,bnm->nab", p, p).reshape(len(a), -1), np.einsum("anm,m->na", p, yj)
+
+    def tile_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("_id", "g", "c")})
+        g, own = np.zeros((len(a), k * k)), np.zeros((len(a), k))
+        for i in range(0, len(a), tile):
+            for j in range(0, len(b), tile):
+                more, rest = block_sums(a[i:i + tile], b[j:j + tile])
+                g[i:i + tile] += more
+                own[i:i + tile] += rest
+        return pd.DataFrame({"_id": a["_id"].to_numpy(), "g": list(g), "c": list(own)})
 
     kinds = ", ".join(f"`{n}` {d.schema[n].dataType.simpleString()}" for n in names)
     a, b = (x.toDF(*x.columns) for x in (left, right))
@@ -225,36 +234,26 @@ def pairwise_logistic(items: DataFrame, vec: str, keys: Sequence[str] = ("catego
                       weight: str = "none", deviation: str = "std", count: str = "n") -> np.ndarray:
     """Coefficients of the logistic model of item differences, no intercept, L2 strength 1/C.
 
-    `weight` is a scheme of `pairs.pair_weight`; `deviation` and `count` name the columns it reads."""
-    d = difference_pairs(items, vec, keys, weight, deviation, count)
-    d = d.withColumn("_v", array_to_vector("diff")).withColumn("_w", F.lit(1.0) if weight == "none" else F.col("weight"))
-    total = d.agg(F.sum("_w")).first()[0]
-    lr = LogisticRegression(featuresCol="_v", labelCol="label", weightCol="_w", fitIntercept=False, standardization=False,
-                            regParam=1.0 / (c * total), maxIter=1000, tol=1e-10)
-    return lr.fit(d).coefficients.toArray()
+    `weight` is a scheme of `pairs.pair_weight`; `deviation` and `count` name the columns it reads. Pairs are
+    compared inside tasks and never become rows (see `pairwise_fit`)."""
+    found = pairwise_fit.fit(items, vec, None, keys, c, weight, deviation, count)
+    return found[""][0] if found else np.zeros(0)
 
 
 def hierarchical_logistic(items: DataFrame, vec: str, subset: str, keys: Sequence[str] = ("category",), c: float = 1.0,
-                          strength: float | None = None) -> dict[str, np.ndarray]:
-    """D5 per subset (a handful of fixed groups), shrunk to their pair-weighted mean by
-    strength / (strength + pairs); both directions of a pair count. Key None holds the mean."""
-    coefs, sizes = {}, {}
-    counts = {r[0]: 2 * r[1] for r in _ordered_pairs(items, [subset, *keys]).groupBy(subset).agg(F.sum("n")).collect()}
-    for name, n in counts.items():
-        if n:
-            coefs[name] = pairwise_logistic(items.filter(F.col(subset) == name), vec, keys, c)
-            sizes[name] = n
-    total = sum(sizes.values())
-    mean = sum(coefs[s] * (sizes[s] / total) for s in coefs)
-    a = float(np.median(list(sizes.values()))) if strength is None else strength
-    out = {s: (sizes[s] * coefs[s] + a * mean) / (a + sizes[s]) for s in coefs}
-    return {**{s: mean for s in counts}, **out, None: mean}
-
-
-def _ordered_pairs(items: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs with different truth per group, counted without listing them."""
-    v = items.groupBy(*keys, "true_score").agg(F.count(F.lit(1)).alias("_c"))
-    return v.groupBy(*keys).agg(((F.sum("_c") * F.sum("_c") - F.sum(F.col("_c") * F.col("_c"))) / 2).alias("n"))
+                          strength: float | None = None, weight: str = "none", deviation: str = "std", count: str = "n") -> dict[str, np.ndarray]:
+    """D5 per subset, shrunk to their mean by strength / (strength + pairs); both directions of a pair count.
+
+    Subsets are weighted by their pairs, whatever the weights of single pairs. All subsets are fitted in the same
+    passes. Subsets without pairs take the mean; so does key None. Without any pair all coefficients are zero."""
+    found = pairwise_fit.fit(items, vec, subset, keys, c, weight, deviation, count)
+    fits = {s: (coef, pairs) for s, (coef, pairs) in found.items() if pairs}
+    if not fits:
+        return {**{s: coef for s, (coef, _) in found.items()}, None: next((coef for coef, _ in found.values()), np.zeros(0))}
+    total = sum(pairs for _, pairs in fits.values())
+    mean = sum(coef * (pairs / total) for coef, pairs in fits.values())
+    a = float(np.median([pairs for _, pairs in fits.values()])) if strength is None else strength
+    return {**{s: mean for s in found}, **{s: (pairs * coef + a * mean) / (a + pairs) for s, (coef, pairs) in fits.items()}, None: mean}
 
 
 def with_fold(df: DataFrame, item: str | Sequence[str], folds: int, seed: int) -> DataFrame:

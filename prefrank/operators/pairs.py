@@ -13,12 +13,20 @@ from prefrank.functions.hashing import md5_is_even
 from prefrank.functions.numeric import expit
 from prefrank.functions.stats import t_two_sided
 from prefrank.operators.concordance import pair_totals
-from prefrank.operators.skew import broadcast_if_small, group_load
+from prefrank.operators.skew import broadcast_if_small, group_load, join_keys
 
 TIE = 1e-10
 TILE = 4096
 
 
+def band_rows(largest: int, tile: int = TILE) -> int:
+    """Rows of a chunk of a group of `largest` rows: at least `tile`, and growing with the root of the group.
+
+    A row is sent once per chunk, so rows sent grow as the group's power 1.5. Tasks cut chunks into blocks again.
+    """
+    return max(tile, math.isqrt(largest * tile) // 4)
+
+
 def _tiled(df: DataFrame, keys: Sequence[str], item: str, tile: int, largest: int) -> tuple[DataFrame, DataFrame]:
     """Left and right copies of `df` keyed by (keys, _ca, _cb), so that every pair of chunks of a
     group meets in its own task; a group of at most `tile` rows stays in one piece."""
@@ -27,7 +35,7 @@ def _tiled(df: DataFrame, keys: Sequence[str], item: str, tile: int, largest: in
         one = df.withColumn("_ca", F.lit(0)).withColumn("_cb", F.lit(0))
         return one, one
     n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_chunks"))
-    d = df.join(broadcast_if_small(n), keys)
+    d = join_keys(df, broadcast_if_small(n), keys)
     own = F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
     left = d.withColumn("_ca", own).withColumn("_cb", every).drop("_chunks")
@@ -121,7 +129,7 @@ def tournament_scores(test: DataFrame, train: DataFrame, score: str, keys: Seque
                        ).unionByName(train.select(*keys, F.col("item"), F.col(score).cast("double").alias("_s"),
                                                   F.lit(False).alias("_left")))
     _, largest = group_load(both, keys)
-    left, right = _tiled(both, keys, "item", tile, largest)
+    left, right = _tiled(both, keys, "item", band_rows(largest, tile), largest)
     on = [*keys, "_ca", "_cb"]
 
     def tile_sum(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
