@@ -106,17 +106,23 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.without_repeats(table(spark, folder, "documents")).drop("kept")
 
 
-#: As the operator: windows of 2 lines, chunks of 3 lines on average, at least 2 lines to go.
+#: As the operator: windows of 2 lines, chunks of 2 lines or more, grown into the chunks beside them.
 OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, CASE WHEN strlen(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS lines FROM documents),
 l AS (SELECT r, i, list_extract(lines, i) AS line, len(lines) AS n, CAST('0x' || substr(md5(list_extract(lines, i)), 1, 7) AS BIGINT) AS h FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-e AS (SELECT *, ((h * 1000003 + coalesce(lag(h) OVER (PARTITION BY r ORDER BY i), 0)) % 2147483647) % 3 = 0 OR i = n AS ends FROM l),
-p AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece FROM e),
-c AS (SELECT r, piece, min(i) AS start, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk FROM p GROUP BY ALL),
-s AS (SELECT chunk, min(doc_id) AS first, count(*) AS times FROM c JOIN d USING (r) WHERE size >= 2 GROUP BY chunk),
-g AS (SELECT c.*, coalesce(times, 1) > 1 AND NOT (doc_id = first AND row_number() OVER (PARTITION BY r, c.chunk ORDER BY start) = 1) AS goes FROM c JOIN d USING (r) LEFT JOIN s ON s.chunk = c.chunk AND size >= 2),
-t AS (SELECT r, CAST(coalesce(sum(size) FILTER (WHERE goes), 0) AS BIGINT) AS n_removed, count(*) FILTER (WHERE goes) AS n_chunks, string_agg(chunk, chr(10) ORDER BY start) FILTER (WHERE NOT goes) AS rest FROM g GROUP BY r)
-SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_chunks, 0) AS n_chunks, sha256(coalesce(rest, '')) AS kept_sha256
+k AS (SELECT *, (h * 1000003 + coalesce(lag(h) OVER (PARTITION BY r ORDER BY i), 0)) % 2147483647 AS v FROM l),
+e AS (SELECT *, i = n OR (v < lag(v) OVER (PARTITION BY r ORDER BY i) AND v <= lead(v) OVER (PARTITION BY r ORDER BY i) AND i <= n - 2) AS ends FROM k),
+p AS (SELECT *, coalesce(sum(CAST(coalesce(ends, false) AS INTEGER)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece FROM e),
+c AS (SELECT r, piece, list(line ORDER BY i) AS chunk FROM p GROUP BY ALL),
+n AS (SELECT c.*, doc_id, lag(chunk) OVER w AS before, lead(chunk) OVER w AS after FROM c JOIN d USING (r) WINDOW w AS (PARTITION BY r ORDER BY piece)),
+s AS (SELECT chunk, count(*) AS times, min(doc_id) AS first, arg_min(before, (doc_id, piece)) AS sb, arg_min(after, (doc_id, piece)) AS sa FROM n WHERE len(chunk) >= 2 GROUP BY chunk),
+g AS (SELECT n.*, times > 1 AND NOT (doc_id = first AND row_number() OVER (PARTITION BY r, n.chunk ORDER BY piece) = 1) AS goes, times > 1 AND doc_id <> first AS grows, sb, sa
+      FROM n LEFT JOIN s ON s.chunk = n.chunk AND len(n.chunk) >= 2),
+x AS (SELECT *, CASE WHEN lag(grows) OVER w THEN lag(sa) OVER w END AS pa, CASE WHEN lead(grows) OVER w THEN lead(sb) OVER w END AS nb FROM g WINDOW w AS (PARTITION BY r ORDER BY piece)),
+y AS (SELECT *, CASE WHEN pa IS NULL THEN 0 ELSE len([z FOR z IN range(1, least(len(chunk), len(pa)) + 1) IF chunk[1:z] = pa[1:z]]) END AS start,
+             CASE WHEN nb IS NULL THEN 0 ELSE len([z FOR z IN range(1, least(len(chunk), len(nb)) + 1) IF chunk[len(chunk) - z + 1:] = nb[len(nb) - z + 1:]]) END AS stop FROM x),
+t AS (SELECT r, count(*) FILTER (WHERE goes) AS n_chunks, flatten(list(chunk[start + 1:len(chunk) - stop] ORDER BY piece) FILTER (WHERE goes IS NOT TRUE)) AS rest FROM y GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(len(rest), 0) AS BIGINT) AS n_removed, coalesce(n_chunks, 0) AS n_chunks, sha256(coalesce(array_to_string(rest, chr(10)), '')) AS kept_sha256
 FROM d LEFT JOIN t USING (r)
 """
 

@@ -181,3 +181,35 @@ def test_line_chunks(spark):
         if i is not None and i < 6 and i != 1:
             assert f"own {i}" in r["kept"] and f"end {i}" in r["kept"]
     assert lines.without_repeated_chunks(docs.limit(0)).count() == 0
+
+
+def test_line_chunks_take_copies_and_grow(spark):
+    """At least 98 % of the lines of exact copies go, and passages go nearly whole; every removed line stays somewhere."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts, seen, copies = {}, set(), []
+    for r in docs.orderBy("doc_id").collect():
+        texts[r["doc_id"]] = r["text"]
+        if r["text"] in seen and r["text"].count("\n"):
+            copies.append(r["doc_id"])
+        seen.add(r["text"])
+    got = {r["doc_id"]: r for r in lines.without_repeated_chunks(docs).collect()}
+    assert len(copies) > 100
+    assert sum(got[i]["n_removed"] for i in copies) >= 0.98 * sum(got[i]["n_lines"] for i in copies)
+    left = {line for r in got.values() if r["kept"] for line in r["kept"].split("\n")}
+    assert left >= {line for t in texts.values() if t for line in t.split("\n")} - {""}
+
+    passage = [f"passage {i} line {j}" for i in range(20) for j in range(12)]
+    rows = [(i * 100 + n, "\n".join([f"own {n} {i} {j}" for j in range(5)] + passage[i * 12:i * 12 + 12] + [f"rest {n} {i} {j}" for j in range(5)])) for i in range(20) for n in range(3)]
+    planted = {r["doc_id"]: r for r in lines.without_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        kept = planted[i]["kept"].split("\n")
+        assert [x for x in text.split("\n") if not x.startswith("passage")] == [x for x in kept if not x.startswith("passage")]
+    removed = sum(r["n_removed"] for i, r in planted.items() if i % 100)
+    assert removed >= 0.9 * 40 * 12
+
+
+def test_line_chunks_with_clashing_columns(spark):
+    block = "\n".join(f"license line {i}" for i in range(9))
+    docs = spark.createDataFrame([(i, block, "a", "b", 3, None) for i in range(3)], "doc_id long, text string, h string, id string, place int, chunk string")
+    rows = lines.without_repeated_chunks(docs).collect()
+    assert sorted(r["n_removed"] for r in rows) == [0, 9, 9] and all((r["h"], r["id"], r["place"]) == ("a", "b", 3) for r in rows)
