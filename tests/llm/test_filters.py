@@ -193,10 +193,27 @@ def test_url_filter(spark):
 
 
 def test_url_model_on_names_it_has_not_seen(spark):
+    """Whole names held out: at least 0.8 of those to block are, and at most 0.01 of the others."""
     table = urls.labelled_urls(spark)
-    seen = table.where("crc32(cast(regexp_extract(url, '([a-z-]+)[.]example', 1) as binary)) % 3 > 0")
-    rows = urls.judge(table.join(seen, ["url"], "left_anti"), [], urls.train(seen)).join(table, "url").select("label", "verdict").collect()
-    assert sum(r["verdict"] == "allow" for r in rows if r["label"] == 0) / sum(r["label"] == 0 for r in rows) > 0.9
+    seen = table.where("crc32(cast(name as binary)) % 4 > 0")
+    rows = urls.judge(table.join(seen.select("name").distinct(), ["name"], "left_anti"), [], urls.train(seen)).select("label", "verdict").collect()
+    share = {k: [r["verdict"] == "block" for r in rows if r["label"] == k] for k in (0.0, 1.0)}
+    assert sum(share[1.0]) >= 0.8 * len(share[1.0]) and sum(share[0.0]) <= 0.01 * len(share[0.0])
+
+
+def test_character_grams(spark):
+    rows = spark.createDataFrame([("abc",), ("",)], "t string").select(urls.ngrams(F.col("t"), "h", (3, 4)).alias("g")).collect()
+    assert [r["g"] for r in rows] == [["h^ab", "habc", "hbc$", "h^abc", "habc$"], ["h^$", "h^$"]]
+
+
+def test_url_model_on_plain_names(spark):
+    block = ["lottery-winners", "roulette777", "payday-loan", "warezworld", "pornhub", "blackjack-pro", "casino-royal", "poker-stars", "viagra-shop", "gambling-tips"]
+    allow = ["wikipedia", "python-docs", "cheesemakers", "localnewspaper", "birdwatching", "oldchurches", "chess-players", "marathon-results", "seedlings", "watercolours"]
+    df = spark.createDataFrame([(i, f"https://{n}.org/articles/{i}", "x", "y") for i, n in enumerate(block + allow)], "page_id int, url string, label string, __grams string")
+    rows = urls.judge(df.drop("__grams"), [], urls.train(urls.labelled_urls(spark))).orderBy("page_id").collect()
+    verdicts = [r["verdict"] for r in rows]
+    assert verdicts[:10].count("block") >= 8 and verdicts[10:].count("block") == 0
+    assert all(r["label"] == "x" for r in rows)
 
 
 def test_pipeline(spark):
