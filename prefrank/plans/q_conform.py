@@ -303,7 +303,7 @@ def _(t):
     SELECT category, true_score, predicted_score, row_number() OVER (ORDER BY category, true_score, predicted_score) - 1
       AS pos FROM oof""")
 def _(t):
-    d = t.oof.withColumn("_k", F.struct("category", "true_score", "predicted_score"))
+    d = t.oof.withColumn("_k", F.struct("category", "true_score", "predicted_score", "item"))  # items make it unique
     return R.add_sequence(d, "_k", "pos").select("category", "true_score", "predicted_score", "pos")
 
 
