@@ -8,6 +8,7 @@ merge pass over all columns; class scores by products with indicator columns; me
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prefrank.operators.concordance import near_partners
-from prefrank.session import group_rows
+from prefrank.session import cut_lineage, group_rows
 
 try:
     from _md5 import md5  # the plain build is twice as quick on short keys
@@ -26,23 +27,102 @@ except ImportError:
 CELLS = 1 << 22
 #: Largest group whose credits are held as a square matrix.
 SQUARE = 2048
-
-
-def drawn(seed: int, reps: range, stratum: str | None, n: int) -> np.ndarray:
-    """How often each replicate draws each of n units.
+#: Slots hashed at once, and the fewest for which that beats one digest after the other.
+BLOCK, FEW = 1 << 15, 2048
+#: Constants of MD5 (RFC 1321): start, sines, turns of each round.
+START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+SINES = [int(abs(math.sin(i + 1)) * 2 ** 32) for i in range(64)]
+TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+
+
+def slot_words(lo: int, hi: int, skip: int) -> np.ndarray:
+    """Message words (words x slots) of the slots lo to hi, whose names are equally long, after `skip` bytes of the head's last word."""
+    long = len(str(lo))
+    text = np.zeros((hi - lo, (skip + long) // 4 * 4 + 4), dtype="u1")
+    rest = np.arange(lo, hi)
+    for at in range(skip + long - 1, skip - 1, -1):
+        text[:, at] = rest % 10 + 48
+        rest = rest // 10
+    text[:, skip + long] = 0x80  # ends the message
+    return np.ascontiguousarray(text.view("<u4").T)
+
+
+def digests(head: bytes, long: int, varying: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of MD5 of `head` and each name of `long` bytes, given as `slot_words`, as numbers; one block of message."""
+    n, first = varying.shape[1], len(head) // 4
+    words: list = [int(v) for v in np.frombuffer(head[:4 * first].ljust(64, b"\0"), "<u4")]
+    for i, v in enumerate(varying):
+        words[first + i] = v
+    words[first] = varying[0] | np.uint32(int.from_bytes(head[4 * first:], "little"))
+    words[14] = 8 * (len(head) + long)
+    a, b, c, d = (np.full(n, v, "u4") for v in START)
+    f, g = np.empty(n, "u4"), np.empty(n, "u4")
+    for i in range(64):
+        if i < 16:
+            k = i
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            k = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            k = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            k = 7 * i % 16
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        np.add(f, a, out=f)
+        if isinstance(words[k], int):
+            np.add(f, np.uint32((words[k] + SINES[i]) & 0xFFFFFFFF), out=f)
+        else:
+            np.add(f, words[k], out=f), np.add(f, np.uint32(SINES[i]), out=f)
+        turn = TURNS[i // 16][i % 4]
+        np.left_shift(f, np.uint32(turn), out=g), np.right_shift(f, np.uint32(32 - turn), out=f), np.bitwise_or(f, g, out=f)
+        np.add(f, b, out=f)
+        a, b, c, d, f = d, f, b, c, a
+    a, b, c, d = ((v + np.uint32(s)).byteswap().astype("u8") for v, s in zip((a, b, c, d), START))
+    return a << np.uint64(32) | b, c << np.uint64(32) | d
+
+
+def slot_blocks(n: int) -> list[tuple[int, int]]:
+    """The slots 0 to n in blocks whose names are equally long."""
+    ends = [0, *[10 ** k for k in range(1, len(str(n)) + 1) if 10 ** k < n], n]
+    return [(at, min(at + BLOCK, hi)) for lo, hi in zip(ends, ends[1:]) for at in range(lo, hi, BLOCK)]
+
+
+def draws_of(seed: int, pairs: range, stratum: str | None, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(pair of replicates, block number, units drawn by the block's slots in the even one, in the odd one).
 
     Slot p of replicate r draws the unit at hash(seed, r / 2, stratum, p) mod n, from the first half of the
     digest where r is even and from the second where it is odd.
     """
-    slots = [str(p).encode() for p in range(n)]
     name = "" if stratum is None else f"{stratum}:"
-    out = np.empty((len(reps), n))
-    for pair in range(reps.start // 2, (reps.stop + 1) // 2):
-        head = f"{seed}:{pair}:{name}".encode()
-        halves = np.frombuffer(b"".join([md5(head + s).digest() for s in slots]), ">u8").reshape(-1, 2)
-        for r in (2 * pair, 2 * pair + 1):
+    for k, (lo, hi) in enumerate(slot_blocks(n)):
+        slots, words = None, {}
+        for pair in pairs:
+            head = f"{seed}:{pair}:{name}".encode()
+            long = len(str(lo))
+            if hi - lo >= FEW and len(head) + long <= 55:
+                skip = len(head) % 4
+                if skip not in words:
+                    words[skip] = slot_words(lo, hi, skip)
+                even, odd = digests(head, long, words[skip])
+            else:
+                slots = slots or [str(p).encode() for p in range(lo, hi)]
+                even, odd = np.frombuffer(b"".join([md5(head + s).digest() for s in slots]), ">u8").astype("u8").reshape(-1, 2).T
+            yield pair, k, *(((v >> np.uint64(4)) % np.uint64(n)).view("i8") for v in (even, odd))
+
+
+def drawn(seed: int, reps: range, stratum: str | None, n: int) -> np.ndarray:
+    """How often each replicate draws each of n units."""
+    starts = [lo for lo, _ in slot_blocks(n)]
+    units = np.empty((len(reps), n), dtype="i4")
+    for pair, k, *both in draws_of(seed, range(reps.start // 2, (reps.stop + 1) // 2), stratum, n):
+        for r, u in zip((2 * pair, 2 * pair + 1), both):
             if r in reps:
-                out[r - reps.start] = np.bincount((halves[:, r % 2] >> np.uint64(4)) % np.uint64(n), minlength=n)
+                units[r - reps.start, starts[k]:starts[k] + len(u)] = u
+    out = np.empty((len(reps), n))
+    for i, u in enumerate(units):
+        out[i] = np.bincount(u, minlength=n)
     return out
 
 
@@ -61,6 +141,59 @@ def credit_matrix(x: np.ndarray, y: np.ndarray, tol: float) -> np.ndarray:
         return np.where(tied, 0.5, (dx * dy > 0).astype(float))
 
 
+def value_blocks(v: np.ndarray, tol: float) -> list[np.ndarray] | None:
+    """Rows in blocks of rising values, none near a value of another block; None if unknown or infinite values or long chains of near ones forbid it."""
+    if not np.isfinite(v).all():
+        return None
+    order = np.argsort(v, kind="stable")
+    size = max(256, math.isqrt(len(v)))
+    heads = np.flatnonzero(np.concatenate([[True], ~(np.diff(v[order]) < tol)]))
+    runs, cuts, at = np.diff(np.append(heads, len(v))), [], 0
+    for head, run in zip(heads.tolist(), runs.tolist()):
+        if head > at and (head + run - at > size):
+            cuts.append(head)
+            at = head
+    blocks = np.split(order, cuts)
+    return blocks if all(len(b) <= 2 * SQUARE or v[b[-1]] - v[b[0]] < tol for b in blocks) else None
+
+
+def inner_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, blocks: list[np.ndarray], v: np.ndarray, apart: np.ndarray | None, tol: float) -> np.ndarray:
+    """Twice the credits of pairs of rows inside one of `blocks` of `v`, each row with itself too; none for rows with equal `apart`."""
+    out = np.zeros(len(w))
+    for rows in blocks:
+        mine = w[:, rows]
+        if v[rows[-1]] - v[rows[0]] < tol and len(rows) > 1:  # all near each other
+            met = mine.sum(1) ** 2
+            if apart is not None:
+                inside = rows[np.argsort(apart[rows], kind="stable")]
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(apart[inside]) != 0]))
+                met -= (np.add.reduceat(w[:, inside], heads, axis=1) ** 2).sum(1)
+            out += met / 2
+        else:
+            c = credit_matrix(x[rows], y[rows], tol)
+            if apart is not None:
+                c[apart[rows][:, None] == apart[rows]] = 0
+            # halves up to the number of rows are exact in single precision
+            out += np.einsum("rn,rn->r", (mine.astype("f4") @ c.astype("f4")).astype("f8"), mine)
+    return out
+
+
+def grid_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, xs: list[np.ndarray], ys: list[np.ndarray], tol: float) -> np.ndarray:
+    """Credits of all pairs of known rows, also of copies of a row: pairs in one block of y by their credits, then those in
+    one block of x only; the others are ordered like their blocks and counted from sums over the grid of blocks."""
+    bx, by = np.empty(len(x), dtype=np.int64), np.empty(len(x), dtype=np.int64)
+    for places, blocks in ((bx, xs), (by, ys)):
+        for i, rows in enumerate(blocks):
+            places[rows] = i
+    twice = inner_sums(x, y, w, ys, y, None, tol) + inner_sums(x, y, w, xs, x, by, tol) - w.sum(1) / 2
+    out, cell = np.empty(len(w)), by * len(xs) + bx
+    for r, v in enumerate(w):
+        grid = np.bincount(cell, weights=v, minlength=len(ys) * len(xs)).reshape(len(ys), len(xs))
+        below = grid.cumsum(0).cumsum(1)
+        out[r] = twice[r] / 2 + (grid[1:, 1:] * below[:-1, :-1]).sum()
+    return out
+
+
 def pair_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
     """(correct, pairs) of each weighting (rows of `w`): copies of a row are rows of their own.
 
@@ -72,6 +205,9 @@ def pair_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, tol: float = 1e-10) -
         # halves up to the number of rows are exact in single precision
         met = w.astype("f4") @ c.astype("f4") if w.sum(1).max(initial=0) < 1 << 22 else w @ c
         return (np.einsum("rn,rn->r", met.astype("f8"), w) - w @ np.diag(c)) / 2, pairs
+    blocks = [value_blocks(v, tol) for v in (x, y)] if w.sum(1).max(initial=0) < 1 << 22 else [None]
+    if all(b is not None for b in blocks):
+        return grid_sums(x, y, w, *blocks, tol), pairs
     kx, ky = ~np.isnan(x)[:, None], ~np.isnan(y)[:, None]
     columns = np.ascontiguousarray(w.T)
     near = near_partners(x, y, columns, tol)
@@ -79,6 +215,14 @@ def pair_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, tol: float = 1e-10) -
     return (columns * (near["below"] + ties / 4)).sum(0), pairs  # each tied pair is met from both ends
 
 
+def alike(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`rows` with those of equal scores side by side, and where each such run begins: they act like copies of one row."""
+    order = rows[np.lexsort((y[rows], x[rows]))]
+    a, b = x[order], y[order]
+    new = ((a[1:] != a[:-1]) & ~(np.isnan(a[1:]) & np.isnan(a[:-1]))) | ((b[1:] != b[:-1]) & ~(np.isnan(b[1:]) & np.isnan(b[:-1])))
+    return order, np.flatnonzero(np.concatenate([[True], new]))
+
+
 def unit_places(units: pd.Series) -> np.ndarray:
     """Places of the units in rising order, an unknown unit first."""
     codes, _ = pd.factorize(units, sort=True)
@@ -117,12 +261,15 @@ def accuracy_draws(oof: DataFrame, replicates: int, seed: int, by: Sequence[str]
         x, y = pdf["true_score"].to_numpy(float), pdf["predicted_score"].to_numpy(float)
         groups = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(pdf), int)
         rows = [np.flatnonzero(groups == g) for g in range(int(groups.max()) + 1)]
+        rows = [alike(x, y, r) for r in rows]
         out = []
         for reps in batches(int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0]), n):
             w = drawn(seed, reps, text, n)
-            for r in rows:
+            for r, heads in rows:
                 mine = w[:, place[r]]
-                correct, pairs = pair_sums(x[r], y[r], mine)
+                if len(heads) < len(r):
+                    mine = np.add.reduceat(mine, heads, axis=1)
+                correct, pairs = pair_sums(x[r[heads]], y[r[heads]], mine)
                 some = mine.sum(1) > 0
                 part = pd.DataFrame({"rep": np.arange(reps.start, reps.stop, dtype="int32"), "correct": correct, "pairs": pairs})[some]
                 out.append(part.assign(**{k: [pdf[k].iloc[r[0]]] * len(part) for k in names})[[*names, "rep", "correct", "pairs"]])
@@ -196,6 +343,34 @@ def median_draws(df: DataFrame, unit: str, value: str, replicates: int, seed: in
     return in_batches(rows, [], replicates, per_task).groupBy("_lo").applyInPandas(evaluate, "rep int, value double").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
+def middle_codes(df: DataFrame, order: str, replicates: int, seed: int, middle: int, per_task: int = 50) -> DataFrame:
+    """(rep, lo, hi): codes of the two middle values of every replicate, null without known values, for any number of rows.
+
+    `df` has for each row its 0-based place `order` and the code of its value, null if unknown: 0 below and `middle` + 1
+    above the values coded one by one. A task holds the codes alone, and hashes and counts the draws block by block.
+    """
+    kind = "short" if middle + 3 < 1 << 15 else "int"
+    unknown = middle + 2
+
+    def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes = np.concatenate([np.asarray(c) for c in pdf.sort_values("_chunk")["_codes"]])
+        lo, hi, n = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0]), len(codes)
+        counts = np.zeros((hi - lo, unknown + 1), dtype=np.int64)
+        for pair, _, *units in draws_of(seed, range(lo // 2, (hi + 1) // 2), None, n):
+            for r, u in zip((2 * pair, 2 * pair + 1), units):
+                if lo <= r < hi:
+                    counts[r - lo] += np.bincount(codes[u], minlength=unknown + 1)
+        upto = np.cumsum(counts[:, :unknown], axis=1)
+        got = [np.searchsorted(u, [(u[-1] - 1) // 2, u[-1] // 2], "right") if u[-1] else (-1, -1) for u in upto]
+        return pd.DataFrame({"rep": np.arange(lo, hi, dtype="int32"), "lo": [int(g[0]) for g in got], "hi": [int(g[1]) for g in got]})
+
+    code = F.coalesce(F.col("_code"), F.lit(unknown)).cast(kind)
+    chunks = df.groupBy(F.floor(F.col(order) / F.lit(1 << 16)).alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), code.alias("code")))).alias("_s"))
+    chunks = cut_lineage(chunks.select("_chunk", F.col("_s.code").alias("_codes")))
+    d = in_batches(chunks, [], replicates, per_task).groupBy("_lo").applyInPandas(evaluate, "rep int, lo int, hi int")
+    return d.select("rep", *[F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in ("lo", "hi")])
+
+
 def weighted_sums(df: DataFrame, unit: str, values: dict[str, Column], replicates: int, seed: int, per_task: int = 250) -> DataFrame:
     """(rep, sums of w * value for each of `values`, w): weighted sums of every replicate of the rows, which fit a task."""
     names = list(values)
