@@ -21,6 +21,9 @@ from prefrank.operators.metrics import pairwise_accuracy, ratio
 from prefrank.operators.skew import broadcast_if_small, group_load, join_keys, rank_stats, row_index, spread
 from prefrank.session import cut_lineage, group_rows
 
+#: Deviations of a resample's median that are coded at first.
+REACH = 6.0
+
 
 def bootstrap_weights(df: DataFrame, strata: Sequence[str], unit: str, replicates: int, seed: int) -> DataFrame:
     """B1: (rep, strata, unit, w): how often each unit is drawn; units that are never drawn are absent.
@@ -181,12 +184,38 @@ def bootstrap_means(df: DataFrame, unit: str, values: dict[str, Column], replica
 
 
 def bootstrap_median(df: DataFrame, unit: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """Median of every resample of the rows."""
+    """Median of every resample of the rows.
+
+    Rows beyond one task's are replaced by codes of their values: one by one near the median, as replicates' medians are
+    there, and one code each below and above. Should a median be outside, the part coded one by one grows until none is."""
     if draws.one_task(df):
         return draws.median_draws(df, unit, value, replicates, seed)
-    w = bootstrap_weights(df.select(unit), [], unit, replicates, seed)
-    d = df.join(w, [unit]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
-    return quantiles(d, ["rep"], value, [0.5]).select("rep", F.col("q")[0].alias("value"))
+    d = cut_lineage(df.select(F.struct(unit).alias("_u"), F.col(value).cast("double").alias("_v")))
+    d = d.withColumn("_v", F.when(~F.isnan("_v"), F.col("_v")))
+    rows, units, known = d.agg(F.count(F.lit(1)), F.countDistinct("_u"), F.count("_v")).first()
+    if units < rows or not known:
+        w = bootstrap_weights(df.select(unit).distinct(), [], unit, replicates, seed)
+        d = df.join(w, [unit]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
+        return quantiles(d, ["rep"], value, [0.5]).select("rep", F.col("q")[0].alias("value"))
+    d = cut_lineage(row_index(d.withColumn("_all", F.lit(1)), ["_all"], "_u", "_at").select("_at", "_v"))
+    reach = REACH
+    while True:
+        off = reach * 0.5 / known ** 0.5 + 1e-4
+        lo, hi = d.agg(F.percentile_approx("_v", [max(0.0, 0.5 - off), min(1.0, 0.5 + off)], 100_000)).first()[0]
+        whole = off >= 0.5
+        near = d if whole else d.filter(F.col("_v").between(lo, hi))
+        values = row_index(near.filter("_v IS NOT NULL").select("_v").distinct().withColumn("_all", F.lit(1)), ["_all"], "_v", "_code")
+        values = cut_lineage(values.select("_v", (F.col("_code") + 1).cast("int").alias("_code")))
+        middle = values.count()
+        coded = d.join(broadcast_if_small(values), ["_v"], "left").select("_at", F.coalesce(
+            "_code", F.when(F.col("_v") < lo, 0).when(F.col("_v") > hi, middle + 1)).alias("_code"))
+        got = cut_lineage(draws.middle_codes(coded, "_at", replicates, seed, middle))
+        if whole or got.filter(f"lo = 0 OR hi = {middle + 1}").isEmpty():
+            break
+        reach *= 8
+    low, high = (values.select(F.col("_code").alias(c), F.col("_v").alias(f"_{c}")) for c in ("lo", "hi"))
+    return got.join(broadcast_if_small(low), ["lo"], "left").join(broadcast_if_small(high), ["hi"], "left").select(
+        "rep", ((F.col("_lo") + F.col("_hi")) / 2).alias("value"))
 
 
 def one_sided_p(boot: DataFrame, target: float | Column) -> DataFrame:
