@@ -19,8 +19,8 @@ from prefrank.session import broadcast_bytes, broadcast_rows, cut_lineage, group
 MAX_CUTS = 4096
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only for a table counted to be under the session's bounds of rows and bytes."""
+def is_small(df: DataFrame) -> bool:
+    """Whether a table is counted to be under the session's bounds of rows and bytes for broadcasts."""
     bound = broadcast_rows(df.sparkSession)
     width = F.lit(8 * len(df.columns))
     for f in df.schema:
@@ -31,7 +31,12 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.StringType):
             width = width + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
     rows, size = df.limit(bound + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
-    return F.broadcast(df) if rows <= bound and (size or 0) <= broadcast_bytes(df.sparkSession) else df
+    return rows <= bound and (size or 0) <= broadcast_bytes(df.sparkSession)
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast only for a table counted to be under the session's bounds of rows and bytes."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
