@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from prefrank.operators.conform import quantiles
 from prefrank.operators.skew import average_rank, join_keys, rank_stats
+from prefrank.session import cut_lineage
 
 
 def _clean(df: DataFrame) -> DataFrame:
@@ -62,6 +63,7 @@ def best_by(df: DataFrame, keys: Sequence[str], name: str, metric: str) -> DataF
 
 def add_quantile_bin(df: DataFrame, col: str, bins: int = 5, out: str = "bin") -> DataFrame:
     """Right-closed bins 1..bins at the exact quantile edges of the whole column."""
+    df = cut_lineage(df)  # counted, cut and binned
     edges = quantiles(df.withColumn("_all", F.lit(1)), ["_all"], col, [i / bins for i in range(1, bins)]).select("q")
     d = df.crossJoin(F.broadcast(edges))
     return d.withColumn(out, (F.size(F.filter("q", lambda e: e < F.col(col))) + 1).cast("long")).drop("q")
