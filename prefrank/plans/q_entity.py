@@ -9,6 +9,7 @@ from prefrank.functions.numeric import log_weight
 from prefrank.operators import entity as E
 from prefrank.plans.q_conform import VARIANTS, _bare_sql
 from prefrank.plans.registry import query
+from prefrank.session import cut_lineage
 
 
 def rounded(d, *cols):
@@ -210,8 +211,10 @@ def _(t):
     SELECT ingredient, tail_id AS compound, smiles, round(c, 6) AS concentration FROM mp JOIN ec ON head_id = mp.entity_id JOIN ok USING (head_id, tail_id) JOIN sm ON sm.entity_id = tail_id WHERE tier < 3
     UNION ALL SELECT ingredient, mp.entity_id, smiles, NULL FROM mp JOIN sm ON sm.entity_id = mp.entity_id WHERE tier = 3""")
 def _(t):
-    edges = E.edge_concentration(t.kg_evidence, ["mg/100g"]).join(E.kept_edges(t.kg_evidence, ["lit:auto"]), ["head_id", "tail_id"], "left_semi")
-    return rounded(E.compound_rows(_mapped(t), edges, _smiles(t)), "concentration")
+    mapped = cut_lineage(_mapped(t))
+    evidence = E.edges_of(t.kg_evidence, mapped.filter("tier < 3"), "entity_id")
+    edges = E.edge_concentration(evidence, ["mg/100g"], kept=E.accepted(["lit:auto"]))
+    return rounded(E.compound_rows(mapped, edges, _smiles(t)), "concentration")
 
 
 CV = """
