@@ -35,16 +35,61 @@ SINES = [int(abs(math.sin(i + 1)) * 2 ** 32) for i in range(64)]
 TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 
 
+def name_words(names: np.ndarray, skip: int) -> np.ndarray:
+    """Message words (words x names) of names of equal length (names x bytes) after `skip` bytes of the head's last word."""
+    n, long = names.shape
+    text = np.zeros((n, (skip + long) // 4 * 4 + 4), dtype="u1")
+    text[:, skip:skip + long] = names
+    text[:, skip + long] = 0x80  # ends the message
+    return np.ascontiguousarray(text.view("<u4").T)
+
+
 def slot_words(lo: int, hi: int, skip: int) -> np.ndarray:
-    """Message words (words x slots) of the slots lo to hi, whose names are equally long, after `skip` bytes of the head's last word."""
-    long = len(str(lo))
-    text = np.zeros((hi - lo, (skip + long) // 4 * 4 + 4), dtype="u1")
+    """`name_words` of the slots lo to hi, whose names are equally long."""
+    names = np.empty((hi - lo, len(str(lo))), dtype="u1")
     rest = np.arange(lo, hi)
-    for at in range(skip + long - 1, skip - 1, -1):
-        text[:, at] = rest % 10 + 48
+    for at in range(names.shape[1] - 1, -1, -1):
+        names[:, at] = rest % 10 + 48
         rest = rest // 10
-    text[:, skip + long] = 0x80  # ends the message
-    return np.ascontiguousarray(text.view("<u4").T)
+    return name_words(names, skip)
+
+
+class Names:
+    """Names that are hashed after many heads, those of equal length together."""
+
+    def __init__(self, names: Sequence):
+        self.names = [str(v).encode() for v in names]
+        sizes, self.blocks, self.words = np.array([len(v) for v in self.names], int), [], {}
+        for long in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == long)
+            for at in range(0, len(rows), BLOCK):
+                self.blocks.append((rows[at:at + BLOCK], long))
+
+    def hashes(self, heads: Sequence[bytes]) -> np.ndarray:
+        """hash32 of each head and each name (heads x names); with few names, many heads are taken together."""
+        out = np.empty((len(heads), len(self.names)), "u8")
+        for b, (rows, long) in enumerate(self.blocks):
+            if (b, -1) not in self.words:
+                self.words[b, -1] = np.frombuffer(b"".join([self.names[i] for i in rows]), "u1").reshape(len(rows), long)
+            text = self.words[b, -1]
+            for size in {len(h) for h in heads}:
+                at = np.flatnonzero([len(h) == size for h in heads])
+                if not 0 < long <= 55 - size:
+                    for i in at:
+                        out[i, rows] = np.frombuffer(b"".join([md5(heads[i] + self.names[r]).digest()[:4] for r in rows]), ">u4")
+                elif len(rows) >= FEW:
+                    skip = size % 4
+                    if (b, skip) not in self.words:
+                        self.words[b, skip] = name_words(text, skip)
+                    for i in at:
+                        out[i, rows] = digests(heads[i], long, self.words[b, skip])[0] >> np.uint64(32)
+                else:
+                    per = BLOCK // len(rows)
+                    for some in (at[k:k + per] for k in range(0, len(at), per)):
+                        lead = np.frombuffer(b"".join([heads[i] for i in some]), "u1").reshape(-1, size)
+                        both = np.hstack([np.repeat(lead, len(rows), 0), np.tile(text, (len(some), 1))])
+                        out[np.ix_(some, rows)] = (digests(b"", size + long, name_words(both, 0))[0] >> np.uint64(32)).reshape(len(some), -1)
+        return out
 
 
 def digests(head: bytes, long: int, varying: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

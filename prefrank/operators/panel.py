@@ -11,7 +11,7 @@ from prefrank.operators.conform import leave_one_out_mean, quantiles
 from prefrank.operators.metrics import pairwise_accuracy, ratio, recall_at, spearman
 from prefrank.operators.pairs import item_pairs
 from prefrank.operators.ranking import add_quantile_bin
-from prefrank.operators.skew import average_rank, broadcast_if_small, group_load, rank_stats, row_index, running_total, spread
+from prefrank.operators.skew import average_rank, broadcast_if_small, group_load, join_keys, rank_stats, row_index, running_total, spread
 from prefrank.session import cut_lineage
 
 BLOCK = ["category", "block_id"]
@@ -80,11 +80,22 @@ def _panel_credit(means: DataFrame, keys: Sequence[str], truth: str, pred: str)
 
 def group_size_curve(ratings: DataFrame, rated: DataFrame, ks: Sequence[int], iterations: int, seed: int) -> DataFrame:
     """H4: accuracy of the mean of k raters per block, drawn without replacement, against the full
-    panel mean; blocks need more than k raters. Pooled over blocks per (k, iteration)."""
-    full = ratings.groupBy("category", "item").agg(F.avg("similarity").alias("true_score"))
+    panel mean; blocks need more than k raters. Pooled over blocks per (k, iteration). Raters and items without
+    name do not count. Blocks that fit a task get their draws there, the others by windows."""
+    from prefrank.operators.panel_draws import sized_parts  # it builds on this module's blocks
+
+    full = cut_lineage(ratings.groupBy("category", "item").agg(F.avg("similarity").alias("true_score")))
+    parts, rated = sized_parts(full, rated, ks, iterations, seed)
+    if not rated.isEmpty():
+        parts = parts.unionByName(_window_parts(rated, ks, iterations, seed))
+    return parts.groupBy("k", "iteration").agg(ratio(F.sum("correct"), F.sum("pairs")).alias("pairwise_accuracy"))
+
+
+def _window_parts(rated: DataFrame, ks: Sequence[int], iterations: int, seed: int) -> DataFrame:
+    """(k, iteration, correct, pairs) per block by windows; `rated` has the items' true_score."""
     raters = rated.select(*BLOCK, "respondent").distinct()
     size = raters.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    d = spread(raters.join(broadcast_if_small(size), BLOCK), *BLOCK, "respondent").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    d = spread(join_keys(raters, broadcast_if_small(size), BLOCK), *BLOCK, "respondent").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     d = d.filter(F.col("_n") >= F.col("k") + 1).withColumn(
         "iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     # Spark keeps k rows per task before the shuffle; a block's draw order is its hash order.
@@ -92,10 +103,10 @@ def group_size_curve(ratings: DataFrame, rated: DataFrame, ks: Sequence[int], it
         hash32(seed, F.col("k"), F.col("iteration"), F.col("respondent")), "respondent")
     top = max(ks)
     d = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).filter(F.col("_r") <= F.col("k"))
-    m = (d.select("k", "iteration", *BLOCK, "respondent").join(rated, [*BLOCK, "respondent"])
-         .groupBy("k", "iteration", *BLOCK, "item").agg(F.avg("similarity").alias("predicted_score"))
-         .join(broadcast_if_small(full), ["category", "item"]))
-    return _panel_credit(m, ["k", "iteration"], "true_score", "predicted_score")
+    m = join_keys(rated, d.select("k", "iteration", *BLOCK, "respondent"), [*BLOCK, "respondent"]).groupBy("k", "iteration", *BLOCK, "item").agg(
+        F.avg("similarity").alias("predicted_score"), F.first("true_score").alias("true_score"))
+    acc = pairwise_accuracy(m.filter("true_score IS NOT NULL AND predicted_score IS NOT NULL"), ["k", "iteration", *BLOCK])
+    return acc.select("k", "iteration", "correct", F.col("pairs").cast("double").alias("pairs"))
 
 
 def interpolated_k(curve: DataFrame, target: float | Column, by: Sequence[str] = ()) -> DataFrame:

@@ -1,9 +1,10 @@
 """Group-size curves and split halves from one hashed order of raters per iteration.
 
 An iteration puts a block's raters in one order; the panel of k raters is that order's first k, for every k,
-and the halves are its first and second half. A block's ratings travel once for a batch of iterations, and
-the task takes prefix sums along the orders: a curve over 75 sizes costs as much as its largest. Blocks
-beyond a task (rows, or items whose pairs would be a large square) take the same orders by windows.
+and the halves are its first and second half. A block's ratings travel once for a batch of iterations, a row
+for each rater, and the task takes prefix sums along the orders: a curve over 75 sizes costs as much as its largest.
+Only the raters asked for are put in order. Blocks beyond a task (raters, or items whose pairs would be a large
+square) take the same orders by windows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prefrank.functions.hashing import hash32
 from prefrank.operators.conform import quantiles
-from prefrank.operators.draws import CELLS, SQUARE, in_batches, md5
+from prefrank.operators.draws import CELLS, SQUARE, Names, in_batches
 from prefrank.operators.metrics import pairwise_accuracy, ratio
 from prefrank.operators.panel import BLOCK
 from prefrank.operators.skew import broadcast_if_small, join_keys, rank_stats
@@ -25,15 +26,16 @@ from prefrank.session import cut_lineage, group_rows
 TOLERANCE = 1e-10
 
 
-def orders(seed: int, iterations: range, respondents: Sequence) -> np.ndarray:
-    """Places of the raters (given in rising order) for each iteration, by hash32(seed, iteration, respondent)."""
-    names = [str(r).encode() for r in respondents]
-    out = np.empty((len(iterations), len(names)), int)
-    for row, it in enumerate(iterations):
-        head = f"{seed}:{it}:".encode()
-        digests = b"".join([md5(head + n).digest()[:4] for n in names])
-        out[row] = np.argsort(np.frombuffer(digests, ">u4"), kind="stable")
-    return out
+def order_keys(heads: Sequence[str], raters: Names) -> np.ndarray:
+    """Per head distinct keys in the order of hash32(head, respondent), ties by place (raters are given in rising order)."""
+    return raters.hashes([h.encode() for h in heads]) << np.uint64(32) | np.arange(len(raters.names), dtype="u8")
+
+
+def first_raters(heads: Sequence[str], raters: Names, top: int) -> np.ndarray:
+    """Places of the first `top` raters in the order that belongs to each head."""
+    keys = order_keys(heads, raters)
+    some = np.partition(keys, top - 1)[:, :top] if top < keys.shape[1] else keys
+    return (np.sort(some) & np.uint64(0xFFFFFFFF)).astype(int)
 
 
 def credits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,26 +52,33 @@ def credits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return correct, pairs
 
 
-def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Raters in rising order, sums and counts of known ratings (raters x items), and a row's place for each item."""
+def _grid(pdf: pd.DataFrame) -> tuple[Names, np.ndarray, np.ndarray, np.ndarray]:
+    """Raters in rising order, sums and counts of known ratings (raters x items), and each item's `true_score` if there is one."""
     rater, names = pd.factorize(pdf["respondent"], sort=True)
-    item, _ = pd.factorize(pdf["item"])
-    value = pdf["similarity"].to_numpy(float)
+    rater = np.repeat(rater, pdf["item"].map(len))
+    item, _ = pd.factorize(np.concatenate(pdf["item"].to_numpy()))
+    value = np.concatenate(pdf["similarity"].to_numpy()).astype(float)
     known = ~np.isnan(value)
     sums, counts = np.zeros((len(names), item.max() + 1)), np.zeros((len(names), item.max() + 1))
     np.add.at(sums, (rater[known], item[known]), value[known])
     np.add.at(counts, (rater[known], item[known]), 1)
-    return np.asarray(names), sums, counts, np.unique(item, return_index=True)[1]
+    first = np.unique(item, return_index=True)[1]
+    truth = np.concatenate(pdf["true_score"].to_numpy()).astype(float)[first] if "true_score" in pdf else np.full(len(first), np.nan)
+    return Names(names), sums, counts, truth
 
 
 def _split(rated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks that fit a task, the others)."""
+    """(blocks that fit a task, a row for each rater with its items, the others with a row for each rating)."""
     known = rated.filter("respondent IS NOT NULL AND item IS NOT NULL")
-    size = known.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item").alias("items"))
-    fits = (F.col("n") <= group_rows(rated.sparkSession)) & (F.col("items") <= SQUARE)
+    listed = [c for c in known.columns if c not in BLOCK and c != "respondent"]
+    each = lambda c: F.col(c) if c == "item" else F.coalesce(F.col(c), F.lit(float("nan")))
+    raters = cut_lineage(known.groupBy(*BLOCK, "respondent").agg(*[F.collect_list(each(c)).alias(c) for c in listed]))
+    kinds = known.select(*BLOCK, "item").distinct().groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("items"))
+    size = join_keys(raters.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("item")).alias("ratings")), kinds, BLOCK)
+    limit = group_rows(rated.sparkSession)
+    fits = (F.col("n") <= limit) & (F.col("ratings") <= 8 * limit) & (F.col("items") <= SQUARE)
     small = broadcast_if_small(cut_lineage(size.select(*BLOCK, fits.alias("_fits"))))
-    d = join_keys(known, small, BLOCK)
-    return d.filter("_fits").drop("_fits"), d.filter("NOT _fits").drop("_fits")
+    return tuple(join_keys(d, small, BLOCK).filter(which).drop("_fits") for d, which in ((raters, "_fits"), (known, "NOT _fits")))
 
 
 def _per_block(d: DataFrame, iterations: int, per_task: int, fields: str, make: Callable[[pd.DataFrame, range], Iterator[pd.DataFrame]]) -> DataFrame:
@@ -102,16 +111,15 @@ def prefix_curve(ratings: DataFrame, rated: DataFrame, largest: int, iterations:
     small, big = _split(join_keys(rated.select(*BLOCK, "respondent", "item", "similarity"), broadcast_if_small(full), ["category", "item"]))
 
     def curve(pdf: pd.DataFrame, span: range) -> Iterator[pd.DataFrame]:
-        raters, sums, counts, first = _grid(pdf)
-        truth = pdf["true_score"].to_numpy(float)[first]
-        top = min(largest, len(raters) - 1)
+        raters, sums, counts, truth = _grid(pdf)
+        top = min(largest, len(sums) - 1)
         if top < 1:
             yield pd.DataFrame({"k": [], "iteration": [], "correct": [], "pairs": []}).astype({"k": "int32", "iteration": "int32"})
             return
-        step = max(1, CELLS // (top * sums.shape[1]))
+        step = max(1, CELLS // max(top * sums.shape[1], len(sums)))
         for lo in range(span.start, span.stop, step):
             its = range(lo, min(span.stop, lo + step))
-            chosen = orders(seed, its, raters)[:, :top]
+            chosen = first_raters([f"{seed}:{it}:" for it in its], raters, top)
             with np.errstate(invalid="ignore", divide="ignore"):
                 means = np.cumsum(sums[chosen], 1) / np.cumsum(counts[chosen], 1)
             correct, pairs = credits(truth, means)
@@ -136,19 +144,42 @@ def prefix_curve(ratings: DataFrame, rated: DataFrame, largest: int, iterations:
     return _summed(parts, ["k", "iteration"])
 
 
-def split_half_draws(rated: DataFrame, iterations: int, seed: int, per_task: int = 250) -> DataFrame:
+def sized_parts(full: DataFrame, rated: DataFrame, ks: Sequence[int], iterations: int, seed: int, per_task: int = 50) -> tuple[DataFrame, DataFrame]:
+    """H4 with an order of its own for each size: (k, iteration, correct, pairs) of blocks that fit a task, and the ratings of the others."""
+    small, big = _split(join_keys(rated.select(*BLOCK, "respondent", "item", "similarity"), broadcast_if_small(full), ["category", "item"]))
+
+    def curve(pdf: pd.DataFrame, span: range) -> Iterator[pd.DataFrame]:
+        raters, sums, counts, truth = _grid(pdf)
+        yield pd.DataFrame({"k": [], "iteration": [], "correct": [], "pairs": []}).astype({"k": "int32", "iteration": "int32"})
+        for k in ks:
+            if len(sums) <= k:
+                continue
+            step = max(1, CELLS // len(sums))
+            parts = [range(lo, min(span.stop, lo + step)) for lo in range(span.start, span.stop, step)]
+            chosen = np.concatenate([first_raters([f"{seed}:{k}:{it}:" for it in its], raters, k) for its in parts])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                means = np.stack([sums[c].sum(0) / counts[c].sum(0) for c in chosen])
+            correct, pairs = credits(truth, means)
+            some = (~np.isnan(means) & ~np.isnan(truth)).any(1)
+            yield pd.DataFrame({"k": k, "iteration": np.arange(span.start, span.stop, dtype="int32"), "correct": correct, "pairs": pairs}).astype({"k": "int32"})[some]
+
+    return _per_block(small, iterations, per_task, "k int, iteration int, correct double, pairs double", curve), big
+
+
+def split_half_draws(rated: DataFrame, iterations: int, seed: int, per_task: int = 100) -> DataFrame:
     """H8: (iteration, pairwise_accuracy) between the means of two random halves of each block of four raters or more."""
     small, big = _split(rated.select(*BLOCK, "respondent", "item", "similarity"))
 
     def halves(pdf: pd.DataFrame, span: range) -> Iterator[pd.DataFrame]:
         raters, sums, counts, _ = _grid(pdf)
-        cut = len(raters) // 2
-        step = max(1, CELLS // sums.size)
-        for lo in range(span.start, span.stop if len(raters) >= 4 else span.start, step):
+        cut = len(sums) // 2
+        step = max(1, CELLS // len(sums))
+        for lo in range(span.start, span.stop if len(sums) >= 4 else span.start, step):
             its = range(lo, min(span.stop, lo + step))
-            order = orders(seed, its, raters)
+            keys = order_keys([f"{seed}:{it}:" for it in its], raters)
+            early = (keys <= np.partition(keys, cut - 1)[:, cut - 1:cut]).astype(float)
             with np.errstate(invalid="ignore", divide="ignore"):
-                one, two = (sums[o].sum(1) / counts[o].sum(1) for o in (order[:, :cut], order[:, cut:]))
+                one, two = (side @ sums / (side @ counts) for side in (early, 1 - early))
             correct, pairs = credits(one, two)
             yield pd.DataFrame({"iteration": np.arange(its.start, its.stop, dtype="int32"), "correct": correct, "pairs": pairs})
         yield pd.DataFrame({"iteration": [], "correct": [], "pairs": []}).astype({"iteration": "int32"})
@@ -167,6 +198,7 @@ def split_half_draws(rated: DataFrame, iterations: int, seed: int, per_task: int
 def over_iterations(draws: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, accuracy, lo, hi, iterations): median and 2.5 % and 97.5 % points of the draws."""
     all_ = list(by) or ["_all"]
+    draws = cut_lineage(draws)  # read by the quantiles and the count: the draws are made once
     d = draws if by else draws.withColumn("_all", F.lit(1))
     q: Column = F.col("q")
     n = d.groupBy(*all_).agg(F.count(F.lit(1)).alias("iterations"))

@@ -8,6 +8,7 @@ from prefrank.operators import metrics as M, panel as H, panel_draws as D
 from prefrank.operators.conform import quantiles
 from prefrank.operators.resample import bootstrap_weights, percentile_interval
 from prefrank.plans.registry import query
+from prefrank.session import cut_lineage
 
 MIN = 20
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -301,7 +302,7 @@ def _(t):
 def _(t):
     """Interval of k* when the iterations of the group-size curve are resampled."""
     r, _, rated = _parts(t)
-    curve = H.group_size_curve(r, rated, [1, 3, 5, 9], 50, 9)
+    curve = cut_lineage(H.group_size_curve(r, rated, [1, 3, 5, 9], 50, 9))  # resampled, and read for its iterations
     w = bootstrap_weights(curve.select("iteration").distinct(), [], "iteration", 200, 13)
     d = curve.join(F.broadcast(w), "iteration").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
     med = quantiles(d, ["rep", "k"], "pairwise_accuracy", [0.5]).select("rep", "k", F.col("q")[0].alias("accuracy"))
