@@ -13,6 +13,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prefrank.operators.concordance import near_partners
@@ -292,6 +294,31 @@ def one_task(df: DataFrame) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def listed_draws(df: DataFrame, strata: Sequence[str], unit: str, largest: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, strata, unit, w): how often each replicate draws each unit; strata, of at most `largest` rows, fit a task.
+
+    Units are numbered in rising order, an unknown one first. A task makes a batch of replicates of a stratum, small
+    enough that its rows are few."""
+    strata = list(strata)
+    name = F.lit(None).cast("string")
+    if strata:
+        name = F.when(F.coalesce(*[F.col(k).cast("string") for k in strata]).isNotNull(), F.concat_ws(":", *[F.col(k).cast("string") for k in strata]))
+    rows = df.select(*strata, unit, name.alias("_stratum"))
+
+    def evaluate(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(unit, "ascending")], null_placement="at_start"))
+        lo, hi, text = table.column("_lo")[0].as_py(), table.column("_hi")[0].as_py(), table.column("_stratum")[0].as_py()
+        w = drawn(seed, range(lo, hi), text, len(table)).astype("i8")
+        rep, place = np.nonzero(w)
+        picked = table.select([*strata, unit]).take(pa.array(place))
+        columns = [pa.array((rep + lo).astype("i4")), *picked.columns, pa.array(w[rep, place])]
+        return pa.Table.from_arrays(columns, names=["rep", *strata, unit, "w"])
+
+    schema = ", ".join(["rep int", *[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*strata, unit]], "w long"])
+    per_task = min(50, max(2, CELLS // 2 // max(1, largest) // 2 * 2))
+    return in_batches(rows, strata, replicates, per_task).groupBy(*strata, "_lo").applyInArrow(evaluate, schema)
+
+
 def accuracy_draws(oof: DataFrame, replicates: int, seed: int, by: Sequence[str], stratum: str, per_task: int = 500) -> DataFrame:
     """(by, stratum, rep, correct, pairs) of every replicate; each stratum with all its models fits a task."""
     by = list(by)

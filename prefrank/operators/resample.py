@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from prefrank.functions.hashing import replicate_index
 from prefrank.functions.stats import chi2_one_upper, f_upper, normal_cdf, normal_quantile
@@ -28,8 +28,15 @@ REACH = 6.0
 def bootstrap_weights(df: DataFrame, strata: Sequence[str], unit: str, replicates: int, seed: int) -> DataFrame:
     """B1: (rep, strata, unit, w): how often each unit is drawn; units that are never drawn are absent.
 
-    `unit` is unique within its stratum; each stratum keeps its size in every replicate."""
+    `unit` is unique within its stratum; each stratum keeps its size in every replicate. Strata that fit a task
+    get their draws there, a batch of replicates at a time; with a larger one each slot is drawn as a row."""
     strata = list(strata)
+    plain = not isinstance(df.schema[unit].dataType, (T.StructType, T.ArrayType, T.MapType))
+    if plain and "rep" not in strata:
+        df = cut_lineage(df.select(*strata, unit))  # counted and drawn from
+        largest = group_load(df, strata)[1] if strata else df.count()
+        if largest <= group_rows(df.sparkSession):
+            return draws.listed_draws(df, strata, unit, largest, replicates, seed)
     base = df.select(*strata, unit) if strata else df.select(unit).withColumn("_all", F.lit(0))
     base = cut_lineage(base)  # counted, numbered and drawn from
     keys = strata or ["_all"]
