@@ -29,8 +29,14 @@ except ImportError:
 CELLS = 1 << 22
 #: Largest group whose credits are held as a square matrix.
 SQUARE = 2048
+#: Rows of one block of the scores with many values, most values of the other scores, and cells of blocks held at once.
+STRIP, CLASSES, HELD = 128, 512, 1 << 26
 #: Slots hashed at once, and the fewest for which that beats one digest after the other.
-BLOCK, FEW = 1 << 15, 2048
+BLOCK, FEW = 1 << 16, 2048
+#: Slots of several pairs of replicates hashed at once.
+LANES = 1 << 16
+#: Draws a task should have, and the most tasks made for it.
+SHARE, MOST = 10 ** 7, 2000
 #: Constants of MD5 (RFC 1321): start, sines, turns of each round.
 START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 SINES = [int(abs(math.sin(i + 1)) * 2 ** 32) for i in range(64)]
@@ -84,50 +90,84 @@ class Names:
                     if (b, skip) not in self.words:
                         self.words[b, skip] = name_words(text, skip)
                     for i in at:
-                        out[i, rows] = digests(heads[i], long, self.words[b, skip])[0] >> np.uint64(32)
+                        out[i, rows] = digests([heads[i]], long, self.words[b, skip])[0][0] >> np.uint64(32)
                 else:
                     per = BLOCK // len(rows)
                     for some in (at[k:k + per] for k in range(0, len(at), per)):
                         lead = np.frombuffer(b"".join([heads[i] for i in some]), "u1").reshape(-1, size)
                         both = np.hstack([np.repeat(lead, len(rows), 0), np.tile(text, (len(some), 1))])
-                        out[np.ix_(some, rows)] = (digests(b"", size + long, name_words(both, 0))[0] >> np.uint64(32)).reshape(len(some), -1)
+                        out[np.ix_(some, rows)] = (digests([b""], size + long, name_words(both, 0))[0][0] >> np.uint64(32)).reshape(len(some), -1)
         return out
 
 
-def digests(head: bytes, long: int, varying: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of MD5 of `head` and each name of `long` bytes, given as `slot_words`, as numbers; one block of message."""
-    n, first = varying.shape[1], len(head) // 4
-    words: list = [int(v) for v in np.frombuffer(head[:4 * first].ljust(64, b"\0"), "<u4")]
-    for i, v in enumerate(varying):
-        words[first + i] = v
-    words[first] = varying[0] | np.uint32(int.from_bytes(head[4 * first:], "little"))
-    words[14] = 8 * (len(head) + long)
-    a, b, c, d = (np.full(n, v, "u4") for v in START)
-    f, g = np.empty(n, "u4"), np.empty(n, "u4")
+def digests(heads: Sequence[bytes], long: int, varying: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of MD5 of each head and each name, as numbers (heads x names); one block of message.
+
+    Heads are equally long; names have `long` bytes and are given as `slot_words`. Steps before the first word of a name
+    are taken once a head, and the sums of numbers are taken before they meet a row of names.
+    """
+    size = len(heads[0])
+    first, n = size // 4, varying.shape[1]
+    shape = (len(heads), n)
+    text = np.zeros((len(heads), 64), "u1")
+    text[:, :size] = np.frombuffer(b"".join(heads), "u1").reshape(len(heads), size)
+    words = list(np.ascontiguousarray(text.view("<u4").T)[:, :, None])
+    words[first] = words[first] | varying[0]
+    for i in range(1, len(varying)):
+        words[first + i] = np.broadcast_to(varying[i], shape)
+    words[14] = np.full((len(heads), 1), 8 * (size + long), "u4")
+    a, b, c, d = (np.full((len(heads), 1), v, "u4") for v in START)
+    # f and g take what a step makes; a state's room is free again when four more were made
+    f, g, h, room = np.empty(shape, "u4"), np.empty(shape, "u4"), np.empty(shape, "u4"), [np.empty(shape, "u4") for _ in range(5)]
+    xor = None
     for i in range(64):
+        wide = i >= first
         if i < 16:
             k = i
-            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+            e = np.bitwise_xor(c, d, out=f) if c.shape == shape or d.shape == shape else c ^ d
+            e = np.bitwise_and(e, b, out=f) if b.shape == shape or e.shape == shape else e & b
+            e = np.bitwise_xor(e, d, out=f) if e.shape == shape or d.shape == shape else e ^ d
         elif i < 32:
             k = (5 * i + 1) % 16
-            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
-        elif i < 48:
+            e = np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif i < 48:  # the exclusive or of two states serves two steps
             k = (3 * i + 5) % 16
-            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+            if i % 2 == 0:
+                xor = np.bitwise_xor(b, c, out=h)
+                e = np.bitwise_xor(xor, d, out=f)
+            else:
+                e = np.bitwise_xor(xor, b, out=f)
         else:
             k = 7 * i % 16
-            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
-        np.add(f, a, out=f)
-        if isinstance(words[k], int):
-            np.add(f, np.uint32((words[k] + SINES[i]) & 0xFFFFFFFF), out=f)
+            e = np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        word = words[k]
+        if word.shape == shape:
+            e = np.add(e, a + np.uint32(SINES[i]) if a.shape != shape else a, out=f)
+            e = np.add(f, word, out=f)
+            if a.shape == shape:
+                np.add(f, np.uint32(SINES[i]), out=f)
+        elif a.shape != shape:
+            e = np.add(e, a + (word + np.uint32(SINES[i])), out=f) if e.shape == shape else e + (a + (word + np.uint32(SINES[i])))
         else:
-            np.add(f, words[k], out=f), np.add(f, np.uint32(SINES[i]), out=f)
+            np.add(f, a, out=f)
+            # one head: a plain number is quicker than a column
+            np.add(f, (word + np.uint32(SINES[i])) if len(heads) > 1 else np.uint32((int(word[0, 0]) + SINES[i]) & 0xFFFFFFFF), out=f)
         turn = TURNS[i // 16][i % 4]
-        np.left_shift(f, np.uint32(turn), out=g), np.right_shift(f, np.uint32(32 - turn), out=f), np.bitwise_or(f, g, out=f)
-        np.add(f, b, out=f)
-        a, b, c, d, f = d, f, b, c, a
-    a, b, c, d = ((v + np.uint32(s)).byteswap().astype("u8") for v, s in zip((a, b, c, d), START))
-    return a << np.uint64(32) | b, c << np.uint64(32) | d
+        if wide:
+            to = room[i % 5]
+            np.left_shift(e, np.uint32(turn), out=g), np.right_shift(e, np.uint32(32 - turn), out=f), np.bitwise_or(f, g, out=f)
+            np.add(f, b, out=to)
+        else:
+            to = (e << np.uint32(turn) | e >> np.uint32(32 - turn)) + b
+        a, b, c, d = d, to, b, c
+    halves = np.empty((*shape, 2), "u4")
+    out = []
+    for one, two, s, t in ((a, b, *START[:2]), (c, d, *START[2:])):
+        np.add(one, np.uint32(s), out=halves[..., 0]), np.add(two, np.uint32(t), out=halves[..., 1])
+        out.append(halves.view(">u8")[..., 0].astype("u8"))
+    return out[0], out[1]
 
 
 def slot_blocks(n: int) -> list[tuple[int, int]]:
@@ -140,26 +180,30 @@ def draws_of(seed: int, pairs: range, stratum: str | None, n: int) -> Iterator[t
     """(pair of replicates, block number, units drawn by the block's slots in the even one, in the odd one).
 
     Slot p of replicate r draws the unit at hash(seed, r / 2, stratum, p) mod n, from the first half of the
-    digest where r is even and from the second where it is odd.
+    digest where r is even and from the second where it is odd. Short blocks are hashed for many pairs together.
     """
     name = "" if stratum is None else f"{stratum}:"
     for k, (lo, hi) in enumerate(slot_blocks(n)):
-        slots, words = None, {}
-        for pair in pairs:
-            head = f"{seed}:{pair}:{name}".encode()
-            long = len(str(lo))
-            if hi - lo >= FEW and len(head) + long <= 55:
-                skip = len(head) % 4
-                if skip not in words:
-                    words[skip] = slot_words(lo, hi, skip)
-                even, odd = digests(head, long, words[skip])
+        long, words, at = len(str(lo)), {}, pairs.start
+        while at < pairs.stop:
+            size = len(f"{seed}:{at}:{name}".encode())
+            upto = min(pairs.stop, at + max(1, LANES // (hi - lo)), 10 ** len(str(at)))  # equally long numbers
+            heads = [f"{seed}:{pair}:{name}".encode() for pair in range(at, upto)]
+            if (hi - lo) * len(heads) >= FEW and size + long <= 55:
+                if size % 4 not in words:
+                    words[size % 4] = slot_words(lo, hi, size % 4)
+                halves = digests(heads, long, words[size % 4])
             else:
-                slots = slots or [str(p).encode() for p in range(lo, hi)]
-                even, odd = np.frombuffer(b"".join([md5(head + s).digest() for s in slots]), ">u8").astype("u8").reshape(-1, 2).T
-            yield pair, k, *(((v >> np.uint64(4)) % np.uint64(n)).view("i8") for v in (even, odd))
+                slots = [str(p).encode() for p in range(lo, hi)]
+                found = np.frombuffer(b"".join([md5(head + s).digest() for head in heads for s in slots]), ">u8").astype("u8")
+                halves = tuple(found.reshape(len(heads), hi - lo, 2)[..., i] for i in range(2))
+            even, odd = ((v - v // np.uint64(n) * np.uint64(n)).view("i8") for v in (v >> np.uint64(4) for v in halves))  # quicker than the remainder
+            for pair, one, two in zip(range(at, upto), even, odd):
+                yield pair, k, one, two
+            at = upto
 
 
-def drawn(seed: int, reps: range, stratum: str | None, n: int) -> np.ndarray:
+def drawn(seed: int, reps: range, stratum: str | None, n: int, kind: str = "f8") -> np.ndarray:
     """How often each replicate draws each of n units."""
     starts = [lo for lo, _ in slot_blocks(n)]
     units = np.empty((len(reps), n), dtype="i4")
@@ -167,7 +211,7 @@ def drawn(seed: int, reps: range, stratum: str | None, n: int) -> np.ndarray:
         for r, u in zip((2 * pair, 2 * pair + 1), both):
             if r in reps:
                 units[r - reps.start, starts[k]:starts[k] + len(u)] = u
-    out = np.empty((len(reps), n))
+    out = np.empty((len(reps), n), kind)
     for i, u in enumerate(units):
         out[i] = np.bincount(u, minlength=n)
     return out
@@ -188,12 +232,12 @@ def credit_matrix(x: np.ndarray, y: np.ndarray, tol: float) -> np.ndarray:
         return np.where(tied, 0.5, (dx * dy > 0).astype(float))
 
 
-def value_blocks(v: np.ndarray, tol: float) -> list[np.ndarray] | None:
+def value_blocks(v: np.ndarray, tol: float, size: int | None = None) -> list[np.ndarray] | None:
     """Rows in blocks of rising values, none near a value of another block; None if unknown or infinite values or long chains of near ones forbid it."""
     if not np.isfinite(v).all():
         return None
     order = np.argsort(v, kind="stable")
-    size = max(256, math.isqrt(len(v)))
+    size = size or max(256, math.isqrt(len(v)))
     heads = np.flatnonzero(np.concatenate([[True], ~(np.diff(v[order]) < tol)]))
     runs, cuts, at = np.diff(np.append(heads, len(v))), [], 0
     for head, run in zip(heads.tolist(), runs.tolist()):
@@ -241,6 +285,62 @@ def grid_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, xs: list[np.ndarray],
     return out
 
 
+class Steps:
+    """Credits of all pairs of known rows where one of the scores has few values, made ready for many weightings.
+
+    Rows stand in blocks of the other score, and in a block by their class of the first. Pairs inside a block go by their
+    credits; a row meets those of earlier blocks by the sums of their classes, one half in its own.
+    """
+
+    def __init__(self, order: np.ndarray, cuts: np.ndarray, cls: np.ndarray, first: np.ndarray, other: np.ndarray, tol: float):
+        self.order, self.cuts, self.classes = order, cuts, int(cls.max()) + 1
+        self.first, self.other, self.tol = first[order], other[order], tol
+        self.cls = cls[order]
+        self.ladder = np.triu(np.ones((self.classes, self.classes), "f4"), 1) + np.eye(self.classes, dtype="f4") / 2
+        self.kept = [self.block(lo, hi) for lo, hi in zip(cuts, cuts[1:])] if (np.diff(cuts) ** 2).sum() <= HELD else None
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray, tol: float) -> Steps | None:
+        """None where both scores have many values, or long runs of near ones, or some are unknown."""
+        if len(x) <= SQUARE or not (np.isfinite(x).all() and np.isfinite(y).all()):
+            return None
+        for few, many in ((x, y), (y, x)):
+            up = np.argsort(few, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], ~(np.diff(few[up]) < tol)]))
+            tails = np.append(heads[1:], len(few)) - 1
+            if len(heads) > min(CLASSES, len(few) // 8) or not (few[up[tails]] - few[up[heads]] < tol).all():
+                continue
+            place = np.empty(len(few), np.int64)
+            place[up] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(few))))
+            blocks = value_blocks(many, tol, STRIP)
+            if blocks is None or max(map(len, blocks)) > 8 * STRIP:
+                continue
+            order = np.concatenate([b[np.argsort(place[b], kind="stable")] for b in blocks])
+            return cls(order, np.cumsum([0, *map(len, blocks)]), place, few, many, tol)
+        return None
+
+    def block(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Half the credits of pairs of the block, where its classes begin, and which they are."""
+        c = self.cls[lo:hi]
+        heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        return credit_matrix(self.first[lo:hi], self.other[lo:hi], self.tol).astype("f4"), heads, c[heads]
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        """Credits of each weighting (rows of `w`, single precision, columns as `order` says), also of copies of a row."""
+        twice, across, below = -w.sum(1, dtype="f8") / 2, np.zeros(len(w)), np.zeros((len(w), self.classes), "f4")
+        for i, (lo, hi) in enumerate(zip(self.cuts, self.cuts[1:])):
+            credit, heads, which = self.kept[i] if self.kept else self.block(lo, hi)
+            mine = w[:, lo:hi]
+            met, grid = mine @ credit, np.add.reduceat(mine, heads, axis=1)
+            if 2 * float(grid.sum(1).max()) ** 2 >= 1 << 24:  # beyond what single precision adds without loss
+                met, mine = met.astype("f8"), mine.astype("f8")
+            twice += np.einsum("ri,ri->r", met, mine)
+            if i:
+                across += np.einsum("rk,rk->r", (below @ self.ladder[:, which]).astype("f8"), grid.astype("f8"))
+            below[:, which] += grid
+        return twice / 2 + across
+
+
 def pair_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
     """(correct, pairs) of each weighting (rows of `w`): copies of a row are rows of their own.
 
@@ -276,13 +376,14 @@ def unit_places(units: pd.Series) -> np.ndarray:
     return codes + int((codes < 0).any())
 
 
-def in_batches(df: DataFrame, keys: Sequence[str], replicates: int, per_task: int) -> DataFrame:
+def in_batches(df: DataFrame, keys: Sequence[str], replicates: int, per_task: int, draws: int = 0) -> DataFrame:
     """`df` once for each batch of replicates: columns _lo and _hi; a task holds whole (keys, batch) groups.
 
-    The tasks' work is their replicates, not their bytes, so the number of partitions is set here.
+    The tasks' work is their replicates, not their bytes, so the number of partitions is set here: more of them for
+    many `draws` in all, so that groups that fall together do not hold up the rest.
     """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, min(MOST, draws // SHARE))
     starts = F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(max(1, per_task)))
     cut = df.withColumn("_lo", F.explode(starts)).withColumn("_hi", F.least(F.col("_lo") + max(1, per_task), F.lit(replicates)))
     return cut.repartition(parts, *keys, "_lo")
@@ -319,8 +420,8 @@ def listed_draws(df: DataFrame, strata: Sequence[str], unit: str, largest: int,
     return in_batches(rows, strata, replicates, per_task).groupBy(*strata, "_lo").applyInArrow(evaluate, schema)
 
 
-def accuracy_draws(oof: DataFrame, replicates: int, seed: int, by: Sequence[str], stratum: str, per_task: int = 500) -> DataFrame:
-    """(by, stratum, rep, correct, pairs) of every replicate; each stratum with all its models fits a task."""
+def accuracy_draws(oof: DataFrame, replicates: int, seed: int, by: Sequence[str], stratum: str, per_task: int = 500, total: int = 0) -> DataFrame:
+    """(by, stratum, rep, correct, pairs) of every replicate; each stratum with all its models fits a task. `total`: rows of `oof`."""
     by = list(by)
     names = [*by, stratum]
     schema = ", ".join([f"`{k}` {oof.schema[k].dataType.simpleString()}" for k in names] + ["rep int", "correct double", "pairs double"])
@@ -334,21 +435,32 @@ def accuracy_draws(oof: DataFrame, replicates: int, seed: int, by: Sequence[str]
         groups = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(pdf), int)
         rows = [np.flatnonzero(groups == g) for g in range(int(groups.max()) + 1)]
         rows = [alike(x, y, r) for r in rows]
+        steps = [Steps.of(x[r[heads]], y[r[heads]], 1e-10) for r, heads in rows]
+        single = n < 1 << 22 and all(len(heads) == len(r) and len(r) <= n for r, heads in rows)  # a replicate draws n units
         out = []
         for reps in batches(int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0]), n):
-            w = drawn(seed, reps, text, n)
-            for r, heads in rows:
-                mine = w[:, place[r]]
-                if len(heads) < len(r):
-                    mine = np.add.reduceat(mine, heads, axis=1)
-                correct, pairs = pair_sums(x[r[heads]], y[r[heads]], mine)
+            w = drawn(seed, reps, text, n, "f4" if single else "f8")
+            for (r, heads), step in zip(rows, steps):
+                if single and step:
+                    mine = w.take(place[r[step.order]], axis=1)
+                    drew = mine.sum(1, dtype="f8")
+                    correct, pairs = step.sums(mine), drew * (drew - 1) / 2
+                else:
+                    mine = w[:, place[r]].astype("f8")
+                    if len(heads) < len(r):
+                        mine = np.add.reduceat(mine, heads, axis=1)
+                    if step and mine.sum(1).max(initial=0) < 1 << 22:
+                        drew = mine.sum(1)
+                        correct, pairs = step.sums(mine[:, step.order].astype("f4")), drew * (drew - 1) / 2
+                    else:
+                        correct, pairs = pair_sums(x[r[heads]], y[r[heads]], mine)
                 some = mine.sum(1) > 0
                 part = pd.DataFrame({"rep": np.arange(reps.start, reps.stop, dtype="int32"), "correct": correct, "pairs": pairs})[some]
                 out.append(part.assign(**{k: [pdf[k].iloc[r[0]]] * len(part) for k in names})[[*names, "rep", "correct", "pairs"]])
         return pd.concat(out)
 
     rows = oof.select(*names, "item", F.col("true_score").cast("double").alias("true_score"), F.col("predicted_score").cast("double").alias("predicted_score"), F.col(stratum).cast("string").alias("_stratum"))
-    return in_batches(rows, [stratum], replicates, per_task).groupBy(stratum, "_lo").applyInPandas(evaluate, schema)
+    return in_batches(rows, [stratum], replicates, per_task, total * replicates).groupBy(stratum, "_lo").applyInPandas(evaluate, schema)
 
 
 def class_draws(probs: DataFrame, row: str, levels: Sequence[int], cols: Sequence[str], replicates: int, seed: int, per_task: int = 250) -> DataFrame:

@@ -56,8 +56,9 @@ def bootstrap_accuracy(oof: DataFrame, replicates: int, seed: int, by: Sequence[
     Strata that fit a task get their draws there, a batch of replicates at a time; larger ones are drawn row by row."""
     by = list(by)
     oof = cut_lineage(oof.select(*by, stratum, "item", "true_score", "predicted_score"))
-    if group_load(oof, [stratum])[1] <= group_rows(oof.sparkSession):
-        acc = draws.accuracy_draws(oof, replicates, seed, by, stratum)
+    total, largest = group_load(oof, [stratum])
+    if largest <= group_rows(oof.sparkSession):
+        acc = draws.accuracy_draws(oof, replicates, seed, by, stratum, total=total)
         if per_stratum:
             return acc.select(*by, stratum, "rep", ratio("correct", "pairs").alias("value"))
         return acc.groupBy(*by, "rep").agg(ratio(F.sum("correct"), F.sum("pairs")).alias("value"))
