@@ -125,3 +125,33 @@ def test_tournament_in_bands(spark):
     got = {r["item"]: r["tournament_score"] for r in tournament_scores(df, df, "s", tile=8).collect()}
     for i in range(60):
         assert abs(got[i] - (1 / (1 + np.exp(-(s[i] - s)))).sum()) < 1e-9
+
+
+def test_small_groups_are_met_without_blocks(spark, monkeypatch):
+    """Rows of small groups meet the next ones, whatever batches they come in; groups beyond PACK still go by blocks."""
+    rng = np.random.default_rng(6)
+    rows = [(f"g{g}", "ab"[g % 2], int(rng.integers(0, 9)), float(rng.integers(0, 4)), rng.normal(size=3).tolist(), float(rng.uniform(.2, 2)) if g % 5 else None, int(rng.integers(1, 9)))
+            for g in range(60) for _ in range(1 + g % 7 + 90 * (g == 33))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for scheme in ("none", "t_stat"):
+        held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+        try:
+            found = pairwise_fit.fit(df, "x", "subset", ["category"], scheme=scheme)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+        for s in "ab":
+            mine = [(*r[:5], r[5] or 0.0, r[6]) for r in rows if r[1] == s]
+            d, w = listed(mine, scheme, lambda r: r[0])
+            assert found[s][1] == 2 * len(d)
+            np.testing.assert_allclose(found[s][0], best(d, w), rtol=1e-7, atol=1e-9)
+
+    def no_blocks(*_):
+        raise AssertionError("compared block by block")
+
+    table = df.where("category <> 'g33'").selectExpr("category AS _g", "subset AS _m", "item AS _i", "true_score AS _y", "x AS _x", "std AS _std", "cast(n AS double) AS _n").orderBy("_g").toArrow()
+    monkeypatch.setattr(pairwise_fit.Sums, "add", no_blocks)
+    out = {}
+    pairwise_fit.group_sums(table.combine_chunks().to_batches()[0], {s: np.zeros(3) for s in "ab"}, "none", out)
+    for s in "ab":
+        assert out[s].rest[2] == 2 * len(listed([(*r[:5], 0.0, 1) for r in rows if r[1] == s and r[0] != "g33"], "none", lambda r: r[0])[0])
