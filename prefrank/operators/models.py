@@ -26,6 +26,8 @@ from prefrank.operators.ranking import add_rank_pct
 from prefrank.operators.skew import group_load, spread
 
 MAX_FEATURES = 4096
+#: Numbers of all moments together, and the share of a sum that terms beyond them may reach, at which they stand for the pairs.
+MOMENTS, SLACK = 1 << 20, 1e-10
 
 
 def parameter_grid(spark: SparkSession, values: Mapping[str, Sequence]) -> DataFrame:
@@ -143,13 +145,109 @@ def nnls_leave_one_out(df: DataFrame, cols: Sequence[str], target: str, out: str
     return d.mapInPandas(predict, schema)
 
 
+class LeftOut:
+    """Rows of views as leave-two-out predictions need them: z, its product with the fit's inverse, leverage h,
+    s = 1 / (1 - h), residual e and prediction q of the fit without the row."""
+
+    def __init__(self, pdf: pd.DataFrame, vecs: Sequence[str], fits: Mapping[str, tuple[np.ndarray, np.ndarray]]):
+        self.y, views = pdf["_y"].to_numpy(), []
+        for v in vecs:
+            inv, coef = fits[v]
+            z = np.column_stack([np.stack(pdf[v].to_numpy()), np.ones(len(pdf))])
+            u = z @ inv
+            h = (u * z).sum(1)
+            s = 1 / (1 - h)
+            e = (self.y - z @ coef) * s
+            views.append((z, u, h, s, e, self.y - e))
+        self.z, self.u, self.h, self.s, self.e, self.q = (list(part) for part in zip(*views))
+
+    def moments(self) -> dict[str, np.ndarray]:
+        """Sums over the rows of what they add to every other row's sums, up to the second power of the rows' products."""
+        z, s, e, q, n = self.z, self.s, self.e, self.q, range(len(self.z))
+        out = {}
+        for a in n:
+            for b in n:
+                f = q[a] * s[b]
+                out[f"q{a},{b}"] = np.array([[q[a] @ q[b]]])
+                out[f"one{a},{b}"], out[f"two{a},{b}"] = (f @ z[b])[None], (z[b].T * (f * e[b])) @ z[b]
+                out[f"both{a},{b}"] = (z[a].T * (s[a] * s[b])) @ z[b]
+            f = self.y * s[a]
+            out[f"y{a}"], out[f"yone{a}"], out[f"ytwo{a}"] = np.array([[self.y @ q[a]]]), (f @ z[a])[None], (z[a].T * (f * e[a])) @ z[a]
+        return out
+
+    def largest(self) -> list[float]:
+        return [float(np.abs(v).max(initial=0.0)) for v in (np.stack(self.h), np.stack(self.e), np.stack(self.q), self.y)]
+
+    def sums(self, m: Mapping[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Per row the products of the other rows' leave-two-out predictions, with each other and with their values."""
+        u, h, s, e, q, n = self.u, self.h, self.s, self.e, self.q, range(len(self.z))
+        twice = lambda a, b, name: ((u[a] @ m[name]) * u[b]).sum(1)
+        own = [h[a] * s[a] * e[a] * (1 + h[a] * s[a]) for a in n]  # what the row itself adds is taken off
+        less = lambda a, b: e[b] * (u[b] @ m[f"one{a},{b}"][0]) + s[b] * twice(b, b, f"two{a},{b}") - q[a] * own[b]
+        g = np.empty((len(self.y), len(n), len(n)))
+        for a in n:
+            for b in n:
+                g[:, a, b] = (m[f"q{a},{b}"][0, 0] - q[a] * q[b] - less(a, b) - less(b, a)
+                              + e[a] * e[b] * (twice(a, b, f"both{a},{b}") - h[a] * h[b] * s[a] * s[b]))
+        c = np.stack([m[f"y{a}"][0, 0] - self.y * q[a] - e[a] * (u[a] @ m[f"yone{a}"][0]) - s[a] * twice(a, a, f"ytwo{a}") + self.y * own[a] for a in n], axis=1)
+        return g, c
+
+
+def beyond_moments(h: float, e: float, q: float, y: float) -> float:
+    """Upper bound of what powers above the second add to a sum, from the largest leverage, residual, prediction and value.
+
+    Products of two rows are at most `h`, and the squares of one row's products sum up to at most `h`."""
+    if not h < 0.5:
+        return np.inf
+    s = 1 / (1 - h)
+    rest = h * s ** 3 * e * (1 + h * s) / (1 - (h * s) ** 2)  # of one prediction, for each square of the product
+    most = max(q + h * s * e + (h * s) ** 2 * e, y)
+    return h * (2 * most * rest + (h * rest) ** 2) + 2 * h ** 2 * s ** 3 * e ** 2 + h ** 3 * s ** 4 * e ** 2
+
+
+def leave_two_out_moments(d: DataFrame, vecs: Sequence[str], fits: Mapping[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray] | None:
+    """Moments that stand for the pairs of all rows; None where higher powers might show, or an item has several rows."""
+    sizes = [len(fits[v][0]) for v in vecs]
+    if 3 * sum(sizes) ** 2 > MOMENTS:
+        return None
+
+    def partial(batches):
+        acc, top = None, [0.0] * 4
+        for pdf in batches:
+            if len(pdf):
+                rows = LeftOut(pdf, vecs, fits)
+                more = rows.moments()
+                acc = more if acc is None else {k: v + more[k] for k, v in acc.items()}
+                top = [max(a, b) for a, b in zip(top, rows.largest())]
+        if acc is not None:
+            found = [(k, i, row) for k, v in acc.items() for i, row in enumerate(v)]
+            yield pd.DataFrame([("largest", 0, top), *found], columns=["name", "row", "vals"])
+
+    parts = d.select("_y", *vecs).mapInPandas(partial, "name string, row int, vals array<double>")
+    vals = array_to_vector("vals")
+    rows = parts.groupBy("name", "row").agg(vector_to_array(Summarizer.sum(vals)).alias("total"), vector_to_array(Summarizer.max(vals)).alias("most")).orderBy("name", "row").collect()
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(r["name"], []).append(r["most"] if r["name"] == "largest" else r["total"])
+    if not out:
+        return None
+    bound = beyond_moments(*out.pop("largest")[0])
+    moments = {k: np.array(v) for k, v in out.items()}
+    if not bound <= SLACK * min(moments[f"q{a},{a}"][0, 0] for a in range(len(vecs))):
+        return None
+    _, most = group_load(d, ["_id"])
+    return moments if most == 1 else None
+
+
 def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str | Sequence[str] = "item", alpha: float = 1.0,
                     tile: int = 2048) -> DataFrame:
     """Leak-free ensemble of ridge models. For each item i the combination weights are fitted
     on the predictions of every other item j by models that saw neither i nor j.
 
     Those leave-two-out predictions follow in closed form; chunk x chunk tiles reduce them to the
-    few sums each item needs, so the item x item matrix is never stored. `item` names the columns that
+    few sums each item needs, so the item x item matrix is never stored. With many items two rows' products are so small
+    that powers above the second add less to a sum than SLACK of it, by a bound from the largest leverage; the sums then
+    follow from moments of the rows, without meeting pairs. `item` names the columns that
     identify an item, such as category and code where codes repeat.
     """
     vecs, names = list(vecs), [item] if isinstance(item, str) else list(item)
@@ -161,6 +259,17 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str |
     k = len(vecs)
     d = df.select(F.lit(0).alias("_all"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("_id"), *names, F.col(target).cast("double").alias("_y"),
                   *[F.col(v).cast("array<double>").alias(v) for v in vecs]).dropna(subset=["_y", *vecs])
+    kinds = ", ".join(f"`{n}` {d.schema[n].dataType.simpleString()}" for n in names)
+    result = f"{kinds}, true_score double, weights array<double>, predicted_score double"
+    if (moments := leave_two_out_moments(d, vecs, fits)) is not None:
+        def from_moments(batches):
+            for pdf in batches:
+                if len(pdf):
+                    rows = LeftOut(pdf, vecs, fits)
+                    w = nnls_weights(*rows.sums(moments))
+                    yield pd.DataFrame({**{n: pdf[n] for n in names}, "true_score": pdf["_y"], "weights": list(w), "predicted_score": (w * np.stack(rows.q, axis=1)).sum(axis=1)})
+
+        return d.drop("_id", "_all").mapInPandas(from_moments, result)
     _, largest = group_load(d, ["_all"])
     left, right = _tiled(d.drop(*names), ["_all"], "_id", band_rows(largest, tile), largest)
 
@@ -194,7 +303,6 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str |
                 own[i:i + tile] += rest
         return pd.DataFrame({"_id": a["_id"].to_numpy(), "g": list(g), "c": list(own)})
 
-    kinds = ", ".join(f"`{n}` {d.schema[n].dataType.simpleString()}" for n in names)
     a, b = (x.toDF(*x.columns) for x in (left, right))
     on = ["_all", "_ca", "_cb"]
     sums = a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(tile_sums, "_id string, g array<double>, c array<double>")
@@ -212,7 +320,7 @@ def nested_ensemble(df: DataFrame, vecs: Sequence[str], target: str, item: str |
             w = nnls_weights(np.stack(pdf["g"].to_numpy()).reshape(-1, k, k), np.stack(pdf["c"].to_numpy()))
             yield pd.DataFrame({**{n: pdf[n] for n in names}, "true_score": pdf["_y"], "weights": list(w), "predicted_score": (w * outer).sum(axis=1)})
 
-    return d.join(sums, ["_id"]).mapInPandas(combine, f"{kinds}, true_score double, weights array<double>, predicted_score double")
+    return d.join(sums, ["_id"]).mapInPandas(combine, result)
 
 
 def mean_ensemble(oof: DataFrame, models: Sequence[str]) -> DataFrame:

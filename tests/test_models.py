@@ -130,3 +130,25 @@ def test_weighted_pairwise_logistic_is_stationary(spark):
                     weight = y[i] - y[j] if scheme == "score_diff" else min((y[i] - y[j]) / se, 5)
                     gradient -= 2 * weight * (x[i] - x[j]) / (1 + np.exp(w @ (x[i] - x[j])))
         assert np.abs(gradient).max() < 1e-3
+
+
+def test_nested_ensemble_from_moments_equals_the_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 4))
+    y = x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=400) + 3
+    rows = [("c", i, float(y[i]), x[i, :3].tolist(), x[i, 2:].tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "category string, item int, true_score double, x array<double>, z array<double>").repartition(3)
+    pairs = L.nested_ensemble(df, ["x", "z"], "true_score", tile=100)
+    want, weights = by_item(pairs, "predicted_score"), by_item(pairs, "weights")
+
+    def no_pairs(*_):
+        raise AssertionError("pairs of rows met")
+
+    monkeypatch.setattr(L, "SLACK", 1.0)  # 400 rows are too few for the usual one
+    monkeypatch.setattr(L, "_tiled", no_pairs)
+    got = L.nested_ensemble(df, ["x", "z"], "true_score")
+    np.testing.assert_allclose(by_item(got, "predicted_score"), want, rtol=1e-6)
+    np.testing.assert_allclose(np.stack(by_item(got, "weights")), np.stack(weights), rtol=1e-5, atol=1e-6)
+    with pytest.raises(AssertionError, match="pairs of rows met"):  # rows of one item never meet
+        L.nested_ensemble(df.unionByName(df.limit(1)), ["x", "z"], "true_score")
+    assert L.beyond_moments(0.01, 1.0, 1.0, 1.0) < 1e-3 and L.beyond_moments(0.6, 1.0, 1.0, 1.0) == np.inf
