@@ -6,10 +6,11 @@ into rows (block, vec), so that every block is processed by the same plan at onc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -20,6 +21,10 @@ from prefrank.operators.pairs import TILE, _tiled, band_rows
 from prefrank.operators.skew import broadcast_if_small, group_load, join_keys
 
 
+#: Numbers a task holds of the vectors it pools before it passes them on.
+HELD = 1 << 22
+
+
 def pooled(df: DataFrame, keys: Sequence[str], vec: str, how: str = "mean", weight: str | None = None,
            out: str = "vec") -> DataFrame:
     """Element-wise mean (weighted), max or sum of the vectors of a group; merged map-side."""
@@ -34,6 +39,57 @@ def pooled(df: DataFrame, keys: Sequence[str], vec: str, how: str = "mean", weig
     return df.filter(F.col(vec).isNotNull()).groupBy(*keys).agg(agg.alias(out))
 
 
+def pooled_in_tasks(df: DataFrame, key: str, vec: str, how: str = "mean", weight: str | None = None) -> DataFrame:
+    """`pooled` by one key: tasks pool the rows they read, batch by batch, and only the pools are shuffled.
+
+    An aggregation of vectors by more than a few keys sorts its rows, and vectors of many rows then spill. Vectors
+    have one length and no unknown entries.
+    """
+    most = how == "max"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, pools, weights = {}, np.zeros((0, 0)), np.zeros(0)
+
+        def found() -> pa.RecordBatch:
+            n, long = len(place), pools.shape[1]
+            ends = np.arange(n + 1, dtype="i4") * long
+            return pa.RecordBatch.from_arrays([pa.array(list(place), kind), pa.ListArray.from_arrays(pa.array(ends), pa.array(pools[:n].ravel())), pa.array(weights[:n])], names=[key, "_pool", "_w"])
+
+        for b in batches:
+            if not len(b):
+                continue
+            kind, flat = b.column(key).type, b.column("_v").flatten()
+            long = len(flat) // len(b)
+            if flat.null_count or (np.diff(b.column("_v").offsets.to_numpy()) != long).any() or (place and long != pools.shape[1]):
+                raise ValueError("vectors to pool differ in length or have unknown entries")
+            names = b.column(key).dictionary_encode(null_encoding="encode")
+            codes, w = names.indices.to_numpy(), b.column("_w").to_numpy()
+            order = np.argsort(codes, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) != 0]))
+            v = flat.to_numpy().reshape(-1, long).astype(float)[order]
+            some = np.fmax.reduceat(v, heads) if most else np.add.reduceat(v * w[order][:, None], heads)
+            listed = names.dictionary.to_pylist()
+            at = np.array([place.setdefault(listed[c], len(place)) for c in codes[order][heads]])
+            if len(place) > len(pools):
+                more = max(2 * len(pools), len(place)) - len(pools)
+                pools = np.vstack([pools.reshape(-1, long), np.full((more, long), -np.inf if most else 0.0)])
+                weights = np.append(weights, np.zeros(more))
+            pools[at] = np.fmax(pools[at], some) if most else pools[at] + some
+            weights[at] += np.add.reduceat(w[order], heads)
+            if len(place) * long > HELD:
+                yield found()
+                place, pools, weights = {}, np.zeros((0, 0)), np.zeros(0)
+        if place:
+            yield found()
+
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    d = df.filter(F.col(vec).isNotNull()).select(key, F.col(vec).alias("_v"), w.alias("_w"))
+    d = d.mapInArrow(partial, f"`{key}` {df.schema[key].dataType.simpleString()}, _pool array<double>, _w double")
+    v = array_to_vector("_pool")
+    d = d.groupBy(key).agg(vector_to_array(Summarizer.max(v) if most else Summarizer.sum(v)).alias("vec"), F.sum("_w").alias("_w"))
+    return d.select(key, (F.transform("vec", lambda x: x / F.col("_w")) if how == "mean" else F.col("vec")).alias(vec))
+
+
 def long_blocks(df: DataFrame, blocks: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per item and present block: (keep..., block, vec)."""
     pairs = F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).cast("array<double>").alias("vec")) for b in blocks])
