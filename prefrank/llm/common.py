@@ -77,7 +77,7 @@ def ascii_lower(text: Column) -> Column:
 BROADCAST_BYTES = 16 << 20
 
 
-def sent_if_small(df: DataFrame, width: Column | int = 0) -> DataFrame:
-    """`df` with a broadcast hint if its counted bytes (`width` and 64 a row) are few; otherwise joins shuffle it."""
+def sent_if_small(df: DataFrame, width: Column | int = 0, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its counted bytes (`width` and 64 a row) are at most `most`; otherwise joins shuffle it."""
     size = df.agg(F.sum((F.lit(width) if isinstance(width, int) else width) + 64)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if size <= most else df

@@ -5,9 +5,10 @@ of two documents is at most the sum of the smaller counts, coordinate by coordin
 for a box around points with its largest counts. Two steps use this:
 
 * The directory splits documents into families that cannot link with each other. Documents that link
-  differ in at most r shingles, so of any r + 1 groups that one of them ranks highest, some group is the
-  same in both. Each document files under its r + 1 fullest groups, keyed by their content. A passage
-  that many documents share is spread over groups with other shingles, so it makes no large cell.
+  differ in at most r shingles, so of any r + t groups that both rank highest, t groups are the same in
+  both. Each document files under its r + t fullest groups, keyed by their content. The t - 1 of them that
+  most documents share are then left out: of t shared keys the rarest stays on both sides. So documents
+  that share a passage or a few small groups by chance fall into no common family, however many there are.
 * Inside a family a tree of boxes finds, for each point, those whose bound reaches the threshold; the
   shingle sets of these pairs decide. Pairs already connected are skipped: only components are asked for.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from prefrank.llm.common import pieces, sent_if_small, tidy, written
+from prefrank.llm.common import BROADCAST_BYTES, pieces, sent_if_small, tidy, written
 from prefrank.llm.components import components
 from prefrank.llm.words import Remembered
 
@@ -33,6 +34,10 @@ from prefrank.llm.words import Remembered
 PERCENT = 85
 SHINGLE = 4
 LEAF = 16
+#: Keys carry their level in the lowest bits.
+LEVELS = 32
+#: Most keys of a level that linked documents share for certain (t above).
+SURE = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -77,9 +82,14 @@ def differences(n: int, percent: int = PERCENT) -> int:
     return (100 - percent) * (n + most_partner(n, percent)) // (100 + percent)
 
 
+def sure(level: int) -> int:
+    """Keys of a level that linked documents share at least; few where sets are small."""
+    return max(1, min(SURE, 2 ** level // 2))
+
+
 def group_count(level: int, percent: int = PERCENT) -> int:
-    """Groups at a level of sets below 2 ** (level + 1): about five shingles each, and enough for all differences."""
-    return max(2 ** (level + 1) // 5, differences(2 ** (level + 1), percent) + 1)
+    """Groups at a level of sets below 2 ** (level + 1): half as many again as keys at most, so that few keys are of empty groups."""
+    return max(2 ** (level + 1) // 5, 3 * (differences(2 ** (level + 1), percent) + sure(level)) // 2)
 
 
 def directory_keys(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -99,7 +109,8 @@ def directory_keys(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         ends = np.cumsum(count)
         content = weight[ends] - weight[ends - count]
         key = mixed(content ^ mixed(np.arange(m, dtype="u8") + np.uint64((at << 40) + 1)))
-        keys.append(key[np.lexsort((key, -count))[:differences(n, percent) + 1]])
+        key = key & ~np.uint64(LEVELS - 1) | np.uint64(at)
+        keys.append(key[np.lexsort((key, -count))[:differences(n, percent) + sure(at)]])
     return np.concatenate(keys).view("i8")
 
 
@@ -115,6 +126,19 @@ def described(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, percent
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "n", "p", "q", "keys"])
 
 
+def rare_cells(filed: DataFrame) -> DataFrame:
+    """Of rows (cell, node), those whose cell several nodes share, less each node's `sure(level) - 1` largest cells of a level.
+
+    Cells are ordered by size, then key, for all nodes alike. Nodes that share `sure(level)` cells or more
+    still share the smallest of them: the others stand before it on both sides.
+    """
+    shared = filed.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("cell"))).where("size > 1")
+    level = F.col("cell").bitwiseAND(F.lit(LEVELS - 1).cast("long"))
+    least = F.greatest(F.lit(1.0), F.least(F.lit(float(SURE)), F.pow(F.lit(2.0), level - 1)))
+    place = F.row_number().over(W.partitionBy("node", "level").orderBy(F.desc("size"), "cell"))
+    return shared.withColumn("level", level).withColumn("place", place).where(F.col("place") >= least).select("cell", "node")
+
+
 def stars(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by cell and node, and for each row in it the smallest node of its cell."""
     order = np.lexsort((node, cell))
@@ -276,9 +300,9 @@ def link_components(docs: DataFrame, chunk_docs: int = 1024, chunk_words: int =
     def with_rep(rows: DataFrame) -> DataFrame:
         return rows.join(copies, ["p", "q"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
 
-    cells = with_rep(linked).where("doc_id = rep").select(F.explode("keys").alias("cell"), F.col("rep").alias("node"))
+    cells = rare_cells(with_rep(linked).where("doc_id = rep").select(F.explode("keys").alias("cell"), F.col("rep").alias("node")))
     cells = cells.mapInArrow(local_stars, "cell long, node long, top long").repartition(parts, "cell").sortWithinPartitions("cell", "node")
-    families = sent_if_small(written(components(cells.mapInArrow(linked_stars, "u long, v long"))))
+    families = sent_if_small(written(components(cells.mapInArrow(linked_stars, "u long, v long"))), most=2 * BROADCAST_BYTES)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     tiled = tiles(texts, families, chunk_docs, chunk_words).repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     links = tiled.mapInArrow(lambda batches: tile_links(batches, shingle, percent), "u long, v long")
@@ -297,8 +321,14 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     Of rows with the same doc_id that have words, the first text stays. Rows without words or without an id stay.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = link_components(docs, shingle=shingle, percent=percent).where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    gone = link_components(docs, shingle=shingle, percent=percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     with_words = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    texts = docs.where(with_words)
+    # Only texts of repeated ids are put in order; the others stay where they are if few ids repeat and few are gone.
+    several = texts.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("__id")
+    several, gone = (sent_if_small(written(ids), most=2 * BROADCAST_BYTES) for ids in (several, gone))
+    own = F.col("doc_id") == F.col("__id")
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text")))
-    chosen = docs.where(with_words).withColumn("__row", first).where("__row = 1").join(kept, F.col("doc_id") == F.col("__id"))
-    return chosen.select(*names).unionAll(docs.where(~with_words).select(*names))
+    firsts = texts.join(several, own, "left_semi").withColumn("__row", first).where("__row = 1")
+    chosen = texts.join(several, own, "left_anti").select(*names).unionAll(firsts.select(*names)).join(gone, own, "left_anti")
+    return chosen.unionAll(docs.where(~with_words).select(*names))

@@ -88,6 +88,41 @@ def test_linked_sets_share_a_directory_key():
                 b.add(rnd.getrandbits(64))
 
 
+def test_linked_sets_share_the_sure_number_of_keys():
+    rnd = random.Random(5)
+    for percent in (80, 85):
+        for n in [1, 2, 3, 6, 7, 15, 16, 31, 60, 127, 128, 500, 511, 512]:
+            a = {rnd.getrandbits(64) for _ in range(n)}
+            b = set(a)
+            while 100 * len(a & b) >= percent * len(a | b):
+                x, y = (jaccard.directory_keys(np.array(sorted(s), "u8"), percent) for s in (a, b))
+                level = max(len(a), len(b)).bit_length() - 1
+                assert sum(int(k) % jaccard.LEVELS == level for k in set(x.tolist()) & set(y.tolist())) >= jaccard.sure(level)
+                b = set(b)
+                if rnd.random() < 0.5 and b:
+                    b.discard(rnd.choice(sorted(b)))
+                else:
+                    b.add(rnd.getrandbits(64))
+
+
+def test_common_passages_make_no_large_family(spark, monkeypatch):
+    rnd = random.Random(11)
+    passages = [[f"p{k} {i}" for i in range(15)] for k in range(8)]
+    texts = [" ".join(w for p in rnd.sample(passages, 3) for w in [*p, *[f"o{rnd.randrange(10 ** 9)}" for _ in range(35)]]) for _ in range(500)]
+    texts += [t + " end" for t in texts[:40]]
+    largest, tiles = [], jaccard.tiles
+
+    def seen(docs, families, *sizes):
+        largest.append(max(r["count"] for r in families.groupBy("root").count().collect()))
+        return tiles(docs, families, *sizes)
+
+    monkeypatch.setattr(jaccard, "tiles", seen)
+    got = jaccard.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), shingle=5, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - 500 if i >= 500 else i for i in range(540)}
+    # before, nearly all of them made one, whose chunks all met
+    assert largest[0] < 50
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(200, 260)] + [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(300, i) for i in range(301, 340)]
