@@ -7,7 +7,8 @@ beside it, shifted by the offset of the term. What is left says where a window m
 document's words, cut into segments that overlap by a window, are compared with the whole window, and what
 occurs is merged to runs by item. A row holds at most one segment, however often a text repeats itself.
 
-DataFrame functions only. The texts are shuffled once, by document; postings of common terms are never made.
+DataFrame functions only. Words are sent only of documents in which a window may begin, texts only if the table
+of hits is too large to be sent to them; postings of common terms are never made.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """term, count: how often the items' terms occur in all documents. Counted in each task before the shuffle."""
-    seen = docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").count()
-    return seen.join(items.select(F.explode("words").alias("term")).distinct(), "term", "right").select("term", F.coalesce("count", F.lit(0)).alias("count"))
+    wanted = sent_if_small(written(items.select(F.explode("words").alias("term")).distinct()), F.octet_length("term"))
+    seen = docs.select(F.explode(words(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").count()
+    return seen.join(wanted, "term", "right").select("term", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def distinct_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -88,12 +90,15 @@ def candidates(docs: DataFrame, items: DataFrame, windows: DataFrame) -> DataFra
 def occurrences(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """__id, __hash, item_id, start, size: the windows that occur, compared with the document's words."""
     windows, links = distinct_windows(items, window)
-    own = docs.select(*row_key(), words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    places = written(candidates(docs, items, windows)).withColumnsRenamed({"__id": "__i", "__hash": "__h", "segment": "__s"})
+    near = sent_if_small(places.select("__i", "__h").distinct())
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))
+    # Only documents in which a window may begin are cut and sent.
+    own = docs.select(*row_key(), "text").join(near, same, "left_semi").select("__id", "__hash", words(F.col("text")).alias("words")).where(F.size("words") > 0)
     cuts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int"))
     segments = own.select("__id", "__hash", "words", F.explode(cuts).alias("segment")).select(
         "__id", "__hash", "segment", F.slice("words", F.col("segment") * SEGMENT + 1, F.lit(SEGMENT + window - 1)).alias("words"))
-    places = candidates(docs, items, windows).withColumnsRenamed({"__id": "__i", "__hash": "__h", "segment": "__s"})
-    on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")) & (F.col("segment") == F.col("__s"))
+    on = same & (F.col("segment") == F.col("__s"))
     phrase = lambda p: F.array_join(F.slice("words", p["start"] - F.col("segment") * SEGMENT + 1, p["size"]), " ")
     seen = segments.join(places, on).select("__id", "__hash", F.explode(F.transform("starts", lambda p: F.struct(p["wid"].alias("wid"), p["start"].alias("start"), p["size"].alias("size"), phrase(p).alias("phrase")))).alias("w"))
     known = sent_if_small(windows.select("wid", "phrase"), F.octet_length("phrase"))
@@ -126,6 +131,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     before = F.max(end).over(W.partitionBy("__id", "__hash").orderBy("at", "size", "item_id").rowsBetween(W.unboundedPreceding, -1))
     runs = runs.withColumn("__own", F.greatest(end - F.greatest("at", F.coalesce(before, F.lit(0))), F.lit(0)))
     found = runs.groupBy("__id", "__hash").agg(F.sum("__own").alias("__hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("__items"), F.collect_list(F.struct("item_id", "at", "size")).alias("__runs"))
+    found = sent_if_small(written(found), F.octet_length(F.array_join("__items", "")) + 16 * F.size("__items") + 32 * F.size("__runs"))
     rows = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).withColumn("__own", F.xxhash64("text"))
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
     rows = rows.withColumn("n_hit", F.coalesce("__hit", F.lit(0)).cast("long")).withColumn("__items", F.coalesce("__items", F.array().cast("array<string>")))
@@ -152,7 +158,9 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 8) ->
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Rows of `docs` without a hit; its columns only."""
+    hit = sent_if_small(written(occurrences(docs.select("doc_id", "text"), benchmark_items(benchmark), window).select("__id", "__hash").distinct()))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
     back = {c: f"__c{i}" for i, c in enumerate(others)}
-    return marked(kept, benchmark, window).where("NOT contaminated").select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns])
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(back[c]) for c in others], F.xxhash64("text").alias("__own"))
+    clean = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_anti")
+    return clean.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns])

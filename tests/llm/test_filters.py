@@ -55,6 +55,17 @@ def test_decontamination(spark):
     assert decontaminate.marked(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_few_hits_are_sent_to_the_texts(spark):
+    """Texts of the result, and words of documents in which no window may begin, are not shuffled."""
+    rows = [(i, " ".join(f"w{i}v{j}" for j in range(200))) for i in range(60)]
+    rows[7] = (7, rows[7][1] + " ten words of the item that this text has whole")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, "ten words of the item that this text has whole"), (2, "w3v5 w3v6 is all")], "item_id long, text string")
+    clean = decontaminate.decontaminated(docs, bench)
+    assert "hashpartitioning" not in clean._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, clean.collect())) == sorted(r for r in rows if r[0] != 7)
+
+
 def test_decontamination_of_repetitive_and_long_texts(spark, monkeypatch):
     """Items and documents of one word over and over, and windows across the cuts of segments."""
     monkeypatch.setattr(decontaminate, "SEGMENT", 16)
